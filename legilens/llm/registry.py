@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from legilens.llm import exact_dedup, simhash
+from legilens.llm import exact_dedup, mixing, quality, sentencepiece, simhash, topk, toxicity
 
 QUERIES = {
+    "op1_quality_co_training": quality.op1_quality_co_training,
+    "op2_mix_sources": mixing.op2_mix_sources,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_sentencepiece": sentencepiece.op4_sentencepiece,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
+    "op10_exact_top_k": topk.op10_exact_top_k,
 }
 
-SQL = {"op3_exact_dedup": exact_dedup.SQL}
+SQL = {
+    "op2_mix_sources": mixing.SQL,
+    "op3_exact_dedup": exact_dedup.SQL,
+    "op10_exact_top_k": topk.SQL,
+}
