@@ -34,13 +34,13 @@ def slot_of(key: Column, bits: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(bits)) + 1
 
 
-def bit_filter(keys: DataFrame, key: str, bits: int, *by: str) -> DataFrame:
+def bit_filter(keys: DataFrame, key: str, bits: int, *by: str, hashed: bool = False) -> DataFrame:
     """A set filter over the keys, at most bits / 8 bytes whatever their number: rows (bucket, bitmap) of 4 KB each.
-    With further columns, one such filter for each of their values.
+    With further columns, one such filter for each of their values. Keys that are hashes already are taken as they are.
 
     A key of the set always tests true; another may test true by chance, the oftener the fuller the filter.
     """
-    slots = keys.select(*by, slot_of(F.col(key), bits).alias("slot"))
+    slots = keys.select(*by, (F.pmod(key, F.lit(bits)) + 1 if hashed else slot_of(F.col(key), bits)).alias("slot"))
     return slots.groupBy(*by, F.expr("bitmap_bucket_number(slot)").alias("bucket")).agg(
         F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bitmap")
     )
