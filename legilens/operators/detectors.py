@@ -187,11 +187,70 @@ def provider_keys(cands: DataFrame) -> DataFrame:
     )
 
 
+def candidate_findings(cands: DataFrame) -> DataFrame:
+    """What db_uris, web_tokens and provider_keys find, in one pass over the candidates.
+
+    Tests run from cheap to dear; only candidates that some detector accepts are shuffled, once.
+    """
+    rank = {s: k for k, s in enumerate(known.SEVERITIES)}
+    shape = lambda **c: "named_struct(" + ", ".join(f"'{k}', {c[k]}" for k in ("detector", *FINDING)) + ")"
+    places = {"start": "start", "end": "end", "token_len": "length(token)"}
+    low, url = f.lower("token", Spark), "u"
+    scheme = "try_element_at(filter(array(" + ", ".join(f"'{s}'" for s in known.SCHEMES) + f"), s -> startswith({low}, s)), 1)"
+    secret = f"substring(substring_index({url}.rest, '@', 1), locate(':', substring_index({url}.rest, '@', 1)) + 1)"
+    db = shape(
+        detector="1", pattern_id="'db_uri'", label="'Connection string with password'", provider="replace(u.scheme, '://', '')", severity="'critical'", severity_rank=str(rank["critical"]),
+        preview="concat(u.scheme, '•••••••@…')", confidence="0.92D", **places,
+    )
+    parts, part = Spark.split("token", "."), f"length(p) >= 8 and {f.charset_ratio('p', known.CHARSETS['base64url'], Spark)} >= 0.9"
+    web = shape(
+        detector="2", pattern_id="'jwt'", label="'JSON Web Token'", provider="'JWT'", severity="'high'", severity_rank=str(rank["high"]), preview=f.mask("token", "6", Spark), confidence="0.88D", **places
+    )
+    found = (
+        cands.withColumn("u", F.expr(f"if({f.any_of(f'substring({low}, 1, 14)', known.SCHEMES, Spark)}, named_struct('scheme', {scheme}, 'rest', substring(token, length({scheme}) + 1)), null)"))
+        .withColumn("is_db", F.expr(f"coalesce(u.scheme is not null and contains(u.rest, '@') and contains(substring_index(u.rest, '@', 1), ':') and length({secret}) >= 4 and not {f.is_placeholder(secret, Spark)}, false)"))
+        .withColumn("is_web", F.expr(f"startswith(token, 'eyJ') and size({parts}) = 3 and forall({parts}, p -> {part}) and not {f.is_placeholder('token', Spark)}"))
+        .withColumn("anchor", F.expr(f.confusion_class("substring(token, 1, 1)", Spark)))
+        .join(F.broadcast(pattern_dimension(cands.sparkSession)), "anchor", "left")
+        .filter("pattern_id is not null or is_db or is_web")
+    )
+    head = f.normalize_confusable("substring(token, 1, n)", Spark)
+    tries = f"transform(sequence(low, high), n -> named_struct('d', levenshtein({head}, folded), 'off', abs(n - prefix_len), 'n', n))"
+    steps = {
+        "low": "greatest(1, prefix_len - tolerance)",
+        "high": "least(prefix_len + tolerance, length(token))",
+        "best": f"if(low <= high, array_min({tries}), null)",
+        "body": "if(best.d <= tolerance, substring(token, best.n + 1), null)",
+        "ratio": "if(length(body) between body_min and body_max, cast(length(regexp_replace(body, concat('[^', charset, ']'), '')) as double) / nullif(length(body), 0), null)",
+        "random": f"if(ratio >= 0.85D, {f.randomness('body', Spark)}, null)",
+        "score": f"if(random >= min_randomness and ({f.structural_rejection('token', Spark)}) is null,"
+        " least(1D, 0.45D * if(startswith(token, prefix), 1D, 0.75D) + 0.30D * ratio + 0.25D * random), null)",
+    }
+    for name, value in steps.items():
+        found = found.withColumn(name, F.expr(value))
+        if name in ("best", "ratio"):
+            found = found.filter(("best.d <= tolerance" if name == "best" else "ratio >= 0.85") + " or is_db or is_web")
+    found = found.filter("score is not null or is_db or is_web")
+    key = shape(
+        detector="4", pattern_id="pattern_id", label="label", provider="provider", severity="severity", severity_rank="severity_rank", preview=f.mask("token", "best.n", Spark), confidence="score", **places
+    )
+    listed = found.groupBy("id", "seq").agg(
+        F.first(F.expr(f"if(is_db, {db}, null)")).alias("db"),
+        F.first(F.expr(f"if(is_web, {web}, null)")).alias("web"),
+        F.array_sort(F.collect_list(F.expr(f"if(score is null, null, named_struct('k', pattern_ord, 'c', -score, 'j', prefix_ord, 'longest', longest, 'f', {key}))"))).alias("a"),
+    )
+    best = "filter(a, (x, i) -> i = 0 or get(a, i - 1).k <> x.k)"  # each pattern's best prefix
+    fold = (
+        f"aggregate(slice({best}, 2, greatest(size(a), 1)), get(a, 0), (b, x) -> if(-x.c > 0.05D - b.c or (x.longest > b.longest and 0.05D - x.c >= -b.c), x, b)).f"
+    )
+    each = listed.select("id", "seq", F.explode(F.expr(f"array_compact(array(db, web, {fold}))")).alias("f"))
+    return each.select("id", "f.detector", "seq", *[f"f.{c}" for c in FINDING])
+
+
 def all_findings(rows: DataFrame) -> DataFrame:
     """Findings of all detectors over (id, text), overlaps included."""
     texts = normalised(rows)
-    cands = candidates.explode(texts)
-    parts = [private_keys(texts), db_uris(cands), web_tokens(cands), assignments(texts), provider_keys(cands)]
+    parts = [private_keys(texts), candidate_findings(candidates.explode(texts)), assignments(texts)]
     return reduce(DataFrame.unionByName, parts)
 
 

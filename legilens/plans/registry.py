@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from legilens.plans import engine_queries, scalar_queries
+
+QUERIES = scalar_queries.QUERIES | engine_queries.QUERIES
+SQL: dict[str, str] = scalar_queries.SQL | engine_queries.SQL
