@@ -25,7 +25,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet in the shared folder and read back: its lineage ends here and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -52,13 +52,39 @@ def bit_test(bitmap: str) -> str:
     return f"(shiftright(cast({byte} as int), cast(_at % 8 as int)) & 1) = 1"
 
 
-def in_filter(rows: DataFrame, key: str, filter_rows: DataFrame, bits: int) -> DataFrame:
-    """The rows whose key tests true. The filter has a fixed size (see bit_filter), so it is broadcast."""
+def flagged(rows: DataFrame, key: str, filter_rows: DataFrame, bits: int, flag: str) -> DataFrame:
+    """rows with a boolean column flag: whether the key tests true. The filter has a fixed size (see bit_filter), so it is broadcast."""
     probed = rows.withColumn("_slot", slot_of(F.col(key), bits))
     probed = probed.withColumns({"_bucket": F.expr("bitmap_bucket_number(_slot)"), "_at": F.expr("bitmap_bit_position(_slot)")})
     named = filter_rows.select(F.col("bucket").alias("_bucket"), F.col("bitmap").alias("_bitmap"))
-    joined = probed.join(F.broadcast(named), "_bucket")
-    return joined.filter(F.expr(bit_test("_bitmap"))).select(*rows.columns)
+    test = F.coalesce(F.expr(bit_test("_bitmap")), F.lit(False))
+    return probed.join(F.broadcast(named), "_bucket", "left").select(*rows.columns, test.alias(flag))
+
+
+def in_filter(rows: DataFrame, key: str, filter_rows: DataFrame, bits: int) -> DataFrame:
+    """The rows whose key tests true."""
+    return flagged(rows, key, filter_rows, bits, "_hit").filter("_hit").drop("_hit")
+
+
+def text_key(text: Column) -> Column:
+    """16 bytes that stand for a text."""
+    return F.unhex(F.md5(text))
+
+
+#: Bits of the filter of repeated texts: 2 MB.
+COPY_BITS = 1 << 24
+
+
+def repeated_texts(keyed: DataFrame) -> DataFrame:
+    """(key, copies) of the texts that more than one row has; keyed has key."""
+    return keyed.groupBy("key").agg(F.count("*").alias("copies")).filter("copies > 1")
+
+
+def each_text_once(keyed: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(key, text) with a row for each different text. Only rows whose text may be repeated are shuffled, combined by map task first."""
+    told = flagged(keyed.select("key", "text"), "key", bit_filter(repeated, "key", COPY_BITS), COPY_BITS, "maybe")
+    some = told.filter("maybe").groupBy("key").agg(F.min("text").alias("text"))
+    return told.filter("not maybe").select("key", "text").unionByName(some)
 
 
 def filter_bytes(filter_rows: DataFrame, bits: int) -> bytes:

@@ -25,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from legilens.llm.shared import bit_filter, filter_bytes, saved
+from legilens.llm.shared import bit_filter, each_text_once, filter_bytes, flagged, repeated_texts, saved, text_key
 
 LENGTH, GRAM = 200, 32
 #: Occurrences of an anchor string from which its windows are grouped instead of merged.
 HOT = 256
 #: Bits of the filters of repeated and of hot anchor strings (8 MB each, whatever the input).
 BITS = 1 << 26
+#: Bits of the filter of texts that lose something: 2 MB.
+HIT_BITS = 1 << 24
 #: Suffixes in a block of the exchange, about, and in a run of one task.
 BLOCK, RUN = 40_000, 200_000
 #: Windows combined at once by a task.
@@ -179,10 +181,10 @@ def merged(runs: list[tuple[list[int], list[bytes]]]) -> Iterator[tuple[int, int
             node //= 2
 
 
-Entry = tuple[int, int, int, int, bytes, bytes, int]
+Entry = tuple[bytes, int, int, int, bytes, bytes, int]
 
 
-def repeated(group: list[Entry], length: int) -> Iterator[tuple[int, int, int]]:
+def repeated(group: list[Entry], length: int) -> Iterator[tuple[bytes, int, int]]:
     """(row, low, high): bytes covered by windows that repeat within a group of (row, place, least j, greatest j, forward, backward, shared).
 
     Window j of an anchor begins j bytes before it. Two anchors' windows j are equal when both have that window, their forward
@@ -242,10 +244,10 @@ def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 COUNTS = "gram bigint, n bigint"
 FOUND = (
-    "kind int, row bigint, low int, high int, w1 bigint, w2 bigint, bucket int, rows array<bigint>, places array<int>, "
+    "kind int, row binary, low int, high int, w1 bigint, w2 bigint, bucket int, rows array<binary>, places array<int>, "
     "least array<int>, most array<int>, shared array<int>, rests array<binary>, backs array<binary>"
 )
-SPANS = "row bigint, low int, high int"
+SPANS = "row binary, low int, high int"
 
 
 def raw_of(text: str | None) -> np.ndarray:
@@ -278,7 +280,7 @@ def search(texts: DataFrame, counts: DataFrame, length: int, hot: int) -> DataFr
         values = empty | columns | {"kind": [kind] * n}
         return pa.RecordBatch.from_arrays([pa.array(values[f.name] if values[f.name] is not None else [None] * n, f.type) for f in pa_schema(FOUND)], schema=pa_schema(FOUND))
 
-    def windows(held: list) -> Iterator[pa.RecordBatch]:
+    def windows(held: list, names: list[bytes]) -> Iterator[pa.RecordBatch]:
         """Equal windows of one task: those that repeat are known at once; one of each goes on to meet other tasks'."""
         if not held:
             return
@@ -295,8 +297,8 @@ def search(texts: DataFrame, counts: DataFrame, length: int, hot: int) -> DataFr
             r, s = r[o], s[o]
             cut = np.flatnonzero(np.concatenate(([True], (r[1:] != r[:-1]) | (s[1:] > s[:-1] + 1))))
             end = np.append(cut[1:], len(r)) - 1
-            yield batch(0, len(cut), row=r[cut], low=s[cut].astype(np.int32), high=(s[end] + length).astype(np.int32))
-        yield batch(1, len(first), w1=w1[first].view(np.int64), w2=w2[first].view(np.int64), row=row[first], low=at[first].astype(np.int32), high=np.minimum(count, 2).astype(np.int32))
+            yield batch(0, len(cut), row=[names[i] for i in r[cut].tolist()], low=s[cut].astype(np.int32), high=(s[end] + length).astype(np.int32))
+        yield batch(1, len(first), w1=w1[first].view(np.int64), w2=w2[first].view(np.int64), row=[names[i] for i in row[first].tolist()], low=at[first].astype(np.int32), high=np.minimum(count, 2).astype(np.int32))
 
     def blocks(held: list) -> Iterator[pa.RecordBatch]:
         """One sorted run of suffixes, cut by bucket and front-coded."""
@@ -314,7 +316,7 @@ def search(texts: DataFrame, counts: DataFrame, length: int, hot: int) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some, often = (np.frombuffer(x, np.uint8) for x in sent.value)
-        hot_held, hot_n, cold = [], 0, []
+        hot_held, hot_n, names, cold = [], 0, [], []
         for b in batches:
             for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 raw = raw_of(text)
@@ -329,22 +331,23 @@ def search(texts: DataFrame, counts: DataFrame, length: int, hot: int) -> DataFr
                 if many.any():
                     n = last[many] - first[many] + 1
                     starts = np.repeat(first[many] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                    hot_held.append((*window_hashes(raw, starts, length), np.full(len(starts), row), starts))
+                    hot_held.append((*window_hashes(raw, starts, length), np.full(len(starts), len(names)), starts))
+                    names.append(row)
                     hot_n += len(starts)
                 few, whole = ~many, raw.tobytes()
                 bucket = (gram[few] >> np.uint64(20)) % np.uint64(buckets)
                 for k, a, s, t in zip(bucket.tolist(), at[few].tolist(), first[few].tolist(), last[few].tolist(), strict=True):
                     cold.append((k, row, a, a - t, a - s, whole[a : t + length], whole[s:a][::-1]))
                 if hot_n > COMBINE:
-                    yield from windows(hot_held)
-                    hot_held, hot_n = [], 0
+                    yield from windows(hot_held, names)
+                    hot_held, hot_n, names = [], 0, []
                 if len(cold) > RUN:
                     yield from blocks(cold)
                     cold = []
-        yield from windows(hot_held)
+        yield from windows(hot_held, names)
         yield from blocks(cold)
 
-    return texts.select("row", "text").mapInArrow(run, FOUND)
+    return texts.select("key", "text").mapInArrow(run, FOUND)
 
 
 def pa_schema(ddl: str) -> pa.Schema:
@@ -362,7 +365,7 @@ def merge_blocks(found: DataFrame, length: int) -> DataFrame:
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
         rows, places, least, most, shared, rests, backs = (table.column(n).to_pylist() for n in names)
-        out: list[tuple[int, int, int]] = []
+        out: list[tuple[bytes, int, int]] = []
         group: list[Entry] = []
         for r, i, string, known in merged(list(zip(shared, rests, strict=True))):
             if known < GRAM:
@@ -388,25 +391,32 @@ def hot_windows(found: DataFrame, length: int) -> DataFrame:
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (array of low and high bytes removed).
 
+    Equal texts are one text in the search; a text of length bytes or more that two rows have goes as a whole.
+
     A byte goes if a string of length bytes that covers it also starts anywhere else, in any row, the same one included. Null texts
     count as empty; texts shorter than length keep everything; repeated rows lose what they share with each other. length must be
     at least 40. Other columns of docs are ignored.
     """
     if length < GRAM + 8:
         raise ValueError(f"length must be at least {GRAM + 8}")
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
-    texts = saved(texts, "texts")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), text_key(text).alias("key"))
+    copies = saved(repeated_texts(rows), "copies")
+    texts = each_text_once(rows.filter(F.octet_length("text") >= length), copies)
     counts = saved(anchor_counts(texts, length).filter("n > 1"), "counts")
     found = saved(search(texts, counts, length, hot), "found")
     spans = found.filter("kind = 0").select("row", "low", "high").unionByName(hot_windows(found, length)).unionByName(merge_blocks(found, length))
-    by_row = spans.groupBy("row").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    by_text = spans.groupBy(F.col("row").alias("key")).agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    # A text that two rows have goes as a whole; both lists have a row for each different text.
+    hits = saved(by_text.join(copies, "key", "full").select("key", "spans", F.col("copies").isNotNull().alias("whole")), "hits")
+    told = flagged(rows, "key", bit_filter(hits, "key", HIT_BITS), HIT_BITS, "maybe")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
-            for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for text, spans, whole in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 raw = text.encode("utf-8", "replace")
-                gone = contiguous(sorted((s["low"], s["high"]) for s in spans or ()))
+                gone = [(0, len(raw))] if whole and len(raw) >= length else contiguous(sorted((s["low"], s["high"]) for s in spans or ()))
                 kept, at = hashlib.sha256(), 0
                 for low, high in gone:
                     kept.update(raw[at:low])
@@ -421,7 +431,16 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<low:int,high:int>>"
-    return texts.join(by_row, "row", "left").select("doc_id", "text", "spans").mapInArrow(cut, schema)
+    some = told.filter("maybe").join(hits, "key", "left").select("doc_id", "text", "spans", "whole").mapInArrow(cut, schema)
+    none = told.filter("not maybe").select(
+        "doc_id",
+        F.octet_length("text").cast("long").alias("n_bytes"),
+        F.lit(0).cast("long").alias("n_removed"),
+        F.lit(0).cast("long").alias("n_spans"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"),
+        F.expr("cast(array() as array<struct<low:int,high:int>>)").alias("spans"),
+    )
+    return some.unionByName(none)
 
 
 def contiguous(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
