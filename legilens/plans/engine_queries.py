@@ -419,7 +419,7 @@ _GAP = 6 * 3600 * 1000
 
 @query(
     "event_sessions",
-    f"""with e as (select user_id, event_type, epoch_ms(ts) as ms, event_id from events),
+    f"""with e as (select user_id, event_type, epoch_us(ts) // 1000 as ms, event_id from events),
     n as (select *, case when ms - lag(ms) over (partition by user_id, event_type order by ms) > {_GAP} then 1
       when lag(ms) over (partition by user_id, event_type order by ms) is null then 1 else 0 end as new from e),
     s as (select *, sum(new) over (partition by user_id, event_type order by ms rows between unbounded preceding and current row) as session from n)
@@ -427,7 +427,7 @@ _GAP = 6 * 3600 * 1000
 )
 def event_sessions(spark, sf_dir):
     """The rule of incidents on the events table: a gap of more than six hours starts a new one."""
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_type", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_type", F.expr("unix_micros(cast(ts as timestamp)) div 1000").alias("at"))
     told = incidents.sessions(rows, ("user_id", "event_type"), "at", _GAP)
     return told.groupBy("user_id", "event_type", "session").agg(F.min("at").alias("first_ms"), F.max("at").alias("last_ms"), F.count("*").alias("n")).drop("session")
 
