@@ -157,6 +157,13 @@ def test_compact_windows():
             assert len(holding) == 1 and y[holding[0][1]] == y[i : j + 1].min()
 
 
+def test_quick_windows():
+    rng = np.random.default_rng(3)
+    for n in (8, 9, 50, 300):
+        y = rng.permutation(n).astype(np.uint64) << np.uint64(30)
+        assert sorted(map(tuple, substring_dedup.quick_windows(y, 8).tolist())) == sorted(substring_dedup.compact_windows(y, 8))
+
+
 def test_substring(spark):
     shared_part = cases.words(60, 50, 10**6)
     edited = shared_part.split()
