@@ -41,14 +41,14 @@ class Vocabulary:
         normal = [i for i in range(size) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         self.pieces = {model.id_to_piece(i): (model.get_score(i), i) for i in normal}
         self.unknown = min(s for s, _ in self.pieces.values()) - UNKNOWN
-        self.longest = max(map(len, self.pieces))
         inside = {c for p in self.pieces if len(p) > 1 for c in p}
         alone = "".join(re.escape(c) for c in "\n\r\t\f\v" if c not in inside)
         if any(MARK in p.lstrip(MARK) for p in self.pieces):
             raise ValueError("a piece holds a mark after another character")
         self.words = re.compile(rf"[{alone}]|{MARK}*[^{MARK}{alone}]+|{MARK}+" if alone else rf"{MARK}*[^{MARK}]+|{MARK}+")
-        # Every proper beginning of a piece: the search stops where no piece goes on.
-        self.begins = {p[:k] for p in self.pieces for k in range(1, len(p))}
+        # Every end of a piece, with the piece that it is: going back from a place, the search stops where no piece ends like that.
+        self.ends: dict[str, tuple[float, int] | None] = {p[k:]: None for p in self.pieces for k in range(1, len(p))}
+        self.ends |= self.pieces
         self.known: dict[str, list[int]] = {}
 
     @staticmethod
@@ -57,7 +57,7 @@ class Vocabulary:
 
     def encode_sorted(self, words: list[str]) -> list[list[int]]:
         """Pieces of each word of a sorted list, reusing the forward scores of the prefix shared with the one before."""
-        pieces, longest, unknown = self.pieces, self.longest, self.unknown
+        ends, none, unknown = self.ends, (), self.unknown
         best: list[float] = [0.0]
         back: list[tuple[int, int]] = [(0, -1)]
         before, out = "", []
@@ -71,10 +71,14 @@ class Vocabulary:
             del best[shared + 1 :], back[shared + 1 :]
             for end in range(shared + 1, n + 1):
                 top, at = best[end - 1] + unknown, (end - 1, -1)
-                for start in range(max(0, end - longest), end):
-                    p = pieces.get(word[start:end])
-                    if p is not None and (s := best[start] + p[0]) > top:
-                        top, at = s, (start, p[1])
+                for start in range(end - 1, -1, -1):
+                    p = ends.get(word[start:end], none)
+                    if p:
+                        s = best[start] + p[0]
+                        if s > top:
+                            top, at = s, (start, p[1])
+                    elif p is none:
+                        break
                 best.append(top)
                 back.append(at)
             ids, end = [], n
