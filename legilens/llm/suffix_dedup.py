@@ -28,14 +28,14 @@ from pyspark.sql import functions as F
 from legilens.llm.shared import bit_filter, each_text_once, filter_bytes, flagged, repeated_texts, saved, text_key
 
 LENGTH, GRAM = 200, 32
-#: Occurrences of an anchor string from which its windows are grouped instead of merged.
-HOT = 256
+#: Occurrences of an anchor string above which its windows are grouped instead of merged: bounds a group to some 6 MB and a few seconds.
+HOT = 20_000
 #: Bits of the filters of repeated and of hot anchor strings (8 MB each, whatever the input).
 BITS = 1 << 26
 #: Bits of the filter of texts that lose something: 2 MB.
 HIT_BITS = 1 << 24
 #: Suffixes in a block of the exchange, about, and in a run of one task.
-BLOCK, RUN = 40_000, 200_000
+BLOCK, RUN = 10_000, 200_000
 #: Windows combined at once by a task.
 COMBINE = 1 << 20
 #: Bytes of a text hashed at once.
@@ -206,29 +206,32 @@ def repeated(group: list[Entry], length: int) -> Iterator[tuple[bytes, int, int]
     back = [0, *(common(group[first[x]][5], group[first[y]][5], 0) for x, y in zip(order, order[1:], strict=False))]
     n = len(first)
     # Forward prefix shared with the class before: the least over the entries between.
-    ahead = [0] * n
-    for c in range(1, n):
-        ahead[c] = min(group[i][6] for i in range(first[c - 1] + 1, first[c] + 1))
-    f, b = np.zeros((n, n), np.int32), np.zeros((n, n), np.int32)
-    rank = np.array(order)
-    for c in range(n - 1):
-        f[c, c + 1 :] = np.minimum.accumulate(ahead[c + 1 :])
-        b[rank[c], rank[c + 1 :]] = np.minimum.accumulate(back[c + 1 :])
-    f, b = np.maximum(f, f.T), np.maximum(b, b.T)
+    ahead = np.array([0, *(min(group[i][6] for i in range(first[c - 1] + 1, first[c] + 1)) for c in range(1, n))])
+    behind, back = np.append(ahead[1:], 0), np.array(back)
+    rank, place = np.array(order), np.empty(n, np.int64)
+    place[rank] = np.arange(n)
     low = np.array([group[i][2] for i in first])
     high = np.array([group[i][3] for i in first])
-    lo = np.maximum(np.maximum(low[:, None], low[None, :]), length - f)
-    hi = np.minimum(np.minimum(high[:, None], high[None, :]), b)
-    hit = lo <= hi
-    np.fill_diagonal(hit, False)
-    for c in np.flatnonzero(hit.any(axis=1)).tolist():
-        members = classes[c]
+    for c, members in enumerate(classes):
         if len(members) > 1:
             continue
-        spans = sorted(zip(lo[c][hit[c]].tolist(), hi[c][hit[c]].tolist(), strict=True))
-        row, at = group[members[0]][:2]
-        for j_low, j_high in joined(spans):
-            yield row, at - j_high, at - j_low + length
+        # Shared with each other class: least common prefixes on the way to it, in forward and in backward order.
+        f, b = np.empty(n, np.int64), np.empty(n, np.int64)
+        f[c + 1 :] = np.minimum.accumulate(ahead[c + 1 :])
+        f[:c] = np.minimum.accumulate(behind[:c][::-1])[::-1]
+        k = place[c]
+        b[rank[k + 1 :]] = np.minimum.accumulate(back[k + 1 :])
+        b[rank[:k]] = np.minimum.accumulate(back[k:0:-1])[::-1]
+        f[c] = b[c] = 0
+        lo = np.maximum(np.maximum(low, low[c]), length - f)
+        hi = np.minimum(np.minimum(high, high[c]), b)
+        hit = lo <= hi
+        hit[c] = False
+        if hit.any():
+            pairs = np.unique(np.column_stack((lo[hit], hi[hit])), axis=0)
+            row, at = group[members[0]][:2]
+            for j_low, j_high in joined([tuple(p) for p in pairs.tolist()]):
+                yield row, at - j_high, at - j_low + length
 
 
 def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
