@@ -40,8 +40,6 @@ STARTS = (4, 5, 6)
 LETTERS = 64
 #: Restorations kept for a token, and how far behind the best one may be (natural log).
 BEST, MARGIN = 4, 5.0
-#: Longest token that is decoded as one word; longer ones are left as they are written.
-LONGEST = 48
 
 # Signs that stand for letters.
 LOOKALIKES = {
@@ -54,6 +52,8 @@ AS_WRITTEN, LOOKS_ALIKE, DOUBLED = 0.0, 0.7, 0.7
 WORD = re.compile(r"[^\W\d_]+")
 MARKED = re.compile(r"[0-9@$!|+(*#€£]")
 TOKEN = re.compile(r"[^\s.,;:?\"'<>=/\\{}\[\]]+")
+#: A sign that is not a digit beside another look-alike.
+SIGNS = re.compile(r"[@$€£][0-9@$!|+(*#€£]|[0-9@$!|+(*#€£][@$€£]")
 REPEATED = re.compile(r"([^\W\d_])\1\1")
 SPACED = re.compile(r"(?<![^\s])(?:[^\W_]|[@$!|+*#])(?:[ ._*-](?:[^\W_]|[@$!|+*#])){2,}(?![^\s.,;:?!])")
 
@@ -242,17 +242,19 @@ class Decoder:
 
 
 def suspicious(text: str) -> set[str]:
-    """Tokens that show the channel's marks: look-alikes beside letters, runs of a letter, letters spaced out."""
+    """Tokens that show the channel's marks, however long: look-alikes beside letters or alone, runs of a letter, letters spaced out."""
     found = set()
     if MARKED.search(text):
         for t in TOKEN.findall(text):
             core = t.strip("!|()*#+-_")
-            if len(core) <= LONGEST and MARKED.search(core) and any(map(str.isalpha, core)):
+            if MARKED.search(core) and any(map(str.isalpha, core)):
                 found.add(core)
+            elif SIGNS.search(t) and not any(map(str.isalpha, t)):  # look-alikes alone, not a mere number
+                found.add(t)
     if REPEATED.search(text):
         found.update(t for t in TOKEN.findall(text) if REPEATED.search(t))
     found.update(m.group() for m in SPACED.finditer(text))
-    return {t for t in found if len(t) <= LONGEST}
+    return found
 
 
 class Scorer:
@@ -261,6 +263,7 @@ class Scorer:
     def __init__(self, model: np.ndarray, weights: dict[str, float], prior: float, none: float):
         self.decoder, self.weights, self.prior, self.none = Decoder(model), weights, prior, none
         self.heads = {t[:4] for t in weights}
+        self.longest = max(map(len, weights), default=0)
 
     def terms(self, words: set[str]) -> set[str]:
         w, out = self.weights, set()
@@ -269,11 +272,23 @@ class Scorer:
                 out.update(t for t in (x, *(x[:k] + "*" for k in STARTS if len(x) > k)) if t in w)
         return out
 
+    def inner(self, word: str) -> set[str]:
+        """The terms that begin anywhere in a restored run of letters; a whole word counts where it stands, as the run does not show its end."""
+        out = set()
+        for at in range(len(word) - 3):
+            if word[at : at + 4] in self.heads:
+                rest = word[at:]
+                out.update(t for k in range(4, min(len(rest), self.longest) + 1) for t in (rest[:k], rest[:k] + "*") if t in self.weights and (t[-1] != "*" or len(rest) > k))
+        return out
+
     def score(self, text: str | None) -> float:
         low = (text or "").lower()
         found = self.terms(set(WORD.findall(low)))
         for token in suspicious(low):
-            found |= self.terms(set(self.decoder.restore(token)))
+            words = self.decoder.restore(token)
+            found |= self.terms(set(words))
+            if SPACED.fullmatch(token):
+                found = found.union(*map(self.inner, words))
         logit = self.prior + sum(self.weights[t] for t in found) if found else self.none
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, logit))))
 
