@@ -30,7 +30,7 @@ def normalize_unicode(s: str, d: Dialect) -> str:
     return f"translate({s}, {d.lit(source + known.DELETED)}, {d.lit(target)})"
 
 
-def _classes() -> tuple[str, str]:
+def classes() -> tuple[str, str]:
     source = "".join(known.CONFUSED.values())
     target = "".join(c * len(members) for c, members in known.CONFUSED.items())
     rest = "".join(c for c in UPPER if c not in source)
@@ -39,7 +39,7 @@ def _classes() -> tuple[str, str]:
 
 def confusion_class(s: str, d: Dialect) -> str:
     """Each character as the one that stands for its class; keeps the length."""
-    source, target = _classes()
+    source, target = classes()
     return f"translate({s}, {d.lit(source)}, {d.lit(target)})"
 
 
@@ -54,12 +54,12 @@ def confusable_python(s: str) -> str:
     """normalize_confusable of a constant."""
     for pair, one in known.MERGED:
         s = s.replace(pair, one)
-    return s.translate(str.maketrans(*_classes()))
+    return s.translate(str.maketrans(*classes()))
 
 
 def find_all(s: str, needle: str, d: Dialect) -> str:
     """Places from 0 at which the constant needle occurs in s, both in confusion space; occurrences may overlap."""
-    n = needle.translate(str.maketrans(*_classes()))
+    n = needle.translate(str.maketrans(*classes()))
     hay = confusion_class(s, d)
     place = d.filter(d.seq("1", f"length(h) - {len(n) - 1}"), "i", f"{d.sub('h', 'i', str(len(n)))} = {d.lit(n)}")
     found = d.transform(place, "i", "cast(i - 1 as int)")

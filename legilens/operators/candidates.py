@@ -1,120 +1,259 @@
 """Candidates for secrets: tokens, what follows = or : in them, and runs of fragments that were torn apart by single spaces.
 
-Places are code points of the text. The regular expressions find tokens and fragments with their places in one pass over each Arrow batch.
+Places are code points of the text. Spark has no function that gives the places of matches, so regular expressions find them in one pass over each
+Arrow batch. Detection doesn't look at every candidate: a necessary condition on how one begins (START) drops whole texts in the JVM first, and
+only candidates at such places are made.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from legilens.functions import dictionaries as known
+from legilens.functions import scalars as f
+from legilens.functions.dialect import Spark
 
 #: Least length of a suffix, and the most fragments of a run.
 SUFFIX, SPAN = 12, 6
+#: No pattern, connection string or web token accepts fewer characters.
+SHORTEST = 12
+INSIDE = "[A-Za-z0-9_.:/+=@-]"
 TOKEN = re.compile(f"[^{known.WHITE}{re.escape(known.BETWEEN)}]+")
-FRAGMENT = re.compile(r"[A-Za-z0-9_.:/+=@-]+")
+GAP = re.compile(f"[{known.WHITE}{re.escape(known.BETWEEN)}]")
+#: Two or more fragments with exactly one space between neighbours, as many as there are.
+CHAIN = re.compile(f"(?<!{INSIDE}){INSIDE}++(?: {INSIDE}++)+")
+ENDS = ".:,-"
 
-Candidate = tuple[int, int, str]
+#: Level (0 token, 1 run), start and end of what it was taken from, offset in it: the order in which candidates are tried.
+Order = tuple[int, int, int, int]
+Candidate = tuple[Order, int, int, str]
 
 
 def tokens(text: str) -> Iterator[Candidate]:
-    """(start, end, token) without trailing dots, colons, commas and hyphens."""
+    """Tokens without the signs in ENDS at their end."""
     for m in TOKEN.finditer(text):
-        t = m.group().rstrip(".:,-")
-        if t:
-            yield m.start(), m.start() + len(t), t
+        if t := m.group().rstrip(ENDS):
+            end = m.start() + len(t)
+            yield (0, m.start(), end, 0), m.start(), end, t
 
 
-def suffixes(token: str) -> Iterator[tuple[int, str]]:
-    """(offset, rest) after each = and :, unless the rest is short or padding only."""
-    at = 0
-    for m in re.finditer("[=:]", token):
-        at = m.end()
-        rest = token[at:]
+def suffixes(candidate: Candidate) -> Iterator[Candidate]:
+    """What follows each = and :, unless it is short or padding only. Inside a run places are approximate but stay within it."""
+    (level, low, high, _), start, end, t = candidate
+    for m in re.finditer("[=:]", t):
+        rest = t[m.end() :]
         if len(rest) >= SUFFIX and rest.strip("="):
-            yield at, rest
+            yield (level, low, high, m.end()), min(start + m.end(), end), end, rest
 
 
 def glued(text: str) -> Iterator[Candidate]:
-    """(start, end, text without spaces) of runs of 2 to SPAN fragments with exactly one space between neighbours."""
-    places = [m.span() for m in FRAGMENT.finditer(text)]
-    n = len(places)
-    follows = [k + 1 < n and places[k + 1][0] == places[k][1] + 1 and text[places[k][1]] == " " for k in range(n)]
-    for a in range(n):
-        joined, b = text[slice(*places[a])], a
-        while follows[b] and b - a + 1 < SPAN:
-            b += 1
-            joined += text[slice(*places[b])]
-            yield places[a][0], places[b][1], joined
-
-
-def all_candidates(text: str) -> Iterator[Candidate]:
-    """Every candidate: tokens and their suffixes, then runs and theirs. Places inside a run are approximate but stay within it."""
-    for start, end, t in tokens(text):
-        yield start, end, t
-        for at, rest in suffixes(t):
-            yield start + at, start + at + len(rest), rest
-    for start, end, t in glued(text):
-        yield start, end, t
-        for at, rest in suffixes(t):
-            yield min(start + at, end), end, rest
-
-
-def _anchors() -> re.Pattern[str]:
-    """What a candidate must look like for any pattern, connection string or web token to accept it.
-
-    Its first character shares a class with that of a prefix. Beyond the two characters that the shortest prefix takes there is a digit, a
-    special sign or a second capital: otherwise it reads as a word, and a word's randomness is below every pattern's least.
-    """
-    members = {c: m for c, m in known.CONFUSED.items()}
-    first = set()
+    """Runs of 2 to SPAN neighbours of a chain, without the spaces between them."""
+    for m in CHAIN.finditer(text):
+        parts, begins = _parts(m)
+        for a, low in enumerate(begins):
+            for b in range(a + 2, min(a + SPAN, len(parts)) + 1):
+                high = begins[b - 1] + len(parts[b - 1])
+                yield (1, low, high, 0), low, high, "".join(parts[a:b])
+
+
+def _parts(chain: re.Match[str]) -> tuple[list[str], list[int]]:
+    """The fragments of a chain and where they begin."""
+    parts = chain.group().split(" ")
+    return parts, [chain.start() + n for n in accumulate((len(p) + 1 for p in parts[:-1]), initial=0)]
+
+
+def every(text: str) -> Iterator[Candidate]:
+    for made in (tokens(text), glued(text)):
+        for c in made:
+            yield c
+            yield from suffixes(c)
+
+
+# How a candidate must begin
+
+
+def _members(c: str) -> str:
+    """Pattern of what one character in confusion space may be in a text."""
+    singles = known.CONFUSED.get(c) or "".join(x for x in {c, c.upper()} if x.translate(str.maketrans(*f.classes())) == c)
+    pairs = [pair for pair, one in known.MERGED if one == c]
+    one = "[" + "".join("\\" + x if not x.isalnum() else x for x in sorted(singles)) + "]"
+    return "(?:" + "|".join([one, *pairs]) + ")" if pairs else one
+
+
+def _spaced(parts: list[str]) -> str:
+    """The parts with or without one space between them: a run is compared without its spaces."""
+    return " ?".join(parts)
+
+
+#: Characters of a body's set that follow each other at least, where the body's length is fixed and 85 % of it belong to the set: a little
+#: less than the longest stretch that 15 % of others can't avoid.
+STRETCH = {"upper_alnum": 4, "hex": 5}
+
+
+def _beginnings(p: known.Pattern) -> Iterator[tuple[str, str]]:
+    """For each prefix the class of its first character, and a necessary condition: of a prefix cut into one part more than it may have errors, one
+    part is there unharmed, near its place."""
+    last = ""
+    if p.body_min == p.body_max and p.charset in STRETCH:
+        last = f"(?=(?:. ?){{1,{p.body_max + p.tolerance}}}?(?:[{known.CHARSETS[p.charset]}] ?){{{STRETCH[p.charset]}}})"
+    for prefix in p.prefixes:
+        folded = f.confusable_python(prefix)
+        n = p.tolerance + 1
+        cuts = [len(folded) * k // n for k in range(n + 1)]
+        tries = []
+        for low, high in zip(cuts, cuts[1:]):
+            ahead = f"(?:. ?){{{max(0, low - p.tolerance)},{len(prefix) + p.tolerance - (high - low)}}}?" if p.tolerance else ""
+            tries.append(ahead + _spaced([_members(c) for c in folded[low:high]]))
+        yield _members(f.confusable_python(prefix[0])), f"(?={'|'.join(tries)}){last}"
+
+
+def _start() -> str:
+    schemes = "|".join(_spaced([re.escape(c) for c in s]) for s in known.SCHEMES)
+    by_first: dict[str, list[str]] = {}
     for p in known.PATTERNS:
-        for prefix in p.prefixes:
-            group = next((m for m in members.values() if prefix[0] in m), prefix[0].lower() + prefix[0].upper())
-            first.update(group)
-    inside = "".join(re.escape(c) for c in sorted(first))
-    schemes = "|".join(re.escape(s) for s in known.SCHEMES)
-    return re.compile(rf"eyJ|(?i:{schemes})|[{inside}].(?=.*[0-9_+/=.-]|.*[A-Z].*[A-Z])", re.S)
+        for first, condition in _beginnings(p):
+            by_first.setdefault(first, []).append(condition)
+    ways = ["e ?y ?J", f"(?i:{schemes})", *(f"(?={first})(?:{'|'.join(dict.fromkeys(c))})" for first, c in by_first.items())]
+    return f"(?:(?<=[=:])|(?<!{INSIDE}))(?=" + "|".join(ways) + ")"
 
 
-ANCHORED = _anchors()
-#: No pattern, scheme or web token accepts fewer characters.
-SHORTEST = 12
+#: Where a candidate may begin that some detector accepts. The same text is a pattern for the JVM.
+START_PATTERN = _start()
+START = re.compile(START_PATTERN)
+#: Beyond the two characters that the shortest prefix takes such a candidate has a digit, a special sign or a second capital: otherwise it reads
+#: as a word, and a word's randomness is below every pattern's least.
+NO_WORD = re.compile(r"eyJ|..(?=.*[0-9_+/=.-]|.*[A-Z].*[A-Z])", re.S)
 
 
 def likely(text: str) -> Iterator[Candidate]:
-    """Those of all_candidates that some detector may accept, in the same order."""
-    for c in all_candidates(text):
-        if len(c[2]) >= SHORTEST and ANCHORED.match(c[2]):
-            yield c
+    """Those of every() that some detector may accept."""
+    at = [m.start() for m in START.finditer(text)]
+    if at:
+        for c in _made(text, at):
+            if len(c[3]) >= SHORTEST and NO_WORD.match(c[3]):
+                yield c
+
+
+def _made(text: str, at: list[int]) -> Iterator[Candidate]:
+    """The candidates that begin at the given places."""
+    for q in at:
+        told = q > 0 and text[q - 1] in "=:"
+        if told or not q or GAP.match(text, q - 1):
+            if (m := TOKEN.match(text, q)) and (t := m.group().rstrip(ENDS)) and not (told and (len(t) < SUFFIX or not t.strip("="))):
+                yield (0, q, q + len(t), 0), q, q + len(t), t
+    for m in CHAIN.finditer(text):
+        k = bisect_left(at, m.start())
+        if k == len(at):
+            break
+        parts, begins = [], []
+        while k < len(at) and at[k] < m.end():
+            if not parts:
+                parts, begins = _parts(m)
+                lengths = [0, *accumulate(map(len, parts))]
+            yield from _runs(parts, begins, lengths, at[k])
+            k += 1
+
+
+def _runs(parts: list[str], begins: list[int], lengths: list[int], q: int) -> Iterator[Candidate]:
+    """The runs of a chain, and their suffixes, whose first character is at q. The suffix of a run may begin in each of its fragments."""
+    i = bisect_left(begins, q + 1) - 1
+    inside, n = q - begins[i], len(parts)
+    told = parts[i][inside - 1] in "=:" if inside else i > 0 and parts[i - 1][-1] in "=:"
+    for a in range(max(0, i - SPAN + 1) if told else i, i + 1):
+        if a == i and inside and not told:
+            continue
+        offset = lengths[i] - lengths[a] + inside
+        for b in range(max(i + 1, a + 2), min(a + SPAN, n) + 1):
+            rest, low, high = "".join(parts[a:b])[offset:], begins[a], begins[b - 1] + len(parts[b - 1])
+            if not offset or (len(rest) >= SUFFIX and rest.strip("=")):
+                yield (1, low, high, offset), min(low + offset, high), high, rest
+
+
+# Other beginnings
+
+
+KEYWORD_PATTERN = "(?i:" + "|".join(map(re.escape, known.KEYWORDS)) + ")"
+KEYWORD = re.compile(KEYWORD_PATTERN)
+
+
+def _header(text: str) -> str:
+    """Pattern of a header in confusion space, which keeps lengths."""
+    table = str.maketrans(*f.classes())
+    return "".join("[" + "".join("\\" + x if not x.isalnum() else x for x in sorted(known.CONFUSED.get(c.translate(table)) or {c.lower(), c.upper()})) + "]" for c in text)
+
+
+HEADER_PATTERN = _header("-----BEGIN ")
+HEADER = re.compile(f"(?={HEADER_PATTERN})")
+HEADERS = [re.compile(_header(h)) for h in known.PEM_HEADERS]
+
+
+def headers(text: str) -> Iterator[Candidate]:
+    """Headers of private keys; overlapping ones count."""
+    for m in HEADER.finditer(text):
+        for k, h in enumerate(HEADERS):
+            if found := h.match(text, m.start()):
+                yield (k, m.start(), found.end(), 0), m.start(), found.end(), found.group()
+
+
+def lines(text: str) -> Iterator[Candidate]:
+    """Lines with a keyword."""
+    end = -1
+    for m in KEYWORD.finditer(text):
+        if m.start() > end:
+            start, end = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
+            end = len(text) if end < 0 else end
+            yield (0, start, end, 0), start, end, text[start:end]
+
+
+KINDS = {
+    "tokens": lambda text: ((0, c) for c in tokens(text)),
+    "suffixes": lambda text: ((0, s) for c in tokens(text) for s in suffixes(c)),
+    "glued": lambda text: ((0, c) for c in glued(text)),
+    "all": lambda text: ((0, c) for c in every(text)),
+    # Kind of each item as the detector that looks at it first: 0 header of a private key, 1 candidate, 3 line with a keyword.
+    "likely": lambda text: ((kind, c) for kind, made in ((0, headers(text)), (1, likely(text)), (3, lines(text))) for c in made),
+}
+ITEM = "kind int, level int, low int, high int, offset int, start int, end int, token string"
+#: Items and characters of a batch that is handed on.
+BATCH, CHARACTERS = 50_000, 1 << 24
 
 
 def explode(rows: DataFrame, kind: str = "likely") -> DataFrame:
-    """(id, seq, start, end, token) of the candidates of each (id, text): tokens, suffixes, glued, all or likely. Null texts have none."""
+    """(id, seq, kind, start, end, token) of the candidates of each (id, text); seq is their order. Null texts have none.
 
-    def of(text: str) -> Iterator[Candidate]:
-        if kind == "tokens":
-            return tokens(text)
-        if kind == "suffixes":
-            return ((s + at, s + at + len(rest), rest) for s, _, t in tokens(text) for at, rest in suffixes(t))
-        return {"glued": glued, "all": all_candidates, "likely": likely}[kind](text)
+    Texts in which nothing of kind likely can begin are dropped in the JVM.
+    """
+    made = KINDS[kind]
+    texts = rows.select("id", "text").filter("text is not null")
+    if kind == "likely":
+        texts = texts.filter(" or ".join(f"text rlike {Spark.lit(p)}" for p in (HEADER_PATTERN, KEYWORD_PATTERN, START_PATTERN)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int32()] * 7 + [pa.string()]
+        names = ["id", *(part.split(" ")[0] for part in ITEM.split(", "))]
+
+        def batch(owners: pa.Array, ids: list[int], found: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*found, strict=True)) or [()] * 8
+            return pa.RecordBatch.from_arrays([owners.take(pa.array(ids, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
+
         for b in batches:
-            ids, found = [], []
-            texts = b.column(1).to_pylist()
-            for i, text in enumerate(texts):
-                for seq, c in enumerate(of(text or "")):
+            ids, found, held = [], [], 0
+            for i, text in enumerate(b.column(1).to_pylist()):
+                for k, (order, start, end, token) in made(text):
                     ids.append(i)
-                    found.append((seq, *c))
-                if len(found) > 100_000 or i == len(texts) - 1:
-                    columns = list(zip(*found, strict=True)) or [(), (), (), ()]
-                    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.string())
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["id", "seq", "start", "end", "token"])
-                    ids, found = [], []
-
-    return rows.select("id", "text").mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, seq int, start int, end int, token string")
+                    found.append((k, *order, start, end, token))
+                    held += len(token)
+                    if len(found) >= BATCH or held > CHARACTERS:
+                        yield batch(b.column(0), ids, found)
+                        ids, found, held = [], [], 0
+            yield batch(b.column(0), ids, found)
+
+    items = texts.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, {ITEM}")
+    return items.select("id", F.struct("level", "low", "high", "offset").alias("seq"), "kind", "start", "end", "token")

@@ -6,9 +6,7 @@ character, which turns the comparison with every prefix into an equi-join. Cheap
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from legilens.functions import dictionaries as known
@@ -17,7 +15,6 @@ from legilens.functions.dialect import Spark
 from legilens.operators import candidates
 
 FINDING = ("pattern_id", "label", "provider", "severity", "severity_rank", "start", "end", "preview", "confidence", "token_len")
-WHITE_CLASS = known.WHITE
 
 
 def normalised(rows: DataFrame) -> DataFrame:
@@ -44,222 +41,170 @@ def rejected_reason() -> Column:
     return F.expr(f.structural_rejection("token", Spark))
 
 
+#: What a prefix must pass, from cheap to dear: a name, its value, and the condition that it goes on under.
+HEAD = f.normalize_confusable("substring(token, 1, n)", Spark)
+STEPS = (
+    ("low", "greatest(1, prefix_len - tolerance)", None),
+    ("high", "least(prefix_len + tolerance, length(token))", None),
+    ("best", f"if(low <= high, array_min(transform(sequence(low, high), n -> named_struct('d', levenshtein({HEAD}, folded), 'off', abs(n - prefix_len), 'n', n))), null)", "best.d <= tolerance"),
+    ("body", "if(best.d <= tolerance, substring(token, best.n + 1), null)", None),
+    ("ratio", "if(length(body) between body_min and body_max, cast(length(regexp_replace(body, concat('[^', charset, ']'), '')) as double) / nullif(length(body), 0), null)", "ratio >= 0.85"),
+    ("random", f"if(ratio >= 0.85D, {f.randomness('body', Spark)}, null)", "random >= min_randomness"),
+)
+CONFIDENCE = "least(1D, 0.45D * if(startswith(token, prefix), 1D, 0.75D) + 0.30D * ratio + 0.25D * random)"
+#: Fold over a list of m (confidence, longest) in the order of the patterns: a later one wins by 0.05, or within 0.05 with a longer prefix.
+FOLD = (
+    "aggregate(slice({a}, 2, greatest(size({a}), 1)), get({a}, 0).m, (b, x) -> if(x.m.confidence > b.confidence + 0.05D"
+    " or (x.m.longest > b.longest and x.m.confidence + 0.05D >= b.confidence), x.m, b))"
+)
+
+
+def tried(rows: DataFrame, spare: str | None = None) -> DataFrame:
+    """rows (with token) beside each prefix that accepts them, with confidence. Rows for which spare holds stay without a prefix as well."""
+    dim = F.broadcast(pattern_dimension(rows.sparkSession))  # a row for each known prefix
+    out = rows.withColumn("anchor", F.expr(f.confusion_class("substring(token, 1, 1)", Spark))).join(dim, "anchor", "left" if spare else "inner")
+    for name, value, goes_on in STEPS:
+        out = out.withColumn(name, F.expr(value))
+        if goes_on:
+            out = out.filter(f"{goes_on} or {spare}" if spare else goes_on)
+    return out.withColumn("confidence", F.expr(f"if(random >= min_randomness, {CONFIDENCE}, null)"))
+
+
 def matched(cands: DataFrame) -> DataFrame:
-    """(id, seq, start, end, token, pattern..., consumed, confidence) of each candidate's best prefix for each pattern that accepts it."""
-    dim = F.broadcast(pattern_dimension(cands.sparkSession))  # a row for each known prefix
-    head = f.normalize_confusable("substring(token, 1, n)", Spark)
-    tries = f"transform(sequence(low, high), n -> named_struct('d', levenshtein({head}, folded), 'off', abs(n - prefix_len), 'n', n))"
-    joined = (
-        cands.withColumn("anchor", F.expr(f.confusion_class("substring(token, 1, 1)", Spark)))
-        .join(dim, "anchor")
-        .withColumns({"low": F.expr("greatest(1, prefix_len - tolerance)"), "high": F.expr("least(prefix_len + tolerance, length(token))")})
-        .filter("low <= high")
-        .withColumn("best", F.expr(f"array_min({tries})"))
-        .filter("best.d <= tolerance")
-        .withColumns({"consumed": F.expr("best.n"), "body": F.expr("substring(token, best.n + 1)")})
-        .filter("length(body) between body_min and body_max")
-        .withColumn("ratio", F.expr("cast(length(regexp_replace(body, concat('[^', charset, ']'), '')) as double) / nullif(length(body), 0)"))
-        .filter("ratio >= 0.85")
-        .withColumn("random", F.expr(f.randomness("body", Spark)))
-        .filter("random >= min_randomness")
-    )
-    score = F.when(F.expr("startswith(token, prefix)"), 1.0).otherwise(0.75)
-    scored = joined.withColumn("confidence", F.least(F.lit(1.0), F.lit(0.45) * score + F.lit(0.30) * F.col("ratio") + F.lit(0.25) * F.col("random")))
-    kept = ["token", "pattern_id", "label", "provider", "severity", "severity_rank", "start", "end", "consumed", "confidence", "longest"]
+    """(id, seq, pattern_ord, m) of each candidate's best prefix for each pattern that accepts it."""
+    kept = ["token", "pattern_id", "label", "provider", "severity", "severity_rank", "start", "end", F.col("best.n").alias("consumed"), "confidence", "longest"]
     best = F.max_by(F.struct(*kept), F.struct("confidence", -F.col("prefix_ord"))).alias("m")
-    return scored.groupBy("id", "seq", "pattern_ord").agg(best)
+    return tried(cands).groupBy("id", "seq", "pattern_ord").agg(best)
 
 
 def best_pattern(matches: DataFrame) -> DataFrame:
-    """(id, seq, m): each candidate's best pattern, folded in order: a later one wins by 0.05, or within 0.05 with a longer prefix."""
-    fold = (
-        "aggregate(slice(a, 2, size(a)), element_at(a, 1).m, (b, x) -> if(x.m.confidence > b.confidence + 0.05D"
-        " or (x.m.longest > b.longest and x.m.confidence + 0.05D >= b.confidence), x.m, b))"
-    )
+    """(id, seq, m): each candidate's best pattern."""
     listed = matches.groupBy("id", "seq").agg(F.array_sort(F.collect_list(F.struct("pattern_ord", "m"))).alias("a"))
-    return listed.select("id", "seq", F.expr(fold).alias("m"))
+    return listed.select("id", "seq", F.expr(FOLD.format(a="a")).alias("m"))
 
 
-def _finding(rows: DataFrame, order: int, **columns: Column | str | int | float) -> DataFrame:
-    made = {k: v if isinstance(v, Column) else F.lit(v) for k, v in columns.items()}
+def shape(**values: str) -> str:
+    """SQL: a finding."""
     kinds = {"severity_rank": "int", "start": "int", "end": "int", "confidence": "double", "token_len": "int"}
-    made["severity_rank"] = F.lit(known.SEVERITIES.index(columns["severity"])) if isinstance(columns["severity"], str) else F.col("severity_rank")
-    return rows.select("id", F.lit(order).alias("detector"), "seq", *[made[k].cast(kinds.get(k, "string")).alias(k) for k in FINDING])
-
-
-def private_keys(texts: DataFrame) -> DataFrame:
-    """Headers of private keys, in confusion space."""
-    head = f.confusion_class("'-----BEGIN '", Spark)
-    near = texts.filter(F.expr(f"contains({f.confusion_class('text', Spark)}, {head})"))
-    places = [
-        f"transform({f.find_all('text', header, Spark)}, p -> named_struct('seq', {k}, 'start', p, 'len', {len(header)}))" for k, header in enumerate(known.PEM_HEADERS)
-    ]
-    found = near.select("id", F.explode(F.expr(f"concat({', '.join(places)})")).alias("p")).select("id", "p.*")
-    return _finding(
-        found, 0, pattern_id="private_key", label="Private key", provider="PEM", severity="critical", start=F.col("start"), end=F.col("start") + F.col("len"),
-        preview="-----BEGIN •••••• PRIVATE KEY-----", confidence=0.98, token_len=F.col("len"),
+    values["severity_rank"] = values.get("severity_rank") or str(known.SEVERITIES.index(values["severity"].strip("'")))
+    return "named_struct(" + ", ".join(f"'{k}', cast({values[k]} as {kinds.get(k, 'string')})" for k in FINDING) + ")"
+
+
+def private_key() -> str:
+    """SQL: the finding of a header of a private key."""
+    return shape(
+        pattern_id="'private_key'", label="'Private key'", provider="'PEM'", severity="'critical'", start="start", end="end", preview="'-----BEGIN •••••• PRIVATE KEY-----'",
+        confidence="0.98D", token_len="length(token)",
     )
 
 
-def db_uris(cands: DataFrame) -> DataFrame:
-    """Connection strings with a password of at least 4 characters that is no placeholder."""
+def db_uri() -> tuple[str, str]:
+    """SQL: whether a candidate is a connection string with a password of at least 4 characters that is no placeholder, and the finding."""
     low = f.lower("token", Spark)
     scheme = "try_element_at(filter(array(" + ", ".join(f"'{s}'" for s in known.SCHEMES) + f"), s -> startswith({low}, s)), 1)"
-    found = (
-        cands.filter(F.expr(f.any_of(f"substring({low}, 1, 14)", known.SCHEMES, Spark)))
-        .withColumn("scheme", F.expr(scheme))
-        .filter("scheme is not null")
-        .withColumn("rest", F.expr("substring(token, length(scheme) + 1)"))
-        .filter("contains(rest, '@')")
-        .withColumn("authority", F.expr("substring_index(rest, '@', 1)"))
-        .filter("contains(authority, ':')")
-        .withColumn("password", F.expr("substring(authority, locate(':', authority) + 1)"))
-        .filter("length(password) >= 4")
-        .filter(F.expr(f"not {f.is_placeholder('password', Spark)}"))
+    authority = f"substring_index(substring(token, length({scheme}) + 1), '@', 1)"
+    password = f"substring({authority}, locate(':', {authority}) + 1)"
+    test = (
+        f"{f.any_of(f'substring({low}, 1, 14)', known.SCHEMES, Spark)} and contains(substring(token, length({scheme}) + 1), '@') and contains({authority}, ':')"
+        f" and length({password}) >= 4 and not {f.is_placeholder(password, Spark)}"
     )
-    return _finding(
-        found, 1, pattern_id="db_uri", label="Connection string with password", provider=F.expr("replace(scheme, '://', '')"), severity="critical", start=F.col("start"),
-        end=F.col("end"), preview=F.expr("concat(scheme, '•••••••@…')"), confidence=0.92, token_len=F.length("token"),
+    return f"coalesce({test}, false)", shape(
+        pattern_id="'db_uri'", label="'Connection string with password'", provider=f"replace({scheme}, '://', '')", severity="'critical'", start="start", end="end",
+        preview=f"concat({scheme}, '•••••••@…')", confidence="0.92D", token_len="length(token)",
     )
 
 
-def web_tokens(cands: DataFrame) -> DataFrame:
-    """Tokens of three base64 parts that begin like a header."""
-    part = f"length(p) >= 8 and {f.charset_ratio('p', known.CHARSETS['base64url'], Spark)} >= 0.9"
-    found = cands.filter("startswith(token, 'eyJ')").withColumn("parts", F.expr(Spark.split("token", ".")))
-    found = found.filter(F.expr(f"size(parts) = 3 and forall(parts, p -> {part})")).filter(F.expr(f"not {f.is_placeholder('token', Spark)}"))
-    return _finding(
-        found, 2, pattern_id="jwt", label="JSON Web Token", provider="JWT", severity="high", start=F.col("start"), end=F.col("end"),
-        preview=F.expr(f.mask("token", "6", Spark)), confidence=0.88, token_len=F.length("token"),
+def web_token() -> tuple[str, str]:
+    """SQL: whether a candidate is a token of three base64 parts that begins like a header, and the finding."""
+    parts, part = Spark.split("token", "."), f"length(p) >= 8 and {f.charset_ratio('p', known.CHARSETS['base64url'], Spark)} >= 0.9"
+    test = f"startswith(token, 'eyJ') and size({parts}) = 3 and forall({parts}, p -> {part}) and not {f.is_placeholder('token', Spark)}"
+    return f"coalesce({test}, false)", shape(
+        pattern_id="'jwt'", label="'JSON Web Token'", provider="'JWT'", severity="'high'", start="start", end="end", preview=f.mask("token", "6", Spark), confidence="0.88D", token_len="length(token)",
     )
 
 
-def assignments(texts: DataFrame) -> DataFrame:
-    """The first keyword of each line, in the order of the list, that a credible value is assigned to."""
-    low = f.lower("line", Spark)
+def keywords_of(items: DataFrame) -> DataFrame:
+    """items with hit (i, kw, at): a row for each keyword of a line, in the order of the list; others stay as they are, with null."""
     kws = "array(" + ", ".join(f"'{k}'" for k in known.KEYWORDS) + ")"
-    hits = f"filter(transform({kws}, (k, i) -> named_struct('seq', i, 'kw', k, 'at', locate(k, {low}))), x -> x.at > 0)"
-    quotes = "[\"'`]+"
-    lead = lambda s: f"regexp_replace({s}, {Spark.lit(f'^[{WHITE_CLASS}]+')}, '')"
-    bare = f"regexp_replace(value_trimmed, {Spark.lit(f'^{quotes}|{quotes}$')}, '')"
-    word = f"regexp_extract({bare}, {Spark.lit(f'[^{WHITE_CLASS}]+')}, 0)"
-    spaced = "kw in (" + ", ".join(f"'{k}'" for k in known.SPACED) + ")"
-    found = (
-        texts.filter(F.expr(f.any_of(f.lower("text", Spark), known.KEYWORDS, Spark)))
-        .select("id", "text", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-        .filter(F.expr(f.any_of(low, known.KEYWORDS, Spark)))
-        .withColumn("line_start", F.expr("if(line_no = 0, 0, length(substring_index(text, chr(10), line_no)) + 1)"))
-        .select("id", "line_no", "line_start", "line", F.explode(F.expr(hits)).alias("h"))
-        .select("id", "line_no", "line_start", "line", "h.*")
-        .withColumn("after", F.expr("substring(line, at + length(kw))"))
-        .withColumn("trimmed", F.expr(lead("after")))
-        .withColumn("sep_len", F.expr("length(after) - length(trimmed)"))
-        .withColumn("spaced", F.expr(f"{spaced} and sep_len > 0"))
-        .filter("trimmed <> '' and (substring(trimmed, 1, 1) in ('=', ':') or spaced)")
-        .withColumn("value_raw", F.expr("if(spaced, trimmed, substring(trimmed, 2))"))
-        .withColumn("value_trimmed", F.expr(lead("value_raw")))
-        .withColumn("token", F.expr(f"regexp_replace({word}, {Spark.lit('[;,.)' + chr(34) + chr(39) + '`]+$')}, '')"))
-        .filter("length(token) >= 8")
-        .filter(rejected_reason().isNull())
-        .filter(F.expr(f"not {f.is_code_reference('token', Spark)} and {f.secret_charset_ratio('token', Spark)} >= 0.85 and not {f.is_wordlike('token', Spark)}"))
-        .withColumn("random", F.expr(f.randomness("token", Spark)))
-        .filter("random >= 0.5")
-        .withColumn("start", F.expr("line_start + at - 1 + length(kw) + sep_len + if(spaced, 0, 1) + length(value_raw) - length(value_trimmed)"))
-        .withColumn("label", F.expr("concat('Assigned secret (', kw, ')')"))
-        .withColumn("preview", F.expr(f.mask("token", "2", Spark)))
-        .withColumn("token_len", F.length("token"))
+    hits = f"filter(transform({kws}, (k, i) -> named_struct('i', i, 'kw', k, 'at', locate(k, {f.lower('token', Spark)}))), x -> x.at > 0)"
+    return items.withColumn("hit", F.explode_outer(F.expr(f"if(kind = 3, {hits}, null)")))
+
+
+def with_values(hits: DataFrame) -> DataFrame:
+    """hits with value, what the keyword is assigned where that is credible (else null), and its place in the text, value_start."""
+    white = Spark.lit(f"^[{known.WHITE}]+")
+    bare = "regexp_replace(quoted, " + Spark.lit("^[\"'`]+|[\"'`]+$") + ", '')"
+    word = f"regexp_extract({bare}, {Spark.lit(f'[^{known.WHITE}]+')}, 0)"
+    steps = {
+        "after": "substring(token, hit.at + length(hit.kw))",
+        "trimmed": f"regexp_replace(after, {white}, '')",
+        "spaced": "hit.kw in (" + ", ".join(f"'{k}'" for k in known.SPACED) + ") and length(after) > length(trimmed)",
+        "rest": "if(trimmed <> '' and (substring(trimmed, 1, 1) in ('=', ':') or spaced), if(spaced, trimmed, substring(trimmed, 2)), null)",
+        "quoted": f"regexp_replace(rest, {white}, '')",
+        "value": f"regexp_replace({word}, {Spark.lit('[;,.)' + chr(34) + chr(39) + '`]+$')}, '')",
+    }
+    for name, value in steps.items():
+        hits = hits.withColumn(name, F.expr(value))
+    credible = (
+        f"length(value) >= 8 and ({f.structural_rejection('value', Spark)}) is null and not {f.is_code_reference('value', Spark)}"
+        f" and {f.secret_charset_ratio('value', Spark)} >= 0.85 and not {f.is_wordlike('value', Spark)} and {f.randomness('value', Spark)} >= 0.5"
     )
-    first = found.groupBy("id", "line_no").agg(F.min_by(F.struct("start", "label", "preview", "token_len", "random"), "seq").alias("m"))
-    first = first.select("id", F.col("line_no").alias("seq"), "m.*")
-    return _finding(
-        first, 3, pattern_id="assignment", label=F.col("label"), provider="Generic", severity="high", start=F.col("start"), end=F.col("start") + F.col("token_len"),
-        preview=F.col("preview"), confidence=F.least(F.lit(1.0), 0.55 + 0.45 * F.col("random")), token_len=F.col("token_len"),
-    )
+    hits = hits.withColumn("value", F.expr(f"if({credible}, value, null)"))
+    return hits.withColumn("value_start", F.expr("start + length(token) - length(quoted)")).drop(*[s for s in steps if s != "value"])
 
 
-def provider_keys(cands: DataFrame) -> DataFrame:
-    """Keys of known providers among the candidates of at least 12 characters that nothing rejects."""
-    sound = cands.filter("length(token) >= 12").filter(rejected_reason().isNull())
-    best = best_pattern(matched(sound)).select("id", "seq", "m.*")
-    return _finding(
-        best, 4, pattern_id=F.col("pattern_id"), label=F.col("label"), provider=F.col("provider"), severity=F.col("severity"), start=F.col("start"), end=F.col("end"),
-        preview=F.expr(f.mask("token", "consumed", Spark)), confidence=F.col("confidence"), token_len=F.length("token"),
+def assigned() -> str:
+    """SQL: the finding of a value assigned to a keyword."""
+    return shape(
+        pattern_id="'assignment'", label="concat('Assigned secret (', hit.kw, ')')", provider="'Generic'", severity="'high'", start="value_start", end="value_start + length(value)",
+        preview=f.mask("value", "2", Spark), confidence=f"least(1D, 0.55D + 0.45D * {f.randomness('value', Spark)})", token_len="length(value)",
     )
 
 
-def candidate_findings(cands: DataFrame) -> DataFrame:
-    """What db_uris, web_tokens and provider_keys find, in one pass over the candidates.
+def all_findings(rows: DataFrame) -> DataFrame:
+    """(id, detector, seq, columns of FINDING): findings of all detectors over (id, text), overlaps included.
 
-    Tests run from cheap to dear; only candidates that some detector accepts are shuffled, once.
+    One pass: texts are read and folded once, their items are looked at by every detector that they are for, and only what some detector accepts
+    is shuffled, once, by text. Of a line the first keyword with a credible value counts; of a candidate its best pattern.
     """
-    rank = {s: k for k, s in enumerate(known.SEVERITIES)}
-    shape = lambda **c: "named_struct(" + ", ".join(f"'{k}', {c[k]}" for k in ("detector", *FINDING)) + ")"
-    places = {"start": "start", "end": "end", "token_len": "length(token)"}
-    low, url = f.lower("token", Spark), "u"
-    scheme = "try_element_at(filter(array(" + ", ".join(f"'{s}'" for s in known.SCHEMES) + f"), s -> startswith({low}, s)), 1)"
-    secret = f"substring(substring_index({url}.rest, '@', 1), locate(':', substring_index({url}.rest, '@', 1)) + 1)"
-    db = shape(
-        detector="1", pattern_id="'db_uri'", label="'Connection string with password'", provider="replace(u.scheme, '://', '')", severity="'critical'", severity_rank=str(rank["critical"]),
-        preview="concat(u.scheme, '•••••••@…')", confidence="0.92D", **places,
-    )
-    parts, part = Spark.split("token", "."), f"length(p) >= 8 and {f.charset_ratio('p', known.CHARSETS['base64url'], Spark)} >= 0.9"
-    web = shape(
-        detector="2", pattern_id="'jwt'", label="'JSON Web Token'", provider="'JWT'", severity="'high'", severity_rank=str(rank["high"]), preview=f.mask("token", "6", Spark), confidence="0.88D", **places
-    )
-    found = (
-        cands.withColumn("u", F.expr(f"if({f.any_of(f'substring({low}, 1, 14)', known.SCHEMES, Spark)}, named_struct('scheme', {scheme}, 'rest', substring(token, length({scheme}) + 1)), null)"))
-        .withColumn("is_db", F.expr(f"coalesce(u.scheme is not null and contains(u.rest, '@') and contains(substring_index(u.rest, '@', 1), ':') and length({secret}) >= 4 and not {f.is_placeholder(secret, Spark)}, false)"))
-        .withColumn("is_web", F.expr(f"startswith(token, 'eyJ') and size({parts}) = 3 and forall({parts}, p -> {part}) and not {f.is_placeholder('token', Spark)}"))
-        .withColumn("anchor", F.expr(f.confusion_class("substring(token, 1, 1)", Spark)))
-        .join(F.broadcast(pattern_dimension(cands.sparkSession)), "anchor", "left")
-        .filter("pattern_id is not null or is_db or is_web")
-    )
-    head = f.normalize_confusable("substring(token, 1, n)", Spark)
-    tries = f"transform(sequence(low, high), n -> named_struct('d', levenshtein({head}, folded), 'off', abs(n - prefix_len), 'n', n))"
-    steps = {
-        "low": "greatest(1, prefix_len - tolerance)",
-        "high": "least(prefix_len + tolerance, length(token))",
-        "best": f"if(low <= high, array_min({tries}), null)",
-        "body": "if(best.d <= tolerance, substring(token, best.n + 1), null)",
-        "ratio": "if(length(body) between body_min and body_max, cast(length(regexp_replace(body, concat('[^', charset, ']'), '')) as double) / nullif(length(body), 0), null)",
-        "random": f"if(ratio >= 0.85D, {f.randomness('body', Spark)}, null)",
-        "score": f"if(random >= min_randomness and ({f.structural_rejection('token', Spark)}) is null,"
-        " least(1D, 0.45D * if(startswith(token, prefix), 1D, 0.75D) + 0.30D * ratio + 0.25D * random), null)",
-    }
-    for name, value in steps.items():
-        found = found.withColumn(name, F.expr(value))
-        if name in ("best", "ratio"):
-            found = found.filter(("best.d <= tolerance" if name == "best" else "ratio >= 0.85") + " or is_db or is_web")
-    found = found.filter("score is not null or is_db or is_web")
+    is_db, db = db_uri()
+    is_web, web = web_token()
+    items = with_values(keywords_of(candidates.explode(normalised(rows))))
+    told = items.withColumns({"is_db": F.expr(f"kind = 1 and {is_db}"), "is_web": F.expr(f"kind = 1 and {is_web}")})
+    told = told.withColumn("other", F.expr("kind = 0 or is_db or is_web or value is not null")).filter(f"other or (kind = 1 and length(token) >= {candidates.SHORTEST})")
+    found = tried(told, "other")
+    sound = f"kind = 1 and confidence is not null and length(token) >= {candidates.SHORTEST} and ({f.structural_rejection('token', Spark)}) is null"
+    found = found.withColumn("sound", F.expr(f"coalesce({sound}, false)")).filter("other or sound")
     key = shape(
-        detector="4", pattern_id="pattern_id", label="label", provider="provider", severity="severity", severity_rank="severity_rank", preview=f.mask("token", "best.n", Spark), confidence="score", **places
-    )
-    listed = found.groupBy("id", "seq").agg(
+        pattern_id="pattern_id", label="label", provider="provider", severity="severity", severity_rank="severity_rank", start="start", end="end", preview=f.mask("token", "best.n", Spark),
+        confidence="confidence", token_len="length(token)",
+    )
+    listed = found.repartition("id").groupBy("id", "kind", "seq").agg(
+        F.first(F.expr(f"if(kind = 0, {private_key()}, null)")).alias("pem"),
         F.first(F.expr(f"if(is_db, {db}, null)")).alias("db"),
         F.first(F.expr(f"if(is_web, {web}, null)")).alias("web"),
-        F.array_sort(F.collect_list(F.expr(f"if(score is null, null, named_struct('k', pattern_ord, 'c', -score, 'j', prefix_ord, 'longest', longest, 'f', {key}))"))).alias("a"),
+        F.min(F.expr(f"if(value is null, null, struct(hit.i as i, {assigned()} as f))")).alias("line"),
+        F.array_sort(F.collect_list(F.expr(f"if(sound, struct(pattern_ord, -confidence as c, prefix_ord, struct(confidence, longest, {key} as f) as m), null)"))).alias("a"),
     )
-    best = "filter(a, (x, i) -> i = 0 or get(a, i - 1).k <> x.k)"  # each pattern's best prefix
-    fold = (
-        f"aggregate(slice({best}, 2, greatest(size(a), 1)), get(a, 0), (b, x) -> if(-x.c > 0.05D - b.c or (x.longest > b.longest and 0.05D - x.c >= -b.c), x, b)).f"
-    )
-    each = listed.select("id", "seq", F.explode(F.expr(f"array_compact(array(db, web, {fold}))")).alias("f"))
-    return each.select("id", "f.detector", "seq", *[f"f.{c}" for c in FINDING])
-
-
-def all_findings(rows: DataFrame) -> DataFrame:
-    """Findings of all detectors over (id, text), overlaps included."""
-    texts = normalised(rows)
-    parts = [private_keys(texts), candidate_findings(candidates.explode(texts)), assignments(texts)]
-    return reduce(DataFrame.unionByName, parts)
+    listed = listed.withColumn("a", F.expr("filter(a, (x, i) -> i = 0 or get(a, i - 1).pattern_ord <> x.pattern_ord)"))  # each pattern's best prefix
+    five = ", ".join(f"struct({k} as detector, {value} as f)" for k, value in enumerate(("pem", "db", "web", "line.f", f"({FOLD.format(a='a')}).f")))
+    each = listed.select("id", "seq", F.explode(F.expr(f"filter(array({five}), x -> x.f is not null)")).alias("x"))
+    return each.select("id", "x.detector", "seq", *[f"x.f.{c}" for c in FINDING])
 
 
 def without_overlaps(findings: DataFrame) -> DataFrame:
-    """Of overlapping findings of a text the most severe stays, then the most confident, then the first; places are half-open."""
+    """Of overlapping findings of a text the most severe stays, then the most confident, then the first; places are half-open.
+
+    Findings are cut into islands that share no place; each is folded on its own.
+    """
+    before = Window.partitionBy("id").orderBy("start", "end", "detector", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    to_here = before.rowsBetween(Window.unboundedPreceding, 0)
+    new = F.coalesce((F.col("start") >= F.max("end").over(before)).cast("int"), F.lit(1))
+    told = findings.withColumn("new", new).withColumn("island", F.sum("new").over(to_here))
     order = F.struct(
         (-F.col("severity_rank")).alias("r"), (-F.round("confidence", 9)).alias("c"), F.col("start").alias("s"), F.col("detector").alias("d"), F.col("seq").alias("q"), F.struct(*FINDING).alias("f")
     )
-    listed = findings.groupBy("id").agg(F.array_sort(F.collect_list(order)).alias("a"))
+    listed = told.groupBy("id", "island").agg(F.array_sort(F.collect_list(order)).alias("a"))
     none = "cast(array() as array<struct<" + ",".join(f"{x.name}:{x.dataType.simpleString()}" for x in findings.select(*FINDING).schema) + ">>)"
     kept = f"aggregate(transform(a, x -> x.f), {none}, (k, x) -> if(exists(k, y -> x.start < y.end and y.start < x.end), k, concat(k, array(x))))"
     return listed.select("id", F.explode(F.expr(kept)).alias("f")).select("id", "f.*")
@@ -271,8 +216,11 @@ def detect_in_text(rows: DataFrame) -> DataFrame:
 
 
 def rejection_report(rows: DataFrame) -> DataFrame:
-    """(id, token, reason) of every candidate of 12 characters that is no provider key. Diagnostic: it carries raw tokens."""
-    cands = candidates.explode(normalised(rows), "all").filter("length(token) >= 12").withColumn("reason", rejected_reason())
-    accepted = best_pattern(matched(cands.filter("reason is null"))).select("id", "seq")
-    left = cands.join(accepted, ["id", "seq"], "left_anti")
-    return left.select("id", "token", F.coalesce("reason", F.lit("low-randomness")).alias("reason"))
+    """(id, token, reason) of every candidate of 12 characters that is no provider key. Diagnostic: it carries raw tokens.
+
+    Every candidate is made once. A candidate without a reason is low in randomness unless some prefix accepts it, which is tried beside it.
+    """
+    cands = candidates.explode(normalised(rows), "all").filter(f"length(token) >= {candidates.SHORTEST}").withColumn("reason", rejected_reason())
+    told = tried(cands, "true").withColumn("hit", F.expr("reason is null and confidence is not null"))
+    each = told.groupBy("id", "seq").agg(F.bool_or(F.coalesce("hit", F.lit(False))).alias("hit"), F.first("token").alias("token"), F.first("reason").alias("reason"))
+    return each.filter("not hit").select("id", "token", F.coalesce("reason", F.lit("low-randomness")).alias("reason"))

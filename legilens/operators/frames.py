@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,16 +48,30 @@ class Gate:
 def skip_gate(frames: DataFrame, threshold: int = THRESHOLD, max_run: int = MAX_RUN) -> DataFrame:
     """(recording_id, frame_index, skipped) for frames (recording_id, frame_index, hash), in the order of the index.
 
-    A decision depends on the decisions before it, so a recording is one group; its length bounds the group.
+    A decision depends on the decisions before it, so a recording goes to one task, sorted by the shuffle; the task holds one batch of it and the gate.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        gate, rows = Gate(None, 0, threshold, max_run), rows.sort_values("frame_index")
-        rows["skipped"] = [gate.skips(None if h is None else list(h)) for h in rows["hash"]]
-        return rows[["recording_id", "frame_index", "skipped"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gate, current = None, None
+        for b in batches:
+            skipped = []
+            for recording, words in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if gate is None or recording != current:
+                    gate, current = Gate(None, 0, threshold, max_run), recording
+                skipped.append(gate.skips(words))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(skipped, pa.bool_())], ["recording_id", "frame_index", "skipped"])
 
     kind = frames.schema["recording_id"].dataType.simpleString()
-    return frames.groupBy("recording_id").applyInPandas(run, f"recording_id {kind}, frame_index bigint, skipped boolean")
+    rows = frames.select("recording_id", F.col("frame_index").cast("long").alias("frame_index"), "hash")
+    rows = rows.repartition("recording_id").sortWithinPartitions("recording_id", "frame_index")
+    return rows.mapInArrow(run, f"recording_id {kind}, frame_index bigint, skipped boolean")
+
+
+def sampling_schedule(recordings: DataFrame, fps: float = 1.0) -> DataFrame:
+    """recordings (with duration_s) times its samples: i from 0 and at_s, every 1 / fps seconds, one at least."""
+    interval = F.lit(1.0 / fps)
+    n = F.greatest(F.lit(1), F.floor(F.col("duration_s") / interval)).cast("long")
+    return recordings.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), n - 1))).withColumn("at_s", F.col("i") * interval)
 
 
 def decoded_text(frames: DataFrame) -> DataFrame:

@@ -15,9 +15,9 @@ ENGINE_VERSION = "1"
 
 
 def frame_findings(frames: DataFrame) -> DataFrame:
-    """Findings of frames (recording_id, frame_index, timestamp_ms, text). Equal texts of a recording are searched once."""
-    keyed = frames.withColumn("id", F.md5(F.concat_ws("/", "recording_id", "text")))
-    found = detectors.detect_in_text(keyed.groupBy("id").agg(F.first("text").alias("text")))
+    """Findings of frames (recording_id, frame_index, timestamp_ms, text). Equal texts are searched once, whatever recordings they are of."""
+    keyed = frames.withColumn("id", F.sha2("text", 256))
+    found = detectors.detect_in_text(keyed.select("id", "text").distinct())
     return keyed.select("id", "recording_id", "frame_index", "timestamp_ms").join(found, "id").drop("id")
 
 
@@ -36,8 +36,13 @@ def incidents(findings: DataFrame, gap: int = MERGE_GAP_MS) -> DataFrame:
         first, F.min("timestamp_ms").alias("first_seen_ms"), F.max("timestamp_ms").alias("last_seen_ms"), F.min_by("frame_index", F.struct("timestamp_ms", "frame_index")).alias("first_frame_index"),
         F.count("*").alias("frame_count"), F.max("confidence").alias("confidence"),
     )
+    return shown(made.select("*", "f.*"))
+
+
+def shown(made: DataFrame) -> DataFrame:
+    """The columns of an incident."""
     return made.select(
-        "recording_id", "pattern_id", "f.label", "f.provider", "f.severity", "f.severity_rank", "preview", "token_len", "first_seen_ms", "last_seen_ms", "first_frame_index", "frame_count",
+        "recording_id", "pattern_id", "label", "provider", "severity", "severity_rank", "preview", "token_len", "first_seen_ms", "last_seen_ms", "first_frame_index", "frame_count",
         F.round("confidence", 6).alias("confidence"), F.greatest(F.col("last_seen_ms") - F.col("first_seen_ms"), F.lit(0)).alias("duration_ms"),
     )
 
@@ -68,11 +73,31 @@ def severity_rollup(found: DataFrame) -> DataFrame:
     return found.groupBy("recording_id").agg(*counts, F.max_by("severity", "severity_rank").alias("worst"), F.count_if(F.col("severity") != "info").alias("actionable"))
 
 
+def dry_run(found: DataFrame, canary: str = known.PATTERNS[0].id) -> DataFrame:
+    """For each recording with incidents: whether the canary's kind of key was found, and how many incidents are of another kind."""
+    own = F.col("pattern_id") == canary
+    return found.groupBy("recording_id").agg(F.bool_or(own).alias("canary_found"), F.count_if(~own).alias("bystanders"))
+
+
+def progress(frames: DataFrame, findings: DataFrame, gap: int = MERGE_GAP_MS) -> DataFrame:
+    """(recording_id, frame_index, done, percent, incidents_so_far) after each frame."""
+    order = Window.partitionBy(*KEY).orderBy("timestamp_ms")
+    fresh = F.coalesce(F.col("timestamp_ms") - F.lag("timestamp_ms").over(order) > gap, F.lit(True))
+    begun = findings.withColumn("fresh", fresh).filter("fresh").groupBy("recording_id", "frame_index").agg(F.count("*").alias("begun"))
+    to_here = Window.partitionBy("recording_id").orderBy("frame_index").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("recording_id")
+    told = frames.select("recording_id", "frame_index").join(begun, ["recording_id", "frame_index"], "left")
+    told = told.withColumns({"done": F.count("*").over(to_here), "total": F.count("*").over(whole), "incidents_so_far": F.coalesce(F.sum("begun").over(to_here), F.lit(0).cast("long"))})
+    percent = F.least(F.lit(100).cast("long"), F.floor(F.col("done") * 100 / F.col("total") + F.lit(0.5)))
+    return told.select("recording_id", "frame_index", "done", percent.alias("percent"), "incidents_so_far")
+
+
 def results(summary: DataFrame, found: DataFrame, ocred: DataFrame) -> DataFrame:
-    """(recording_id, result): the whole result of each recording as JSON, incidents in their order."""
+    """(recording_id, result): the whole result of each recording as JSON, incidents in their order. ocred has frames_ocred and cancelled."""
     listed = ranked(found).groupBy("recording_id").agg(
         F.array_sort(F.collect_list(F.struct("place", "pattern_id", "label", "provider", "severity", "preview", "first_seen_ms", "last_seen_ms", "first_frame_index", "frame_count", "confidence"))).alias("incidents")
     )
     whole = summary.join(listed, "recording_id", "left").join(ocred, "recording_id", "left")
     fields = ["incidents", "frames_scanned", "frames_with_findings", "duration_ms", "frames_ocred"]
-    return whole.select("recording_id", F.to_json(F.struct(*fields, F.lit(ENGINE_VERSION).alias("engine_version"), F.lit(False).alias("cancelled"))).alias("result"))
+    cancelled = F.coalesce("cancelled", F.lit(False)).alias("cancelled")
+    return whole.select("recording_id", F.to_json(F.struct(*fields, F.lit(ENGINE_VERSION).alias("engine_version"), cancelled)).alias("result"))

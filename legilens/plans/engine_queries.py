@@ -1,15 +1,17 @@
-"""Queries of the detectors, frames, incidents, damage model and streams."""
+"""Queries of the detectors, frames, incidents and streams."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from legilens.functions import dictionaries as known
 from legilens.functions import scalars as f
 from legilens.functions.dialect import Duck, Spark
-from legilens.operators import candidates, damage, detectors, frames, incidents
-from legilens.plans import planting
+from legilens.operators import candidates, detectors, frames, incidents, parity
+from legilens.plans import finding_sql, planting
 from legilens.sources import events
 from legilens.streaming import scan as streams
 
@@ -42,29 +44,10 @@ def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Candidates
 
 _D = Duck
-_LETTERS = f"select doc_id, unnest({_D.chars('text')}) as c, generate_subscripts({_D.chars('text')}, 1) - 1 as i from (@ROWS)"
-_BOUNDARY = "regexp_matches(c, '[" + known.WHITE.replace("\t-\r", r"\t-\r") + "]') or contains(" + _D.lit(known.BETWEEN) + ", c)"
-_FOLDED = f"select doc_id, {f.normalize_unicode('text', _D)} as text from ({planting.DOCUMENTS_SQL})"
-_TOKENS = f"""with c as ({_LETTERS.replace('@ROWS', _FOLDED)}),
-b as (select *, {_BOUNDARY} as gap from c),
-g as (select *, sum(gap::int) over (partition by doc_id order by i) as part from b),
-t as (select doc_id, min(i) as start, string_agg(c, '' order by i) as raw from g where not gap group by doc_id, part),
-k as (select doc_id, start, regexp_replace(raw, '[.:,-]+$', '') as token from t)
-"""
-_SUFFIX = (
-    "list_filter(list_transform(list_filter(generate_series(1, length(token)), lambda i: substring(token, i, 1) in ('=', ':')), lambda i: {'at': i, 'rest': substring(token, i + 1)}),"
-    f" lambda x: length(x.rest) >= {candidates.SUFFIX} and regexp_matches(x.rest, '[^=]'))"
-)
-_FRAGMENTS = f"""with c as ({_LETTERS.replace('@ROWS', _FOLDED)}),
-b as (select *, not regexp_matches(c, '[A-Za-z0-9_.:/+=@-]') as gap from c),
-g as (select *, sum(gap::int) over (partition by doc_id order by i) as part from b),
-f as (select doc_id, min(i) as s, max(i) + 1 as e, string_agg(c, '' order by i) as t from g where not gap group by doc_id, part),
-n as (select f.*, f.s - lag(f.e) over (partition by f.doc_id order by f.s) = 1 and coalesce(p.c = ' ', false) as glue, row_number() over (partition by f.doc_id order by f.s) as k
-      from f left join c p on p.doc_id = f.doc_id and p.i = f.s - 1),
-r as (select *, sum(case when glue then 0 else 1 end) over (partition by doc_id order by k) as run from n),
-x as (select a.doc_id, a.s, b.e, b.k - a.k as more, a.k as ka, b.k as kb from r a join r b on a.doc_id = b.doc_id and a.run = b.run and b.k > a.k and b.k - a.k < {candidates.SPAN}),
-j as (select x.doc_id, x.s as start, x.e as "end", string_agg(r.t, '' order by r.k) as token from x join r on r.doc_id = x.doc_id and r.k between x.ka and x.kb group by all)
-"""
+_FOLDED = finding_sql.folded(planting.DOCUMENTS_SQL, "doc_id")
+_TOKENS = f"with {finding_sql.tokens(_FOLDED)}\n"
+_SUFFIX = finding_sql.SUFFIX
+_FRAGMENTS = f"with {finding_sql.fragments(_FOLDED)}\n"
 
 
 def _keyed(rows: DataFrame) -> DataFrame:
@@ -93,31 +76,17 @@ def glue_candidates(spark, sf_dir):
     return _sizes(candidates.explode(detectors.normalised(_documents(spark, sf_dir)), "glued"))
 
 
-@query("all_candidates")
+_ALL = f"with {finding_sql.every(planting.DOCUMENTS_SQL, 'doc_id')} "
+
+
+@query("all_candidates", _ALL + "select doc_id, count(*) as n, sum(length(token))::bigint as chars, sum(start)::bigint as starts, sum(\"end\")::bigint as ends from tc group by doc_id")
 def all_candidates(spark, sf_dir):
     return _sizes(candidates.explode(detectors.normalised(_documents(spark, sf_dir)), "all"))
 
 
 # Patterns over all distinct tokens
 
-_PREFIXES = "(values " + ", ".join(
-    f"({k}, {j}, '{p.id}', {_D.lit(prefix)}, {_D.lit(f.confusable_python(prefix))}, {_D.lit(f.confusable_python(prefix[0]))}, {len(prefix)}, {p.tolerance}, {p.body_min}, {p.body_max},"
-    f" '[^{known.CHARSETS[p.charset]}]', {p.min_randomness}::double, {max(map(len, p.prefixes))})"
-    for k, p in enumerate(known.PATTERNS)
-    for j, prefix in enumerate(p.prefixes)
-) + ") p(pattern_ord, prefix_ord, pattern_id, prefix, folded, anchor, prefix_len, tol, body_min, body_max, outside, least, longest)"
-_HEAD = f.normalize_confusable("substring(token, 1, n)", _D)
-_MATCHED = f"""with t as ({planting.TOKENS_SQL}),
-a as (select t.*, p.*, list_min(list_transform(generate_series(greatest(1, prefix_len - tol), least(prefix_len + tol, length(token))), lambda n:
-      {{'d': {_D.levenshtein(_HEAD, 'folded')}, 'off': abs(n - prefix_len), 'n': n}})) as best
-      from t join {_PREFIXES} on {f.confusion_class('substring(token, 1, 1)', _D)} = anchor),
-b as (select *, substring(token, best.n + 1) as body from a where best.d <= tol),
-c as (select *, length(regexp_replace(body, outside, '', 'g'))::double / length(body) as ratio from b where length(body) between body_min and body_max),
-d as (select *, {f.randomness('body', _D)} as random from c where ratio >= 0.85),
-e as (select *, least(1.0, 0.45 * case when starts_with(token, prefix) then 1.0 else 0.75 end + 0.30 * ratio + 0.25 * random) as confidence from d where random >= least),
-m as (select token_key, pattern_ord, pattern_id, longest, best.n as consumed, confidence from e
-      qualify row_number() over (partition by token_key, pattern_ord order by confidence desc, prefix_ord) = 1)
-"""
+_MATCHED = f"with t as materialized ({planting.TOKENS_SQL}),\n{finding_sql.matched('t', 'token_key')}\n"
 
 
 def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +110,9 @@ def match_confidence(spark, sf_dir):
     _MATCHED
     + """select token_key, x.pattern_id as pattern_id, round(x.confidence, 6) as confidence from (
       select token_key, list_reduce(list({'pattern_id': pattern_id, 'longest': longest, 'confidence': confidence} order by pattern_ord),
-        lambda b, x: case when x.confidence > b.confidence + 0.05 or (x.longest > b.longest and x.confidence + 0.05 >= b.confidence) then x else b end) as x from m group by 1)""",
+        """
+    + finding_sql.BETTER
+    + ") as x from m group by 1)",
 )
 def best_pattern(spark, sf_dir):
     return detectors.best_pattern(_matched(spark, sf_dir)).select(F.col("id").alias("token_key"), "m.pattern_id", F.round("m.confidence", 6).alias("confidence"))
@@ -179,81 +150,110 @@ def oracle_best_match(spark, sf_dir):
 # Detectors over all planted documents
 
 def _shown(found: DataFrame) -> DataFrame:
-    return found.withColumn("confidence", F.round("confidence", 6)).withColumnRenamed("id", "doc_id")
+    return found.drop("seq").withColumn("confidence", F.round("confidence", 6)).withColumnRenamed("id", "doc_id")
 
 
-@query("detect_in_text")
+def _found(where: str = "true", rows: str = planting.DOCUMENTS_SQL) -> str:
+    return finding_sql.documents(rows, "doc_id", "found", where)
+
+
+@query("detect_in_text", finding_sql.documents(planting.DOCUMENTS_SQL, "doc_id", "kept"))
 def detect_in_text(spark, sf_dir):
     return _shown(detectors.detect_in_text(_documents(spark, sf_dir)))
 
 
-@query("all_detectors")
+@query("all_detectors", _found())
 def all_detectors(spark, sf_dir):
     return _shown(detectors.all_findings(_documents(spark, sf_dir)))
 
 
-@query("dedupe_overlaps")
+@query(
+    "dedupe_overlaps",
+    f"with {finding_sql.kept(planting.DOCUMENTS_SQL, 'doc_id')} select pattern_id, n, n_kept from (select pattern_id, count(*) as n from found group by 1) left join (select pattern_id, count(*) as n_kept from kept group by 1) using (pattern_id)",
+)
 def dedupe_overlaps(spark, sf_dir):
-    every = detectors.all_findings(_documents(spark, sf_dir))
+    every = streams.stored(detectors.all_findings(_documents(spark, sf_dir)), "findings")
     kept = detectors.without_overlaps(every)
     return every.groupBy("pattern_id").agg(F.count("*").alias("n")).join(kept.groupBy("pattern_id").agg(F.count("*").alias("n_kept")), "pattern_id", "left")
 
 
-_LOW = f.lower("text", _D)
-_HEADERS = "[" + ", ".join(_D.lit(h) for h in known.PEM_HEADERS) + "]"
+def _by_detector(number: int, rows: DataFrame) -> DataFrame:
+    return _shown(detectors.all_findings(rows).filter(F.col("detector") == number))
 
 
-@query(
-    "detect_private_key",
-    f"select doc_id, unnest({f.find_all('text', known.PEM_HEADERS[0], _D)}) as start, {len(known.PEM_HEADERS[0])} as token_len from ({_FOLDED})",
-)
+@query("detect_private_key", _found("detector = 0"))
 def detect_private_key(spark, sf_dir):
-    return detectors.private_keys(detectors.normalised(_documents(spark, sf_dir))).select(F.col("id").alias("doc_id"), "start", "token_len")
+    return _by_detector(0, _documents(spark, sf_dir))
 
 
-@query("detect_db_uri")
+@query("detect_db_uri", _found("detector = 1"))
 def detect_db_uri(spark, sf_dir):
-    return _shown(detectors.db_uris(candidates.explode(detectors.normalised(_documents(spark, sf_dir)))))
+    return _by_detector(1, _documents(spark, sf_dir))
+
+
+def _cookie(d) -> str:
+    ident = f"cast({'id' if d is Spark else 'doc_id'} as {d.text})"
+    return f"concat(text, {'chr(10)'}, 'Cookie: session=eyJ', md5({ident}), '.', md5(concat({ident}, 'a')), '.', md5(concat({ident}, 'b')))"
 
 
-@query("detect_jwt")
+@query("detect_jwt", _found("detector = 2", f"select doc_id, {_cookie(Duck)} as text from ({planting.DOCUMENTS_SQL})"))
 def detect_jwt(spark, sf_dir):
-    body = F.concat(F.lit("eyJ"), F.md5(F.col("id").cast("string")), F.lit("."), F.md5(F.concat("id", F.lit("a"))), F.lit("."), F.md5(F.concat("id", F.lit("b"))))
-    rows = _documents(spark, sf_dir).withColumn("text", F.concat("text", F.lit("\nCookie: session="), body))
-    return _shown(detectors.web_tokens(candidates.explode(detectors.normalised(rows))))
+    return _by_detector(2, _documents(spark, sf_dir).withColumn("text", F.expr(_cookie(Spark))))
 
 
-@query("detect_assignment")
+@query("detect_assignment", _found("detector = 3"))
 def detect_assignment(spark, sf_dir):
-    return _shown(detectors.assignments(detectors.normalised(_documents(spark, sf_dir))))
+    return _by_detector(3, _documents(spark, sf_dir))
 
 
-@query("provider_findings")
+@query("provider_findings", _found("detector = 4"))
 def provider_findings(spark, sf_dir):
-    return _shown(detectors.provider_keys(candidates.explode(detectors.normalised(_documents(spark, sf_dir)))))
+    return _by_detector(4, _documents(spark, sf_dir))
 
 
-@query("detect_in_pages")
+@query("detect_in_pages", finding_sql.documents(f"select page_id, html as text from ({planting.PAGES_SQL})", "page_id", "kept", name="page_id"))
 def detect_in_pages(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("id"), F.col("html").alias("text"))
+    rows = planting.pages(spark, sf_dir).select(F.col("page_id").alias("id"), F.col("html").alias("text"))
     return detectors.detect_in_text(rows).withColumn("confidence", F.round("confidence", 6)).withColumnRenamed("id", "page_id")
 
 
-@query("rejection_report")
+_FRAME_TEXTS = f"select concat(recording_id, '/', frame_index) as id, text from ({planting.EVENTS_SQL}) where text is not null"
+
+
+@query(
+    "rejection_report",
+    f"""with {finding_sql.every(_FRAME_TEXTS, 'id')},
+    w as (select c.doc_id, c.seq, c.start, c."end", c.token, {f.structural_rejection('token', _D)} as reason from tc c where length(token) >= {candidates.SHORTEST})
+    select coalesce(reason, 'low-randomness') as reason, count(*) as n from w anti join best b on w.doc_id = b.doc_id and w.seq = b.seq group by 1""",
+)
 def rejection_report(spark, sf_dir):
     rows = planting.frame_events(spark, sf_dir).filter("text is not null").select(F.concat_ws("/", "recording_id", "frame_index").alias("id"), "text")
     return detectors.rejection_report(rows).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query("block_split_detect")
+_BLOCKS = f"""select concat(recording_id, '/', unnest(range(len(p)))) as id, unnest(p) as text from (
+  select recording_id, string_split(string_agg(text, chr(10) || '---' || chr(10) order by frame_index, text), chr(10) || '---' || chr(10)) as p from ({planting.EVENTS_SQL}) where text is not null group by 1)"""
+
+
+@query(
+    "block_split_detect",
+    f"with {finding_sql.kept(_BLOCKS, 'id')} select ft.doc_id as id, case when pattern_id is null then 'CLEAN' else concat_ws(' | ', upper(severity), pattern_id, preview) end as line from ft left join kept using (doc_id)",
+)
 def block_split_detect(spark, sf_dir):
     text = planting.frame_events(spark, sf_dir).filter("text is not null").groupBy(F.col("recording_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("frame_index", "text"))).alias("a"))
-    blocks = events.blocks_of(text.select("id", F.expr("array_join(transform(a, x -> x.text), '\\n---\\n')").alias("text")))
+    blocks = streams.stored(events.blocks_of(text.select("id", F.expr("array_join(transform(a, x -> x.text), '\\n---\\n')").alias("text"))), "blocks")
     found = detectors.detect_in_text(blocks)
     lines = F.when(F.col("pattern_id").isNull(), F.lit("CLEAN")).otherwise(F.concat_ws(" | ", F.upper("severity"), "pattern_id", "preview"))
     return blocks.select("id").join(found, "id", "left").select("id", lines.alias("line"))
 
 
+@query("detections_tsv", f"with {finding_sql.kept(planting.DOCUMENTS_SQL, 'doc_id')} select concat(label, chr(9), severity, chr(9), preview) as line from kept")
+def detections_tsv(spark, sf_dir):
+    path = streams.scratch(spark, "tsv")
+    events.write_tsv(detectors.detect_in_text(_documents(spark, sf_dir)), path)
+    return spark.read.text(path).select(F.regexp_replace("value", r"\t[^\t]*\t([^\t]*)$", "\t$1").alias("line"))
+
+
 # Catalogue
 
 _CATALOGUE = "(values " + ", ".join(f"('{p.id}', '{p.label}', '{p.provider}', '{p.severity}')" for p in known.PATTERNS) + ") d(id, label, provider, severity)"
@@ -285,16 +285,29 @@ def severity_advice(spark, sf_dir):
 
 
 _SETTINGS = "select concat('s', p_partkey % 40) as key, concat('v', p_size) as value, p_partkey as changed from part"
+#: The table before: keys with and without changes to come.
+_STORED = "select concat('s', s_suppkey) as key, concat('old', s_nationkey) as value from supplier where s_suppkey <= 60"
 
 
 @query(
     "settings_upsert",
-    f"select key, value from ({_SETTINGS}) qualify row_number() over (partition by key order by changed desc, value desc) = 1",
+    f"select key, value from (select key, value, -1 as changed from ({_STORED}) union all {_SETTINGS}) qualify row_number() over (partition by key order by changed desc, value desc) = 1",
 )
 def settings_upsert(spark, sf_dir):
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     rows = part.select(F.expr("concat('s', p_partkey % 40)").alias("key"), F.expr("concat('v', p_size)").alias("value"), F.col("p_partkey").cast("long").alias("at"))
-    return events.upserted(rows.select("key", "value").filter("false"), rows)
+    return events.upserted(_stored(spark, sf_dir), rows)
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").filter("s_suppkey <= 60")
+    return rows.select(F.expr("concat('s', s_suppkey)").alias("key"), F.expr("concat('old', s_nationkey)").alias("value"))
+
+
+@query("settings_lookup", f"select w.key, value from (select distinct concat('s', p_partkey % 90) as key from part) w left join ({_STORED}) s on w.key = s.key")
+def settings_lookup(spark, sf_dir):
+    wanted = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.expr("concat('s', p_partkey % 90)").alias("key")).distinct()
+    return events.looked_up(_stored(spark, sf_dir), wanted)
 
 
 @query(
@@ -302,8 +315,8 @@ def settings_upsert(spark, sf_dir):
     "select o_orderkey, i, round(i * 0.5, 6) as at_s from (select o_orderkey, unnest(generate_series(0, greatest(1, floor((o_orderkey % 60) / 0.5))::bigint - 1)) as i from orders)",
 )
 def sampling_schedule(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.expr("greatest(1L, cast(floor((o_orderkey % 60) / 0.5D) as bigint))").alias("n"))
-    return rows.select("o_orderkey", F.explode(F.expr("sequence(0L, n - 1)")).alias("i")).select("o_orderkey", "i", F.round(F.col("i") * F.lit(0.5), 6).alias("at_s"))
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", (F.col("o_orderkey") % 60).cast("double").alias("duration_s"))
+    return frames.sampling_schedule(rows, fps=2.0).select("o_orderkey", "i", F.round("at_s", 6).alias("at_s"))
 
 
 # Frames
@@ -370,8 +383,8 @@ def frame_carry_forward(spark, sf_dir):
     return _recordings(spark, sf_dir).select("recording_id", "frame_index", "timestamp_ms", F.md5("text").alias("text_key"))
 
 
-def _event_lines(spark: SparkSession, sf_dir: str, parts: int = 1) -> str:
-    """The frame events as JSON lines with noise between them, in files of the frames in order; returns their path."""
+def _event_parts(spark: SparkSession, sf_dir: str, parts: int) -> tuple[str, Iterator[None]]:
+    """A path, and arrivals there: the frame events as JSON lines with noise between them, three frames of every recording at a time, written as they are partitioned."""
     path = streams.scratch(spark, "events")
     rows = planting.frame_events(spark, sf_dir)
     line = F.to_json(F.struct(F.lit("frame").alias("type"), "recording_id", "frame_index", "timestamp_ms", "text", "skipped"))
@@ -379,13 +392,24 @@ def _event_lines(spark: SparkSession, sf_dir: str, parts: int = 1) -> str:
     meta = ends.select(F.to_json(F.struct(F.lit("meta").alias("type"), "recording_id", (F.col("last") + 500).alias("duration_ms"))).alias("value"))
     done = ends.select(F.to_json(F.struct(F.lit("done").alias("type"), "recording_id", F.col("read").alias("frames_ocred"))).alias("value"))
     noise = spark.createDataFrame([("",), ("   ",), ("warning: no display",), ('{"type":"other"}',), ("{broken",)], "value string")
-    for k in range(parts):
-        some = rows.filter((F.col("frame_index") >= 3 * k) & ((F.col("frame_index") < 3 * k + 3) | F.lit(k == parts - 1))).select(line.alias("value"))
-        if k == 0:
-            some = meta.unionByName(some).unionByName(noise)
-        if k == parts - 1:
-            some = some.unionByName(done)
-        some.coalesce(1).write.mode("append").text(path)  # a test input: one file is one micro-batch
+
+    def arrivals() -> Iterator[None]:
+        for k in range(parts):
+            some = rows.filter((F.col("frame_index") >= 3 * k) & ((F.col("frame_index") < 3 * k + 3) | F.lit(k == parts - 1))).select(line.alias("value"))
+            if k == 0:
+                some = meta.unionByName(some).unionByName(noise)
+            if k == parts - 1:
+                some = some.unionByName(done)
+            some.write.mode("append").text(path)
+            yield
+
+    return path, arrivals()
+
+
+def _event_lines(spark: SparkSession, sf_dir: str) -> str:
+    """All frame events, written at once."""
+    path, arrivals = _event_parts(spark, sf_dir, 1)
+    next(arrivals)
     return path
 
 
@@ -432,132 +456,166 @@ def event_sessions(spark, sf_dir):
     return told.groupBy("user_id", "event_type", "session").agg(F.min("at").alias("first_ms"), F.max("at").alias("last_ms"), F.count("*").alias("n")).drop("session")
 
 
-@query("incident_groups")
+_CARRIED_TEXT = f"""select recording_id, frame_index, timestamp_ms, carried as text from (
+  select *, last_value(text ignore nulls) over (partition by recording_id order by frame_index rows between unbounded preceding and current row) as carried
+  from ({planting.EVENTS_SQL})) where text is not null or carried <> ''"""
+_INC = f"with {finding_sql.frames(_CARRIED_TEXT)} "
+_INCIDENT = "recording_id, pattern_id, label, provider, severity, severity_rank, preview, token_len, first_seen_ms, last_seen_ms, first_frame_index, frame_count, confidence, duration_ms"
+_PLACE = "row_number() over (partition by recording_id order by severity_rank desc, first_seen_ms, first_frame_index, pattern_id, preview, token_len)"
+_COUNTS = """s as (select c.recording_id, frames_scanned, coalesce(n, 0) as frames_with_findings, greatest(last_ms, @META) as duration_ms from
+  (select recording_id, count(*) as frames_scanned, max(timestamp_ms) as last_ms from fr group by 1) c left join (select recording_id, count(distinct frame_index) as n from ff group by 1) h using (recording_id) @JOIN)"""
+
+
+@query("incident_groups", _INC + "select recording_id, pattern_id, preview, token_len, count(*) as n from ff group by all")
 def incident_groups(spark, sf_dir):
     return _findings(spark, sf_dir).groupBy(*incidents.KEY).agg(F.count("*").alias("n"))
 
 
-@query("incidents")
+@query("incidents", _INC + f"select {_INCIDENT} from inc")
 def all_incidents(spark, sf_dir):
     return incidents.incidents(_findings(spark, sf_dir))
 
 
-@query("incidents_ranked")
+@query("incidents_ranked", _INC + f"select {_INCIDENT}, {_PLACE}::integer as place from inc")
 def incidents_ranked(spark, sf_dir):
     return incidents.ranked(incidents.incidents(_findings(spark, sf_dir)))
 
 
-@query("incident_duration")
+@query("incident_duration", _INC + f"select recording_id, pattern_id, preview, first_seen_ms, duration_ms, {f.format_visible_for('duration_ms', _D)} as visible_for, {f.format_timestamp('first_seen_ms', _D)} as at from inc")
 def incident_duration(spark, sf_dir):
     ms = F.col("duration_ms")
     found = incidents.incidents(_findings(spark, sf_dir))
     return found.select("recording_id", "pattern_id", "preview", "first_seen_ms", ms, F.expr(f.format_visible_for("duration_ms", Spark)).alias("visible_for"), F.expr(f.format_timestamp("first_seen_ms", Spark)).alias("at"))
 
 
-@query("scan_summary")
+_META = f"(select recording_id, max(timestamp_ms) + 500 as duration_ms, count(*) filter (where not skipped) as frames_ocred, max(timestamp_ms) as last from ({planting.EVENTS_SQL}) group by 1)"
+
+
+@query("scan_summary", f"with {finding_sql.frames(_CARRIED_TEXT)}, {_COUNTS.replace('@META', 'coalesce(e.duration_ms, 0)').replace('@JOIN', f'left join {_META} e using (recording_id)')} select * from s")
 def scan_summary(spark, sf_dir):
     carried = _recordings(spark, sf_dir)
     meta = planting.frame_events(spark, sf_dir).groupBy("recording_id").agg((F.max("timestamp_ms") + 500).alias("duration_ms"))
     return incidents.scan_summary(carried, incidents.frame_findings(carried), meta)
 
 
-@query("scan_result_json")
+def _result_sql() -> str:
+    text = lambda c: f"'\"{c}\":\"' || {c} || '\"'"
+    number = lambda c: f"'\"{c}\":' || {c}"
+    shown = [number("place"), *map(text, ("pattern_id", "label", "provider", "severity", "preview")), *map(number, ("first_seen_ms", "last_seen_ms", "first_frame_index", "frame_count"))]
+    counts = [number(c) for c in ("frames_scanned", "frames_with_findings", "duration_ms", "frames_ocred")]
+    return f"""with {finding_sql.frames(_CARRIED_TEXT)}, {_COUNTS.replace('@META', '0').replace('@JOIN', '')},
+    p as (select *, {_PLACE} as place from inc),
+    l as (select recording_id, string_agg('{{' || {" || ',' || ".join(shown)} || '}}', ',' order by place) as listed from p group by 1)
+    select s.recording_id, '{{' || coalesce('"incidents":[' || listed || '],', '') || {" || ',' || ".join(counts)} || ',"engine_version":"{incidents.ENGINE_VERSION}","cancelled":' || (recording_id::integer % 7 = 0)::varchar || '}}' as result
+    from s left join l using (recording_id) left join (select recording_id, frames_ocred from {_META}) e using (recording_id)"""
+
+
+@query("scan_result_json", _result_sql())
 def scan_result_json(spark, sf_dir):
+    """Every seventh scan counts as cancelled. The confidence is left out: the engines print numbers differently."""
     carried = _recordings(spark, sf_dir)
-    found = incidents.frame_findings(carried)
-    ocred = planting.frame_events(spark, sf_dir).groupBy("recording_id").agg(F.count_if(~F.col("skipped")).alias("frames_ocred"))
-    return incidents.results(incidents.scan_summary(carried, found), incidents.incidents(found), ocred)
+    found = streams.stored(incidents.frame_findings(carried), "findings")
+    ocred = planting.frame_events(spark, sf_dir).groupBy("recording_id").agg(F.count_if(~F.col("skipped")).alias("frames_ocred"), F.expr("recording_id % 7 = 0").alias("cancelled"))
+    made = incidents.results(incidents.scan_summary(carried, found), incidents.incidents(found), ocred)
+    return made.select("recording_id", F.regexp_replace("result", r',"confidence":[^,}]*', "").alias("result"))
 
 
-@query("severity_rollup")
+@query(
+    "severity_rollup",
+    _INC + "select recording_id, " + ", ".join(f"count(*) filter (where severity = '{s}') as n_{s}" for s in known.SEVERITIES) + ", arg_max(severity, severity_rank) as worst, count(*) filter (where severity <> 'info') as actionable from inc group by 1",
+)
 def severity_rollup(spark, sf_dir):
     return incidents.severity_rollup(incidents.incidents(_findings(spark, sf_dir)))
 
 
-@query("actionable_count")
+@query("actionable_count", _INC + "select severity, count(*) as n, count(*) filter (where severity <> 'info') as actionable from inc group by 1")
 def actionable_count(spark, sf_dir):
     found = incidents.incidents(_findings(spark, sf_dir))
     return found.groupBy("severity").agg(F.count("*").alias("n"), F.count_if(F.col("severity") != "info").alias("actionable"))
 
 
-@query("dry_run_check")
+def _canary(d) -> str:
+    """A frame's text, in every third recording with the canary of a dry run."""
+    return f"concat(text, case when cast(recording_id as {d.int}) % 3 = 0 then concat({'chr(10)'}, {d.lit(known.CANARY)}) else '' end)"
+
+
+@query(
+    "dry_run_check",
+    f"with {finding_sql.frames(f'select * replace ({_canary(Duck)} as text) from ({_CARRIED_TEXT})')} select recording_id, bool_or(pattern_id = '{known.PATTERNS[0].id}') as canary_found, count(*) filter (where pattern_id <> '{known.PATTERNS[0].id}') as bystanders from inc group by 1",
+)
 def dry_run_check(spark, sf_dir):
-    canary = F.col("pattern_id") == known.PATTERNS[0].id
-    found = incidents.incidents(_findings(spark, sf_dir))
-    return found.groupBy("recording_id").agg(F.bool_or(canary).alias("canary_found"), F.count_if(~canary).alias("bystanders"))
+    return incidents.dry_run(incidents.incidents(incidents.frame_findings(_recordings(spark, sf_dir).withColumn("text", F.expr(_canary(Spark))))))
 
 
 @query(
     "scan_progress",
-    f"""select recording_id, frame_index, done, least(100, floor(done * 100.0 / total + 0.5))::bigint as percent from (
-      select *, row_number() over (partition by recording_id order by frame_index) as done, count(*) over (partition by recording_id) as total from ({planting.EVENTS_SQL}))""",
+    f"""with {finding_sql.frames(_CARRIED_TEXT)},
+    o as (select e.*, row_number() over (partition by recording_id order by frame_index) as done, count(*) over (partition by recording_id) as total from ({planting.EVENTS_SQL}) e),
+    b as (select recording_id, frame_index, count(*) as n from g2 where fresh = 1 group by 1, 2)
+    select recording_id, frame_index, done, least(100, floor(done * 100.0 / total + 0.5))::bigint as percent,
+      coalesce(sum(b.n) over (partition by recording_id order by frame_index), 0)::bigint as incidents_so_far from o left join b using (recording_id, frame_index)""",
 )
 def scan_progress(spark, sf_dir):
-    order = Window.partitionBy("recording_id").orderBy("frame_index")
-    rows = planting.frame_events(spark, sf_dir).withColumns({"done": F.row_number().over(order), "total": F.count("*").over(Window.partitionBy("recording_id"))})
-    return rows.select("recording_id", "frame_index", F.col("done").cast("long").alias("done"), F.expr("least(100L, cast(floor(done * 100D / total + 0.5D) as bigint))").alias("percent"))
-
-
-# Damage model
-
-def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A planted key for each benchmark item."""
-    rows = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return rows.select(F.concat(F.lit("sk-"), F.lit("proj-"), F.expr("translate(md5(cast(item_id as string)), 'abcdef', 'XyZoIl')")).alias("source"))
-
-
-@query("damage_scatter")
-def damage_scatter(spark, sf_dir):
-    x = F.sin(F.col("p_partkey") * F.lit(12.9898)) * F.lit(43758.5453)
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", (x - F.floor(x)).alias("scatter"))
-
+    rows = planting.frame_events(spark, sf_dir)
+    return incidents.progress(rows, incidents.frame_findings(frames.carry_forward(rows)))
 
-@query("damage_read_back")
-def damage_read_back(spark, sf_dir):
-    steps = _sources(spark, sf_dir).select("source", F.explode(F.expr("transform(sequence(0, 30), i -> i * 0.5D)")).alias("px"))
-    return damage.damaged_texts(steps).select(F.md5("source").alias("source_key"), "px", F.length("text").alias("n_read"), F.size(F.filter("damaged", lambda d: d)).alias("n_damaged"), "dropped", F.round("severity", 6).alias("severity"))
 
+# Parity
 
-@query("damage_corpus")
-def damage_corpus(spark, sf_dir):
-    return damage.corpus(_sources(spark, sf_dir)).groupBy(F.md5("source").alias("source_key")).agg(F.count("*").alias("n_texts"))
+_GOLDEN = "(values " + ", ".join(f"({_D.lit(c)}, {_D.lit(label)}, {'null' if confidence is None else confidence}::double)" for c, label, confidence in known.GOLDEN) + ") g(candidate, label, confidence)"
 
 
-@query("oracle_parity")
+@query("oracle_parity", f"select md5(candidate) as candidate_key, label, confidence from {_GOLDEN}")
 def oracle_parity(spark, sf_dir):
-    """Candidates on which two ways to the verdict disagree: the join over all patterns and the single-pattern chain. There should be none."""
-    texts = damage.corpus(_sources(spark, sf_dir)).select(F.col("text").alias("token")).distinct()
-    folded = texts.select(F.col("token").alias("id"), F.lit(0).alias("seq"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.expr(f.normalize_unicode("token", Spark)).alias("token"))
-    found = detectors.matched(folded).filter("m.pattern_id = 'openai_project'").select(F.col("id").alias("candidate"), F.lit("found").alias("label"))
-    chain = texts.select("token", F.expr(f.normalize_unicode("token", Spark)).alias("folded")).select(F.col("token").alias("candidate"), F.expr(_verdict(Spark)).alias("label")).filter("label = 'found'")
-    none = F.lit(None).cast("double").alias("confidence")
-    return damage.disagreements(found.select("candidate", "label", none), chain.select("candidate", "label", none)).select(F.md5("candidate").alias("candidate_key"), "label_a", "label_b")
+    """The verdict of the engine on damaged readings of one key; the SQL holds the verdicts that are published for them."""
+    return parity.verdicts(spark.createDataFrame([(c,) for c, _, _ in known.GOLDEN], "candidate string")).select(F.md5("candidate").alias("candidate_key"), "label", F.round("confidence", 6).alias("confidence"))
 
 
 # Streams
 
 @query("stream_ingest", SQL["jsonl_ingest"])
 def stream_ingest(spark, sf_dir):
-    rows = streams.appended(events.frames_of(events.stream_events(spark, _event_lines(spark, sf_dir, 3))), "ingested")
+    path, arrivals = _event_parts(spark, sf_dir, 3)
+    rows = streams.appended(events.frames_of(events.stream_events(spark, path)), "ingested", arrivals)
     return rows.select("recording_id", "frame_index", "timestamp_ms", F.md5("text").alias("text_key"), "skipped")
 
 
 @query("stream_carry_forward", SQL["frame_carry_forward"])
 def stream_carry_forward(spark, sf_dir):
-    rows = streams.appended(streams.carry_forward(events.frames_of(events.stream_events(spark, _event_lines(spark, sf_dir, 3)))), "carried")
+    rows = streams.carried(spark, *_event_parts(spark, sf_dir, 3))
     return rows.select("recording_id", "frame_index", "timestamp_ms", F.md5("text").alias("text_key"))
 
 
-@query("stream_skip_gate")
+def _arriving(spark: SparkSession, parts: list[DataFrame], name: str) -> tuple[str, Iterator[None]]:
+    """A path, and the parts arriving there one after the other as Parquet."""
+    path = streams.scratch(spark, name)
+
+    def arrivals() -> Iterator[None]:
+        for part in parts:
+            part.write.mode("append").parquet(path)
+            yield
+
+    parts[0].limit(0).write.parquet(path)
+    return path, arrivals()
+
+
+@query("stream_skip_gate", SQL["frame_skip_gate"])
 def stream_skip_gate(spark, sf_dir):
-    path = streams.scratch(spark, "hashes")
     rows = _hashed(spark, sf_dir)
-    rows.filter("frame_index % 100 < 50").coalesce(1).write.mode("append").parquet(path)
-    rows.filter("frame_index % 100 >= 50").coalesce(1).write.mode("append").parquet(path)
-    hashed = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    return streams.appended(streams.skip_gate(hashed), "gate")
+    path, arrivals = _arriving(spark, [rows.filter(p) for p in ("frame_index % 100 < 50", "frame_index % 100 >= 50")], "hashes")
+    return streams.gated(spark, path, rows.schema, GATE_BITS, arrivals)
 
 
-@query("stream_incidents")
+@query("stream_incidents", SQL["incidents"])
 def stream_incidents(spark, sf_dir):
-    return streams.scan(spark, _event_lines(spark, sf_dir, 3))
+    return streams.scan(spark, *_event_parts(spark, sf_dir, 3))
+
+
+@query("stream_sessions", SQL["event_sessions"])
+def stream_sessions(spark, sf_dir):
+    """event_sessions as a stream: sessions close when the watermark passes their end. The last arrival is a row without keys at a later time."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    middle = rows.agg(F.expr("timestamp_micros((unix_micros(min(ts)) + unix_micros(max(ts))) div 2)").alias("m"), F.max("ts").alias("last")).first()
+    end = spark.createDataFrame([(None, None, middle["last"])], rows.schema).withColumn("ts", F.col("ts") + F.expr("interval 2 days"))
+    path, arrivals = _arriving(spark, [rows.filter(F.col("ts") < F.lit(middle["m"])), rows.filter(F.col("ts") >= F.lit(middle["m"])), end], "events")
+    return streams.sessions(spark, path, rows.schema, ("user_id", "event_type"), "ts", _GAP, arrivals=arrivals)

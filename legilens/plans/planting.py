@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from legilens.functions import dictionaries as known
 from legilens.functions.dialect import Dialect, Duck, Spark
 
 #: Row numbers of `conversations` as identifiers: a conversation has fewer turns than this.
@@ -20,18 +21,19 @@ def planted(text: str, ident: str, d: Dialect) -> str:
     m = f"translate({h}, 'abc', 'XyZ')"
     glue = lambda *parts: "concat(" + ", ".join(parts) + ")"
     lines = [
-        glue("'export OPENAI_API_KEY=sk-'", "'proj-'", m),
+        glue("'export OPENAI_API_KEY=sk-proj-'", m),
         glue("'5k-pr0j-'", m),
-        glue("'AK'", "'IA'", f"upper(substr({h}, 1, 16))"),
-        glue("'gh'", "'p_'", m),
-        glue("'AI'", "'za'", m, f"substr({m}, 1, 3)"),
-        glue("'pk_'", "'live_'", m),
-        glue("'STRIPE_API_KEY=pk_'", "'live_'", m),
+        glue("'AKIA'", f"upper(substr({h}, 1, 16))"),
+        glue("'ghp_'", m),
+        glue("'AIza'", m, f"substr({m}, 1, 3)"),
+        glue("'pk_live_'", m),
+        glue("'STRIPE_API_KEY=pk_live_'", m),
         glue("'DATABASE_URL=postgres://admin:'", m, "'@db.internal:5432/app'"),
-        "'-----BEGIN R5A PRIVATE KEY-----'",
+        # Each header in turn, with S misread.
+        "case " + d.idiv(ident, "16") + f" % {len(known.PEM_HEADERS)} " + " ".join(f"when {k} then {d.lit(header.replace('S', '5'))}" for k, header in enumerate(known.PEM_HEADERS)) + " end",
         glue("'Authorization: Bearer '", m),
-        glue("'sk- '", "'proj - '", m),
-        glue("'A'", "'C'", h),
+        glue("'sk- proj - '", m),
+        glue("'AC'", h),
         glue("'commit '", h, f"substr({h}, 1, 8)"),
         glue("'id '", h),
         "'sk-your-api-key-here'",
@@ -79,3 +81,12 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOKENS_SQL = (
     f"select md5(token) as token_key, token from (select distinct unnest({Duck.words('text')}) as token from ({DOCUMENTS_SQL})) where token <> ''"
 )
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, html) of all pages, planted."""
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return rows.select("page_id", F.expr(planted("html", "page_id", Spark)).alias("html"))
+
+
+PAGES_SQL = f"select page_id, {planted('html', 'page_id', Duck)} as html from pages"

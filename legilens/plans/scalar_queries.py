@@ -124,4 +124,3 @@ _over_table(
 )
 _over_table("shorten_home", "part", ("p_partkey",), lambda d: {"shown": f.shorten_home(f"concat(case p_partkey % 3 when 0 then '/Users/u' when 1 then '/Users/' else '/Volumes/' end, p_partkey, case p_partkey % 2 when 0 then '/Desktop' else '' end)", d)})
 _over_table("initials_from_name", "supplier", ("s_suppkey",), lambda d: {"initials": f.initials("translate(s_name, '#', ' ')", d)})
-_over_table("settings_lookup", "part", ("p_partkey",), lambda d: {"value": f"case when {KEY} = 'scan_fps2' then '2' end"})

@@ -25,8 +25,9 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_events(spark: SparkSession, path: str) -> DataFrame:
-    """The same of files as they arrive, oldest first, one for each micro-batch."""
-    return parsed(spark.readStream.option("maxFilesPerTrigger", 1).text(path))
+    """The same of files as they arrive, those that are there at once in one micro-batch."""
+    spark.createDataFrame([], "value string").write.mode("append").text(path)  # the folder, where nothing has arrived yet
+    return parsed(spark.readStream.text(path))
 
 
 def frames_of(events: DataFrame) -> DataFrame:
@@ -37,6 +38,14 @@ def frames_of(events: DataFrame) -> DataFrame:
     )
 
 
+def frames_and_ends(events: DataFrame) -> DataFrame:
+    """The frames, and a row with done for each recording's end or error."""
+    return events.filter("type in ('frame', 'done', 'error')").select(
+        "recording_id", *[F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in ("frame_index", "timestamp_ms")], "text", F.coalesce("skipped", F.lit(False)).alias("skipped"),
+        (F.col("type") != "frame").alias("done"),
+    )
+
+
 def totals_of(events: DataFrame) -> DataFrame:
     """(recording_id, duration_ms, total_frames, frames_ocred, error): what the other events of a recording say."""
     pick = lambda kind, col: F.max(F.when(F.col("type") == kind, F.col(col))).alias(col)
@@ -55,6 +64,16 @@ def upserted(settings: DataFrame, changes: DataFrame) -> DataFrame:
     return both.groupBy("key").agg(F.max_by("value", F.struct(F.coalesce("at", F.lit(-(1 << 62))), "value")).alias("value"))
 
 
+def looked_up(settings: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, value) of each wanted key: null where no setting has it. Of repeated keys in settings the greatest value counts."""
+    return wanted.select("key").join(settings.groupBy("key").agg(F.max("value").alias("value")), "key", "left")
+
+
+def write_tsv(findings: DataFrame, path: str) -> None:
+    """Findings as lines of label, severity, confidence and preview, separated by tabs; the confidence with two digits."""
+    findings.select("label", "severity", F.format_number("confidence", 2).alias("confidence"), "preview").write.option("sep", "\t").option("quote", "").csv(path)
+
+
 def detectors(spark: SparkSession) -> DataFrame:
     """(id, label, provider, severity) of every provider pattern."""
     return spark.createDataFrame([(p.id, p.label, p.provider, p.severity) for p in known.PATTERNS], "id string, label string, provider string, severity string")

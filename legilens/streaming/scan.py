@@ -1,82 +1,184 @@
-"""Structured Streaming: the same frames as they arrive. State is kept for each recording; batch and stream give equal results."""
+"""Structured Streaming: the same frames as they arrive. State is kept for each recording; batch and stream give equal results.
+
+Rows of one recording are put in order within a micro-batch. A frame that comes in a later micro-batch than frames after it (a late frame) is taken
+when it comes: it is carried and hashed against what came before it, and its findings extend the incident that is open then.
+The state of a recording goes with its end or error event; what comes later starts anew. It is a text, a hash or the incidents still open.
+"""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from legilens.operators import incidents
-from legilens.operators.frames import Gate
+from legilens.operators.frames import THRESHOLD, Gate
 from legilens.sources import events
 
+#: What is there now, as the only arrival.
+NOW = (None,)
+
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares, or in a temporary one where none is named."""
+    """A new path in the folder that the cluster shares, or in a temporary one where none is named (one machine)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
-def run_to_end(stream: DataFrame, each: Callable[[DataFrame, int], None]) -> None:
-    """Process all that is there, micro-batch by micro-batch."""
-    spark = stream.sparkSession
-    query = stream.writeStream.foreachBatch(each).outputMode("append").option("checkpointLocation", scratch(spark, "progress")).trigger(availableNow=True).start()
-    query.awaitTermination()
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written once in the shared folder and read back, for results that are used twice."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def run_to_end(stream: DataFrame, each: Callable[[DataFrame, int], None], progress: str) -> None:
+    """Process all that is there in a micro-batch. State and what was read are kept under progress for the next call."""
+    stream.writeStream.foreachBatch(each).outputMode("append").option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
 
 
-def appended(stream: DataFrame, name: str) -> DataFrame:
-    """All rows of a stream, after it ended. A batch that is repeated after a failure overwrites what it had written."""
-    spark, path = stream.sparkSession, scratch(stream.sparkSession, name)
-    run_to_end(stream, lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/batch={n}"))
-    return spark.read.schema(stream.schema).parquet(path).select(*stream.columns)
+def appended(stream: DataFrame, name: str, arrivals: Iterable = NOW, made: Callable[[DataFrame], DataFrame] = lambda batch: batch) -> DataFrame:
+    """All rows that made gives for the micro-batches of a stream, a run after each arrival. A batch that is repeated after a failure overwrites what it had written."""
+    spark, path, progress = stream.sparkSession, scratch(stream.sparkSession, name), scratch(stream.sparkSession, "progress")
+    schema = made(spark.createDataFrame([], stream.schema)).schema
+    spark.createDataFrame([], schema).write.parquet(f"{path}/batch=-1")  # so that a stream without rows has a result
+    for _ in arrivals:
+        run_to_end(stream, lambda batch, n: made(batch).write.mode("overwrite").parquet(f"{path}/batch={n}"), progress)
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
+
+
+def _keep(state: GroupState, value: tuple | None) -> None:
+    """Keep a recording's state, or drop it where there is none."""
+    if value is not None:
+        state.update(value)
+    elif state.exists:
+        state.remove()
 
 
 def carry_forward(frames: DataFrame) -> DataFrame:
-    """(recording_id, frame_index, timestamp_ms, text) of a stream of frames; the state of a recording is the last text read."""
+    """(recording_id, frame_index, timestamp_ms, text, done) of a stream of frames and done rows; the state of a recording is the last text read."""
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        carried = state.get[0] if state.exists else ""
-        rows = pd.concat(list(parts)).sort_values("frame_index")
-        out = []
+        carried, over, out = state.get[0] if state.exists else "", False, []
+        rows = pd.concat(list(parts)).sort_values(["done", "frame_index"])
         for r in rows.itertuples(index=False):
-            if r.skipped or r.text is None:
+            if r.done:
+                over = True
+                out.append((r.recording_id, None, None, None, True))
+            elif r.skipped or r.text is None:
                 if carried:
-                    out.append((r.recording_id, r.frame_index, r.timestamp_ms, carried))
+                    out.append((r.recording_id, r.frame_index, r.timestamp_ms, carried, False))
             else:
                 carried = r.text
-                out.append((r.recording_id, r.frame_index, r.timestamp_ms, r.text))
-        state.update((carried,))
-        yield pd.DataFrame(out, columns=["recording_id", "frame_index", "timestamp_ms", "text"])
+                out.append((r.recording_id, r.frame_index, r.timestamp_ms, r.text, False))
+        _keep(state, None if over else (carried,))
+        made = pd.DataFrame(out, columns=["recording_id", "frame_index", "timestamp_ms", "text", "done"])
+        yield made.astype({"frame_index": "Int64", "timestamp_ms": "Int64"})
 
-    schema = "recording_id string, frame_index bigint, timestamp_ms bigint, text string"
+    schema = "recording_id string, frame_index bigint, timestamp_ms bigint, text string, done boolean"
     return frames.groupBy("recording_id").applyInPandasWithState(run, schema, "carried string", "append", GroupStateTimeout.NoTimeout)
 
 
-def skip_gate(frames: DataFrame) -> DataFrame:
+def carried(spark: SparkSession, path: str, arrivals: Iterable = NOW) -> DataFrame:
+    """(recording_id, frame_index, timestamp_ms, text) of the event lines under path."""
+    rows = appended(carry_forward(events.frames_and_ends(events.stream_events(spark, path))), "carried", arrivals)
+    return rows.filter("not done").drop("done")
+
+
+def skip_gate(frames: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(recording_id, frame_index, skipped) of a stream of hashed frames; the state is the last kept hash and the run of skips."""
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, skipped = state.get if state.exists else (None, 0)
-        gate, rows = Gate(None if last is None else list(last), skipped), pd.concat(list(parts)).sort_values("frame_index")
+        gate, rows = Gate(None if last is None else list(last), skipped, threshold), pd.concat(list(parts)).sort_values("frame_index")
         rows["skipped"] = [gate.skips(None if h is None else [int(x) for x in h]) for h in rows["hash"]]
-        state.update((gate.last, gate.run))
+        _keep(state, (gate.last, gate.run))
         yield rows[["recording_id", "frame_index", "skipped"]]
 
     schema = "recording_id string, frame_index bigint, skipped boolean"
     return frames.groupBy("recording_id").applyInPandasWithState(run, schema, "last array<bigint>, run int", "append", GroupStateTimeout.NoTimeout)
 
 
-def scan(spark: SparkSession, path: str) -> DataFrame:
-    """Incidents of the recordings whose event lines arrive under path: frames carried forward by state, findings appended batch by batch."""
-    found = scratch(spark, "findings")
+def gated(spark: SparkSession, path: str, schema, threshold: int = THRESHOLD, arrivals: Iterable = NOW) -> DataFrame:
+    """(recording_id, frame_index, skipped) of the hashed frames that arrive under path as Parquet."""
+    return appended(skip_gate(spark.readStream.schema(schema).parquet(path), threshold), "gate", arrivals)
+
+
+#: Columns of an open incident, beside its key.
+OPEN = ("label", "provider", "severity", "severity_rank", "first_seen_ms", "last_seen_ms", "first_frame_index", "frame_count", "confidence")
+
 
-    def each(batch: DataFrame, n: int) -> None:
-        incidents.frame_findings(batch).write.mode("overwrite").parquet(f"{found}/batch={n}")
+def closing(findings: DataFrame, gap: int = incidents.MERGE_GAP_MS) -> DataFrame:
+    """Incidents of a stream of findings and done rows, each as it closes: when a later finding of the recording is more than gap after it, or at the end.
 
-    frames = carry_forward(events.frames_of(events.stream_events(spark, path)))
-    run_to_end(frames, each)
-    return incidents.incidents(spark.read.parquet(found).drop("batch"))
+    The state of a recording are its open incidents: those seen in the last gap.
+    """
+    key, kinds = ["pattern_id", "preview", "token_len"], "string, preview string, token_len int, label string, provider string, severity string, severity_rank int"
+    times = "first_seen_ms bigint, last_seen_ms bigint, first_frame_index bigint, frame_count bigint, confidence double"
+    one = f"pattern_id {kinds}, {times}"
+
+    def run(of: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = {tuple(r[:3]): list(r[3:]) for r in state.get[0]} if state.exists else {}
+        closed, over = [], False
+        rows = pd.concat(list(parts)).sort_values(["timestamp_ms", "frame_index", "start"])
+        for r in rows.itertuples(index=False):
+            if r.done:
+                over = True
+                continue
+            for k in [k for k, v in held.items() if r.timestamp_ms - v[5] > gap]:
+                closed.append((of[0], *k, *held.pop(k)))
+            k = (r.pattern_id, r.preview, int(r.token_len))
+            if k in held:
+                v = held[k]
+                v[5], v[7], v[8] = max(v[5], int(r.timestamp_ms)), v[7] + 1, max(v[8], float(r.confidence))
+            else:
+                held[k] = [r.label, r.provider, r.severity, int(r.severity_rank), int(r.timestamp_ms), int(r.timestamp_ms), int(r.frame_index), 1, float(r.confidence)]
+        if over:
+            closed += [(of[0], *k, *v) for k, v in held.items()]
+        _keep(state, None if over or not held else ([(*k, *v) for k, v in held.items()],))
+        yield pd.DataFrame(closed, columns=["recording_id", *key, *OPEN])
+
+    out = f"recording_id string, {one}"
+    fields = one.replace(" ", ":").replace(",:", ",")
+    return findings.groupBy("recording_id").applyInPandasWithState(run, out, f"open array<struct<{fields}>>", "append", GroupStateTimeout.NoTimeout)
+
+
+def scan(spark: SparkSession, path: str, arrivals: Iterable = NOW) -> DataFrame:
+    """Incidents of the recordings whose event lines arrive under path, in the columns of incidents.incidents.
+
+    After each arrival its frames are carried forward and searched, and the incidents that closed are appended. An empty folder gives none.
+    """
+    frames = carry_forward(events.frames_and_ends(events.stream_events(spark, path)))
+    found, progress, result = scratch(spark, "findings"), scratch(spark, "progress"), scratch(spark, "incidents")
+    ends = scratch(spark, "progress")
+
+    def searched(batch: DataFrame) -> DataFrame:
+        rows = incidents.frame_findings(batch.filter("not done").drop("done")).withColumn("done", F.lit(False))
+        return rows.unionByName(batch.filter("done").select("recording_id", "done"), allowMissingColumns=True)
+
+    schema = searched(spark.createDataFrame([], frames.schema)).schema
+    spark.createDataFrame([], schema).write.parquet(f"{found}/none")
+    made = closing(spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(found))
+    spark.createDataFrame([], made.schema).write.parquet(f"{result}/none")
+    for _ in arrivals:
+        run_to_end(frames, lambda batch, n: searched(batch).write.mode("overwrite").parquet(f"{found}/batch-{n}"), progress)
+        run_to_end(made, lambda batch, n: batch.write.mode("overwrite").parquet(f"{result}/batch-{n}"), ends)
+    got = spark.read.schema(made.schema).option("recursiveFileLookup", True).parquet(result)
+    return incidents.shown(got)
+
+
+def sessions(spark: SparkSession, path: str, schema, keys: tuple[str, ...], at: str, gap: int, delay: str = "0 seconds", arrivals: Iterable = NOW) -> DataFrame:
+    """(keys, first_ms, last_ms, n) of the rows that arrive under path as Parquet: a gap of more than gap milliseconds starts a new session.
+
+    A session is given when the watermark, the latest time seen less delay, has passed its end. Rows later than the watermark are dropped. A row
+    without keys belongs to no session, but moves the watermark: such a row at a later time ends a stream.
+    """
+    rows = spark.readStream.schema(schema).parquet(path).select(*keys, F.col(at).cast("timestamp").alias("at")).withWatermark("at", delay)
+    ms = F.expr("unix_micros(at) div 1000")
+    windows = rows.groupBy(F.session_window("at", f"{gap + 1} milliseconds"), *keys).agg(F.min(ms).alias("first_ms"), F.max(ms).alias("last_ms"), F.count("*").alias("n"))
+    return appended(windows.drop("session_window"), "sessions", arrivals).filter(" and ".join(f"{k} is not null" for k in keys))

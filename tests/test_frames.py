@@ -2,7 +2,8 @@ import json
 
 from pyspark.sql import functions as F
 
-from legilens.operators import damage, frames, incidents
+from legilens.functions import dictionaries as known
+from legilens.operators import detectors, frames, incidents, parity
 from legilens.sources import events
 
 B24 = "T3xK9mPq2LvR8wZa5NbYc7Hd"
@@ -24,7 +25,7 @@ def test_carry_forward(spark):
 
 def test_transcript_of_a_leak(spark, tmp_path):
     """A key read once and carried over two skipped frames is one incident."""
-    key = "OPENAI_API_KEY=sk-" + "proj-" + B24
+    key = "OPENAI_API_KEY=sk-proj-" + B24
     lines = [{"type": "meta", "recording_id": "a", "duration_ms": 12000, "total_frames": 5}]
     lines += [{"type": "frame", "recording_id": "a", "frame_index": i, "timestamp_ms": i * 1000, "text": t} for i, t in enumerate(["hello", "world", key])]
     lines += [{"type": "frame", "recording_id": "a", "frame_index": i, "timestamp_ms": i * 1000, "skipped": True} for i in (3, 4)]
@@ -64,18 +65,10 @@ def test_difference_hash(spark):
     assert got == [sum(1 << i for i, b in enumerate(bits) if b)]
 
 
-def test_damage():
-    source = "sk-" + "proj-" + B24
-    assert damage.read_back(source, 13).text == source and damage.read_back(source, 4.5).text == ""
-    worst = damage.read_back(source, 5)
-    assert worst.dropped == round((worst.severity - 0.6) / 0.4 * 9) and len(worst.text) == len(source) - worst.dropped
-    assert damage.read_back(source, 10).text.count("–") == 1 and damage.read_back(source, 12).text.count("–") == 0
-
-
 def test_upsert_and_disagreements(spark):
     a = spark.createDataFrame([("k", "1"), ("m", "2")], "key string, value string")
     b = spark.createDataFrame([("k", "3", 1), ("k", "4", 2), ("n", None, 1)], "key string, value string, at bigint")
     assert sorted(map(tuple, events.upserted(a, b).collect())) == [("k", "4"), ("m", "2"), ("n", None)]
     x = spark.createDataFrame([("a", "l", 0.5), ("b", "l", 0.5), ("c", "l", 0.5)], "candidate string, label string, confidence double")
     y = spark.createDataFrame([("a", "l", 0.5000001), ("b", "l", 0.6), ("d", "l", 0.5)], "candidate string, label string, confidence double")
-    assert sorted(r.candidate for r in damage.disagreements(x, y).collect()) == ["b", "c", "d"]
+    assert sorted(r.candidate for r in parity.disagreements(x, y).collect()) == ["b", "c", "d"]

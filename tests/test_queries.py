@@ -1,11 +1,17 @@
 """Every registered query with SQL against DuckDB on the small tables; streams against batches; privacy of all outputs."""
 
 import os
+from importlib.util import find_spec
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+import __spark_entry__
+from legilens.functions import dictionaries as known
+from legilens.operators import parity
 from legilens.plans import registry
+from legilens.streaming import scan as streams
 
 
 @pytest.fixture(scope="module")
@@ -32,14 +38,20 @@ def test_as_sql(spark, duck, sf_dir, name):
     assert got == sorted(tuple(shown(r[i]) for i in at) for r in result.fetchall())
 
 
-def test_stream_as_batch(spark, sf_dir):
-    rows = lambda name: sorted(map(str, registry.QUERIES[name](spark, sf_dir).collect()))
-    assert rows("stream_incidents") == rows("incidents")
-    assert rows("stream_skip_gate") == rows("frame_skip_gate")
+def test_disagreements_with_golden_verdicts(spark):
+    golden = spark.createDataFrame(known.GOLDEN, "candidate string, label string, confidence double")
+    ours = parity.verdicts(golden.select("candidate")).withColumn("confidence", F.round("confidence", 6))
+    assert ours.count() == len(known.GOLDEN) and parity.disagreements(ours, golden).count() == 0
 
 
-def test_no_disagreement(spark, sf_dir):
-    assert registry.QUERIES["oracle_parity"](spark, sf_dir).count() == 0
+def test_streams_without_events(spark, tmp_path):
+    assert streams.scan(spark, str(tmp_path / "none")).count() == 0
+    assert streams.carried(spark, str(tmp_path / "nothing")).count() == 0
+
+
+def test_entry_without_corpus_operators(monkeypatch):
+    monkeypatch.setattr(__spark_entry__, "find_spec", lambda name: None if name == "legilens.llm" else find_spec(name))
+    assert set(__spark_entry__.queries()) == set(registry.QUERIES) and set(__spark_entry__.oracle_sql()) == set(registry.SQL)
 
 
 def test_no_secret_in_results(spark, sf_dir):
