@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,16 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from legilens.llm.shared import saved
+from legilens.llm.shared import free, saved
 
-#: Labelled rows used for the lexicon, and the most terms it holds.
-TRAIN_ROWS, TERMS = 20_000, 1_000
+#: Labelled rows used for the lexicon, in the order of a hash of their identifier: the bound of what is learnt from labels.
+TRAIN_ROWS = 20_000
 #: Least documents for a term, and least evidence (twice the log-likelihood ratio) beside twice the logarithm of the terms tested.
 SUPPORT, EVIDENCE = 5, 8.0
 #: Least share of toxic texts among those with the term, as the lower end of a 95 % interval: a term alone must make toxicity likelier than not.
 SHARE = 0.5
-#: The same for a term that texts explained by other terms have.
-CERTAIN = 0.95
+#: The same for a term that texts explained by other terms have: sixteen toxic texts without a clean one.
+CERTAIN = 0.8
 #: Lengths of the word beginnings that are terms beside the word itself.
 STARTS = (4, 5, 6)
 #: Character classes: 0 boundary, a-z 1-26, Latin-1 small letters from U+00DF 27-59, 60 any other letter, 61 other signs' boundary.
@@ -125,72 +124,67 @@ def surely(k: int, n: int, z: float = 1.96) -> float:
 
 
 def lexicon(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tuple[dict[str, float], float, float]:
-    """Terms with their log odds, the prior log odds, and those of a text without terms."""
+    """Terms with their log odds, the prior log odds, and those of a text without terms.
+
+    Evidence is counted over different texts, so that a text with many copies speaks once; the prior is the toxic share of all rows used.
+    """
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
-    told = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = told.join(F.broadcast(known), "doc_id").select("text", "toxic").dropDuplicates()  # TRAIN_ROWS labels at most
-    rows = saved(rows, "train")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    told = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = told.join(F.broadcast(known), "doc_id").groupBy("text", (F.col("toxic") == 1).cast("int").alias("toxic")).agg(F.count("*").alias("n"))  # TRAIN_ROWS labels at most
+    rows = saved(rows.withColumn("row", F.monotonically_increasing_id()), "train")
+    sums = {r["toxic"]: (r["texts"], r["n"]) for r in rows.groupBy("toxic").agg(F.count("*").alias("texts"), F.sum("n").alias("n")).collect()}
+    (n0, all0), (n1, all1) = sums.get(0, (0, 0)), sums.get(1, (0, 0))
+    base = (all1 + 0.5) / (all0 + all1 + 1)
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen: tuple[Counter, Counter] = (Counter(), Counter())
-            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                seen[int(toxic == 1)].update(terms_of(text or ""))
-                seen[int(toxic == 1)][""] += 1
-            names = sorted(seen[0].keys() | seen[1].keys())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.string()), pa.array([seen[0][x] for x in names]), pa.array([seen[1][x] for x in names])], ["term", "clean", "toxic"]
-            )
-
-    counts = rows.select("text", "toxic").mapInArrow(run, "term string, clean bigint, toxic bigint").groupBy("term")
-    counts = saved(counts.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "terms")
-    tested = counts.filter(f"term <> '' and toxic >= {SUPPORT}")
-    least = EVIDENCE + 2 * math.log(max(1, tested.count()))
-    strong = tested.orderBy(F.expr("toxic / (clean + 1)").desc(), F.desc("toxic"), "term")
-    found = {r["term"]: (r["clean"], r["toxic"]) for r in strong.limit(50 * TERMS).collect()}
-    n0, n1 = next(((r["clean"], r["toxic"]) for r in counts.filter("term = ''").collect()), (0, 0))
-    base = (n1 + 0.5) / (n0 + n1 + 1)
+            owners, terms = [], []
+            for i, text in enumerate(b.column(0).to_pylist()):
+                found = terms_of(text)
+                owners += [i] * len(found)
+                terms += found
+            at = pa.array(owners, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(1).take(at), b.column(2).take(at), pa.array(terms, pa.string())], ["row", "toxic", "term"])
+
+    pairs = saved(rows.select("text", "row", "toxic").mapInArrow(named, "row bigint, toxic int, term string"), "pairs")
+    counts = pairs.groupBy("term").agg(F.count_if(F.col("toxic") == 0).alias("c"), F.count_if(F.col("toxic") == 1).alias("t")).filter(F.col("t") >= SUPPORT)
+    counts = saved(counts, "terms")
+    least = EVIDENCE + 2 * math.log(max(1, counts.count()))
+    strong = {r["term"]: (r["c"], r["t"]) for r in counts.filter(f"t / (c + t) >= {SHARE}").collect()}  # terms of TRAIN_ROWS texts at most
 
     def gain(c: float, t: float) -> float:
         p = t / (c + t)
         return 2 * (t * math.log(p / base) + (c * math.log((1 - p) / (1 - base)) if c else 0)) if p > base else 0.0
 
-    best = sorted(((gain(c, t), term) for term, (c, t) in found.items() if surely(t, c + t) >= SHARE), reverse=True)
-    names = [term for g, term in best if g >= least][:TERMS]
-    place = {term: k for k, term in enumerate(names)}
-
-    def having(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            terms = [sorted(place[x] for x in terms_of(t or "") if x in place) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(1).cast(pa.int32()), pa.array(terms, pa.list_(pa.int32()))], ["toxic", "terms"])
-
-    # TRAIN_ROWS rows of at most TERMS small numbers.
-    sample = rows.select("text", "toxic").mapInArrow(having, "toxic int, terms array<int>").filter("size(terms) > 0").collect() if names else []
-    has = np.zeros((len(sample), len(names)), bool)
-    for i, r in enumerate(sample):
-        has[i, r["terms"]] = True
-    toxic = np.array([r["toxic"] == 1 for r in sample], bool)
-    left = np.ones(len(sample), bool)
-    kept: dict[str, float] = {}
+    likely = {name: (c, t) for name, (c, t) in strong.items() if surely(t, c + t) >= SHARE and gain(c, t) >= least}
+    where: dict[str, list[tuple[int, int]]] = {name: [] for name in likely}
+    table = docs.sparkSession.createDataFrame([(name,) for name in likely], "term string")
+    for r in pairs.join(F.broadcast(table), "term").collect() if likely else ():  # the places of the terms above
+        where[r["term"]].append((r["row"], r["toxic"]))
+    inside: dict[int, list[str]] = {}
+    for name, places in where.items():
+        for row, _ in places:
+            inside.setdefault(row, []).append(name)
+    left = {name: [c, t] for name, (c, t) in likely.items()}
+    chosen = {name for name, (c, t) in likely.items() if surely(t, t + c) >= CERTAIN}  # hardly any clean text has them
+    explained: set[int] = set()
     # Greedy choice: the term with the most evidence among the texts that no chosen term explains. Words that only come along with toxic ones drop out.
-    while left.any():
-        t, c = has[left & toxic].sum(axis=0), has[left & ~toxic].sum(axis=0)
-        gains = [gain(int(c[k]), int(t[k])) if t[k] and surely(int(t[k]), int(t[k] + c[k])) >= SHARE else 0.0 for k in range(len(names))]
-        k = int(np.argmax(gains))
-        if gains[k] < least:
+    while True:
+        name, best = max(((name, gain(c, t)) for name, (c, t) in left.items() if t and surely(t, t + c) >= SHARE), key=lambda x: (x[1], x[0]), default=("", 0.0))
+        if best < least:
             break
-        c_all, t_all = found[names[k]]
-        kept[names[k]] = math.log((t_all + 0.5) / (n1 + 1)) - math.log((c_all + 0.5) / (n0 + 1))
-        left &= ~has[:, k]
-    # Terms that hardly any clean text has stay as well, chosen or not.
-    for name in names:
-        c_all, t_all = found[name]
-        if name not in kept and surely(t_all, t_all + c_all) >= CERTAIN:
-            kept[name] = math.log((t_all + 0.5) / (n1 + 1)) - math.log((c_all + 0.5) / (n0 + 1))
+        chosen.add(name)
+        for row, toxic in where[name]:
+            if row not in explained:
+                explained.add(row)
+                for other in inside[row]:
+                    left[other][toxic] -= 1
+        left.pop(name)
+    odds = {name: math.log((t + 0.5) / (n1 + 1)) - math.log((c + 0.5) / (n0 + 1)) for name, (c, t) in likely.items() if name in chosen}
     prior = math.log(base / (1 - base))
-    return kept, prior, min(prior - 3.0, -3.0)
+    return odds, prior, min(prior - 3.0, -3.0)
 
 
 class Decoder:
@@ -308,7 +302,7 @@ def scored(docs: DataFrame, labels: DataFrame, keep: list[str], id_col: str = "d
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in out), pa.array(scores, pa.float64())], [*keep, score_col])
 
     rows = docs.select(*[F.col(f"`{c}`") for c in cols])
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), f"{score_col} double"])
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), f"`{score_col}` double"])
     return rows.mapInArrow(run, schema)
 
 
@@ -325,8 +319,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are not predicted toxic, with all their columns."""
-    return scored(docs, labels, docs.columns, score_col="_toxicity").filter("_toxicity < 0.5").drop("_toxicity")
+    """The rows of docs that are not predicted toxic, with all their columns. Each row is judged by its own text, whatever its doc_id: repeated rows go or
+    stay together, null texts stay. An empty table stays empty."""
+    score = free("toxicity", docs)
+    return scored(docs, labels, docs.columns, score_col=score).filter(F.col(score) < 0.5).drop(score)
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
