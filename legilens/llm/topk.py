@@ -22,13 +22,11 @@ CANDIDATES, QUERIES = 8192, 1024
 STRIDE = 16
 #: Candidates scored in full first, for a k-th best score to prune with.
 SEEDS = 256
-#: Whole numbers up to this size are exact in double arithmetic: scores are computed as doubles where they stay below.
-EXACT = float(1 << 52)
 
 
 def quantised(vector: Column) -> Column:
-    """floor(256 x) of each component as a double; null for vectors that are null, empty or hold null or non-finite components."""
-    sound = vector.isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    """floor(256 x) of each component as a double; null for vectors that are null or hold null or non-finite components."""
+    sound = vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return F.when(sound, F.transform(vector, lambda x: F.floor(x.cast("double") * 256.0).cast("double")))
 
 
@@ -73,8 +71,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
 
     The score is the inner product of the vectors quantised to floor(256 x). Ties go to the smaller vec_id; a query's
     own vec_id is no candidate; where there are fewer candidates all are returned. Rows with a null identifier, and vectors
-    that are null, empty or hold null or non-finite components, take no part; vectors of different lengths are compared as if the
-    shorter ended in zeros. Repeated rows are candidates each. Scores are exact up to 2 ** 52.
+    that are null or hold null or non-finite components, take no part; an empty vector scores 0 with every other; vectors of different lengths are compared as if the
+    shorter ended in zeros. Repeated rows are candidates each; queries that share a vec_id but not their vector are answered together, by their best scores. Scores are
+    exact below 2 ** 52 (components beyond 2 ** 17 with 64 dimensions).
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), quantised(F.col(vector_col)).alias("v"), is_query.alias("is_query")).filter("v is not null and vec_id is not null")
     counts = rows.agg(F.count("*").alias("n"), F.count_if("is_query").alias("q")).first()
@@ -121,7 +120,7 @@ with v as (
   select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
   where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), s as (
-  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint as score
+  select q.vec_id as query_id, c.vec_id, coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])), 0)::bigint as score
   from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id
 )
 select query_id, row_number() over (partition by query_id order by score desc, vec_id)::integer as rank, vec_id, score
