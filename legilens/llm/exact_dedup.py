@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from legilens.llm.shared import bit_filter, bit_test, in_filter, saved, slot_of
+from legilens.llm.shared import bit_filter, bit_test, free, in_filter, saved, settled, slot_of
 
 #: Runs that one compaction merges.
 FAN_IN = 8
@@ -101,9 +101,16 @@ def exact_dedup(
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    dropped = exact_dedup(docs).filter("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti")
+    """The rows of docs that stay, one of each different normalised text, with all their columns: the one with the smallest doc_id.
+
+    Where several rows share that doc_id and the text, one of them stays; where a doc_id is that of different texts, each text is judged on its own. A
+    row with a null doc_id stays only if all rows of its text have none, and then one of them does. Null texts count as empty. An
+    empty table stays empty.
+    """
+    digest = free("digest", docs)
+    tagged = saved(docs.withColumn(digest, sha256(normalised(F.col("text")))), "tagged")
+    told = exact_dedup(docs).filter("group_size > 1").groupBy("doc_id", F.col("text_sha256").alias(digest)).agg(F.bool_or("kept").alias("stays"))
+    return settled(tagged, ["doc_id", digest], saved(told, "settled")).drop(digest)
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:

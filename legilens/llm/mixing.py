@@ -13,7 +13,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from legilens.llm.shared import saved
+from legilens.llm.shared import free, saved
 
 MARGINS = ("source", "lang", "topic")
 #: Default targets: each margin's shares raised to this power and scaled to one, so that large classes shrink.
@@ -96,20 +96,10 @@ def mix(
     probability is capped at 1). Documents without words carry no weight and are never selected. Null source and lang are the class "".
     Rows with the same identifier are drawn alike; a null identifier is drawn as the empty string. Other columns are ignored.
     """
-    text = F.col(text_col)
-    told = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.coalesce(F.col("source"), F.lit("")).alias("source"),
-        F.coalesce(F.col("lang"), F.lit("")).alias("lang"),
-        tokens_of(text).alias("tokens"),
-        text.alias("text"),
-    )
-    weighted = saved(told.withColumn("topic", topic_of(F.col("text"), F.col("tokens"))).drop("text"), "weighted")
-    cells = saved(cells_of(weighted), "cells")
-    whole = cells.agg(F.sum("mass").alias("whole"))  # one row
-    ratio = rake(cells, targets, sweeps).join(F.broadcast(whole)).select(*MARGINS, (F.lit(budget) * F.col("whole") * F.col("fitted") / F.col("mass")).alias("ratio"))
-    draw = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"/{seed}"))), 1, 12), 16, 10).cast("double") / float(1 << 48)
-    probability = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.coalesce("ratio", F.lit(0.0)))).otherwise(0.0)
+    columns = _judged(docs, text_col)
+    weighted = saved(docs.select(F.col(id_col).alias("doc_id"), *[c.alias(name) for name, c in columns.items()]), "weighted")
+    ratio = ratios(weighted, targets, budget, sweeps)
+    probability = _probability(F.col("tokens"), F.col("ratio"))
     return (
         weighted.join(ratio, list(MARGINS), "left")
         .withColumn("probability", probability)
@@ -117,15 +107,48 @@ def mix(
             "doc_id", *MARGINS, "tokens",
             F.round("probability", 9).alias("probability"),
             F.round(F.when(F.col("probability") > 0, F.col("ratio") / F.col("probability")).otherwise(0.0), 9).alias("weight"),
-            (draw < F.col("probability")).alias("selected"),
+            (_draw(F.col("doc_id"), seed) < F.col("probability")).alias("selected"),
         )
     )
 
 
-def keep_selected(docs: DataFrame, **options) -> DataFrame:
-    """The selected rows of docs, with all their columns."""
-    selected = mix(docs, **options).filter("selected").select("doc_id").distinct()
-    return docs.join(selected, "doc_id", "left_semi")
+def _judged(docs: DataFrame, text_col: str) -> dict[str, Column]:
+    """What a row is weighed by: source, lang, tokens and topic."""
+    text, blank = F.col(f"`{text_col}`"), F.lit("")
+    tokens = tokens_of(text)
+    return {"source": F.coalesce(F.col("source"), blank), "lang": F.coalesce(F.col("lang"), blank), "tokens": tokens, "topic": topic_of(text, tokens)}
+
+
+def _probability(tokens: Column, ratio: Column) -> Column:
+    return F.when(tokens > 0, F.least(F.lit(1.0), F.coalesce(ratio, F.lit(0.0)))).otherwise(0.0)
+
+
+def _draw(ident: Column, seed: int) -> Column:
+    """A number from 0 to 1 that depends on the identifier only."""
+    return F.conv(F.substring(F.md5(F.concat(F.coalesce(ident.cast("string"), F.lit("")), F.lit(f"/{seed}"))), 1, 12), 16, 10).cast("double") / float(1 << 48)
+
+
+def ratios(weighted: DataFrame, targets: Mapping[str, Mapping[str, float]] | None, budget: float, sweeps: int) -> DataFrame:
+    """(source, lang, topic, ratio): wanted tokens of each cell over its tokens."""
+    cells = saved(cells_of(weighted), "cells")
+    whole = cells.agg(F.sum("mass").alias("whole"))  # one row
+    return rake(cells, targets, sweeps).join(F.broadcast(whole)).select(*MARGINS, (F.lit(budget) * F.col("whole") * F.col("fitted") / F.col("mass")).alias("ratio"))
+
+
+def keep_selected(
+    docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, budget: float = BUDGET, seed: int = SEED, sweeps: int = SWEEPS
+) -> DataFrame:
+    """The selected rows of docs, with all their columns. Each row is judged by its own columns, as mix() does.
+
+    Rows that share a doc_id are drawn alike but weighed each; a null doc_id is drawn as the empty text. Rows without words are never
+    selected. An empty table stays empty.
+    """
+    columns = _judged(docs, "text")
+    ratio = saved(ratios(docs.select(*[c.alias(name) for name, c in columns.items()]), targets, budget, sweeps), "ratios")
+    whole = free("whole_row", docs)
+    judged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(whole), F.col("doc_id").alias("_id"), *[c.alias(name) for name, c in columns.items()])
+    chosen = judged.join(ratio, list(MARGINS)).filter(_draw(F.col("_id"), seed) < _probability(F.col("tokens"), F.col("ratio")))
+    return chosen.select(f"{whole}.*")
 
 
 def op2_mix_sources(spark, sf_dir: str) -> DataFrame:

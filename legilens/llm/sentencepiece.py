@@ -146,10 +146,11 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 def encode(docs: DataFrame, model: str = MODEL, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """docs with the piece ids of each text in place of the text. A null text counts as empty; the empty text has no pieces."""
+    """docs with the piece ids of each text in place of the text. A null text counts as empty; the empty text has no pieces. A column of the
+    name ids_col is replaced."""
     cols = docs.columns
     at = cols.index(text_col)
-    rest = [i for i in range(len(cols)) if i != at]
+    rest = [i for i in range(len(cols)) if i != at and cols[i] != ids_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(model)
@@ -166,10 +167,10 @@ def encode(docs: DataFrame, model: str = MODEL, text_col: str = "text", ids_col:
 
 
 def decode(encoded: DataFrame, model: str = MODEL, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
-    """encoded with the text of each list of piece ids in place of the list; null gives the empty text."""
+    """encoded with the text of each list of piece ids in place of the list; null gives the empty text. A column of the name text_col is replaced."""
     cols = encoded.columns
     at = cols.index(ids_col)
-    rest = [i for i in range(len(cols)) if i != at]
+    rest = [i for i in range(len(cols)) if i != at and cols[i] != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(model)

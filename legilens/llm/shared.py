@@ -12,13 +12,20 @@ from pyspark.sql import functions as F
 BUCKET_BITS = 32768
 
 
+#: Folder of each application that names none.
+OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset (tests, one machine)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    """The folder that driver and executors share: spark.checkpoint.dir, or on one machine, where it is unset, a new one."""
+    if path := spark.conf.get("spark.checkpoint.dir", None):
+        return path
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in OWN:
+        OWN[context.applicationId] = tempfile.mkdtemp(prefix="spark-")
+    return OWN[context.applicationId]
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -52,13 +59,46 @@ def bit_test(bitmap: str) -> str:
     return f"(shiftright(cast({byte} as int), cast(_at % 8 as int)) & 1) = 1"
 
 
+def free(name: str, *tables: DataFrame) -> str:
+    """name, with as many _ after it as make it no column of the tables."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def flagged(rows: DataFrame, key: str, filter_rows: DataFrame, bits: int, flag: str) -> DataFrame:
     """rows with a boolean column flag: whether the key tests true. The filter has a fixed size (see bit_filter), so it is broadcast."""
-    probed = rows.withColumn("_slot", slot_of(F.col(key), bits))
+    whole = free("whole_row", rows)
+    probed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias(whole), slot_of(F.col(f"`{key}`"), bits).alias("_slot"))
     probed = probed.withColumns({"_bucket": F.expr("bitmap_bucket_number(_slot)"), "_at": F.expr("bitmap_bit_position(_slot)")})
     named = filter_rows.select(F.col("bucket").alias("_bucket"), F.col("bitmap").alias("_bitmap"))
     test = F.coalesce(F.expr(bit_test("_bitmap")), F.lit(False))
-    return probed.join(F.broadcast(named), "_bucket", "left").select(*rows.columns, test.alias(flag))
+    return probed.join(F.broadcast(named), "_bucket", "left").select(f"{whole}.*", test.alias(flag))
+
+
+#: Bits of the filter of the keys that settled() looks at: 2 MB.
+SETTLE_BITS = 1 << 24
+
+
+def settled(rows: DataFrame, keys: list[str], attention: DataFrame) -> DataFrame:
+    """rows without those whose keys are in attention (keys, stays) with stays false; of rows that share keys with stays true, one.
+
+    rows must be a written table, as it is read twice. Keys compare null-safe. Rows whose keys are not in attention are told apart by a filter and
+    not shuffled; only what may be in it is joined.
+    """
+    digest, maybe = free("digest", rows), free("maybe", rows)
+    hashed = lambda t: F.xxhash64(*[F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("\0")) for k in keys])
+    slots = bit_filter(attention.select(hashed(attention).alias("digest")), "digest", SETTLE_BITS)
+    told = flagged(rows.withColumn(digest, hashed(rows)), digest, slots, SETTLE_BITS, maybe)
+    clear = told.filter(~F.col(maybe)).select(*[F.col(f"`{c}`") for c in rows.columns])
+    unsure, other = told.filter(maybe).alias("x"), attention.select(*[F.col(f"`{k}`").alias(f"other {i}") for i, k in enumerate(keys)], F.col("stays").alias("other stays")).alias("y")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(f"x.`{k}`").eqNullSafe(F.col(f"y.`other {i}`"))
+    # Keys that are not in attention after all are those of one row.
+    left = unsure.join(other, same, "left").filter(F.coalesce(F.col("`other stays`"), F.lit(True))).select(*[F.col(f"x.`{c}`") for c in rows.columns])
+    return clear.unionByName(left.dropDuplicates(keys))
 
 
 def in_filter(rows: DataFrame, key: str, filter_rows: DataFrame, bits: int) -> DataFrame:
@@ -67,8 +107,8 @@ def in_filter(rows: DataFrame, key: str, filter_rows: DataFrame, bits: int) -> D
 
 
 def text_key(text: Column) -> Column:
-    """16 bytes that stand for a text."""
-    return F.unhex(F.md5(text))
+    """16 bytes that stand for a text: the first half of its SHA-256, in which no two texts are known to agree."""
+    return F.unhex(F.substring(F.sha2(text.cast("binary"), 256), 1, 32))
 
 
 #: Bits of the filter of repeated texts: 2 MB.
@@ -99,29 +139,26 @@ def filter_bytes(filter_rows: DataFrame, bits: int) -> bytes:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of the edges: the smallest node that it can reach.
 
-    Each round maps every node to the smallest of itself and its neighbours and the edges to the mapped ends; edges
-    within one mapped node vanish. The smallest node of a component maps to itself, so it is the label that remains.
-    Rounds grow with the logarithm of the component's size; every round is cut off by a written table. Hubs are pre-aggregated
-    (minimum by map task), and the joins are plain equi-joins that adaptive execution splits when skewed.
+    Large and small stars in turn: first every node hands the smallest of itself and its neighbours to its greater neighbours, then to itself and
+    its smaller ones. Edges never grow in number beyond nodes and edges, and rounds grow with the logarithm of a component's length. Smallest
+    neighbours are pre-aggregated by map task, and the joins are plain equi-joins that adaptive execution splits when skewed. Every round is a
+    written table.
     """
-    named = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b")
-    now = saved(named.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    assigned = None
-    while not now.isEmpty():
-        ends = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = ends.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("up"))
-        parent = saved(up, "parents")
-        if assigned is None:
-            assigned = parent.select("node", F.col("up").alias("component"))
-        else:
-            hop = parent.select(F.col("node").alias("component"), "up")
-            assigned = saved(
-                assigned.join(hop, "component", "left").select("node", F.coalesce("up", "component").alias("component")),
-                "assigned",
-            )
-        left = now.join(parent.select(F.col("node").alias("a"), F.col("up").alias("ua")), "a")
-        both = left.join(parent.select(F.col("node").alias("b"), F.col("up").alias("ub")), "b").filter("ua <> ub")
-        now = saved(both.select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct(), "edges")
-    if assigned is None:
-        return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return assigned
+    now = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b").distinct()
+    now = saved(now, "edges")
+    while _tangled(now):
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
+        large = saved(both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct(), "edges")
+        low = large.groupBy("a").agg(F.min("b").alias("low"))
+        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b").unionByName(low.select("a", F.col("low").alias("b")))
+        now = saved(small.distinct(), "edges")
+    roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+
+
+def _tangled(edges: DataFrame) -> bool:
+    """Whether edges (a, b), each from the greater to the smaller end, are more than stars: an end that is a beginning as well, or has two ends."""
+    twice = edges.groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("other")).filter("b <> other")
+    through = edges.select(F.col("b").alias("a")).distinct().join(edges, "a", "left_semi")
+    return not twice.isEmpty() or not through.isEmpty()

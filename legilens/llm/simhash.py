@@ -23,8 +23,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from legilens.llm.shared import components, saved
+from legilens.llm.shared import components, free, saved, settled
 
 LIMIT = 4
 #: Segments of each block; two of six blocks agree within distance 4.
@@ -56,16 +57,18 @@ def fingerprint(text: str | None, width: int) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """(doc_id, fp) of every row; a null text counts as empty."""
+def fingerprints(docs: DataFrame, text_col: str = "text", width: int = 4, fp_col: str = "fp", keep: list[str] | None = None) -> DataFrame:
+    """The columns keep of every row (all of docs, if not given) with fp_col; a null text counts as empty."""
+    keep = docs.columns if keep is None else keep
+    columns = [docs.schema[c] for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [fingerprint(x, width) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            fps = [fingerprint(x, width) for x in b.column(b.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps, pa.int64())], [*keep, fp_col])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), text_col).mapInArrow(run, f"doc_id {kind}, fp bigint")
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias(free("text", docs)))
+    return rows.mapInArrow(run, T.StructType([*columns, T.StructField(fp_col, T.LongType())]))
 
 
 def embedding(fp: Column) -> Column:
@@ -117,6 +120,14 @@ def link(fps: DataFrame) -> DataFrame:
     return merged.select("fp", F.coalesce("component", "label").alias("component"))
 
 
+def classes(prints: DataFrame) -> DataFrame:
+    """(fp, component, n, least, component_id) of every distinct fingerprint of prints (doc_id, fp): its rows, their smallest doc_id, and that of its component."""
+    fps = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "fps")
+    linked = saved(fps.join(link(fps), "fp"), "linked")
+    least = linked.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    return linked.join(least, "component")
+
+
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (smallest identifier reachable).
 
@@ -124,18 +135,29 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     and large groups of copies cost one node each. Null identifiers are ignored when a component's smallest is taken; where
     a component has no other, component_id is null. Empty input gives no rows; other columns are ignored.
     """
-    prints = saved(fingerprints(docs, id_col, text_col, width), "prints")
-    fps = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps")
-    linked = saved(fps.join(link(fps), "fp"), "linked")
-    least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = linked.join(least, "component").select("fp", "component_id")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    prints = saved(fingerprints(rows, width=width, keep=["doc_id"]), "prints")
+    named = classes(prints).select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Of each component the document with the smallest identifier, with all its columns."""
-    dropped = simhash_dedup(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti")
+    """Of each component one row, with all its columns: the one with the smallest doc_id.
+
+    Where rows of a component share that doc_id, one of those with the smallest fingerprint stays; where a doc_id is that of texts in different
+    components, each is judged on its own. A row with a null doc_id stays only if its whole component has none. Null texts
+    count as empty. An empty table stays empty.
+    """
+    fp = free("fp", docs)
+    tagged = saved(fingerprints(docs, fp_col=fp), "tagged")
+    found = saved(classes(tagged.select("doc_id", F.col(fp).alias("fp"))), "classes")
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("first"))
+    told = found.filter("n > 1 or members > 1").join(first, "component").select("fp", F.col("first.fp").alias("first"), F.col("first.least").alias("least"))
+    # The pairs of identifier and fingerprint that need a decision; only rows of such fingerprints are looked at.
+    several = tagged.select("doc_id", F.col(fp).alias("fp")).join(told, "fp").groupBy("doc_id", F.col("fp").alias(fp)).agg(
+        F.bool_or(F.expr("fp = first and doc_id <=> least")).alias("stays")
+    )
+    return settled(tagged, ["doc_id", fp], saved(several, "settled")).drop(fp)
 
 
 def op9_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
