@@ -139,26 +139,31 @@ def filter_bytes(filter_rows: DataFrame, bits: int) -> bytes:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of the edges: the smallest node that it can reach.
 
-    Large and small stars in turn: first every node hands the smallest of itself and its neighbours to its greater neighbours, then to itself and
-    its smaller ones. Edges never grow in number beyond nodes and edges, and rounds grow with the logarithm of a component's length. Smallest
-    neighbours are pre-aggregated by map task, and the joins are plain equi-joins that adaptive execution splits when skewed. Every round is a
-    written table.
+    Each round maps every node to the smallest of itself and its neighbours and the edges to the mapped ends; edges
+    within one mapped node vanish. The smallest node of a component maps to itself, so it is the label that remains.
+    A component takes as many rounds as the longest chain of ever smaller neighbours in it: one for a star, few for components of
+    near-duplicates, but up to n for a chain of n in ascending order. Large and small stars in turn were tried instead, which take
+    logarithmically many; their two joins and four aggregations a round cost more here. Every round is cut off by a written table. Hubs are pre-aggregated
+    (minimum by map task), and the joins are plain equi-joins that adaptive execution splits when skewed.
     """
-    now = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b").distinct()
-    now = saved(now, "edges")
-    while _tangled(now):
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        large = saved(both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct(), "edges")
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b").unionByName(low.select("a", F.col("low").alias("b")))
-        now = saved(small.distinct(), "edges")
-    roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
-
-
-def _tangled(edges: DataFrame) -> bool:
-    """Whether edges (a, b), each from the greater to the smaller end, are more than stars: an end that is a beginning as well, or has two ends."""
-    twice = edges.groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("other")).filter("b <> other")
-    through = edges.select(F.col("b").alias("a")).distinct().join(edges, "a", "left_semi")
-    return not twice.isEmpty() or not through.isEmpty()
+    named = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b")
+    now = saved(named.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    assigned = None
+    while not now.isEmpty():
+        ends = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        up = ends.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("up"))
+        parent = saved(up, "parents")
+        if assigned is None:
+            assigned = parent.select("node", F.col("up").alias("component"))
+        else:
+            hop = parent.select(F.col("node").alias("component"), "up")
+            assigned = saved(
+                assigned.join(hop, "component", "left").select("node", F.coalesce("up", "component").alias("component")),
+                "assigned",
+            )
+        left = now.join(parent.select(F.col("node").alias("a"), F.col("up").alias("ua")), "a")
+        both = left.join(parent.select(F.col("node").alias("b"), F.col("up").alias("ub")), "b").filter("ua <> ub")
+        now = saved(both.select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct(), "edges")
+    if assigned is None:
+        return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return assigned
