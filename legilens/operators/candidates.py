@@ -179,8 +179,9 @@ def _runs(parts: list[str], begins: list[int], lengths: list[int], q: int) -> It
 # Other beginnings
 
 
-KEYWORD_PATTERN = "(?i:" + "|".join(map(re.escape, known.KEYWORDS)) + ")"
-KEYWORD = re.compile(KEYWORD_PATTERN)
+#: Of lower-case texts. Lower case of a few letters is longer; such texts are searched without it.
+KEYWORD_PATTERN = "|".join(map(re.escape, known.KEYWORDS))
+KEYWORD, ANY_CASE = re.compile(KEYWORD_PATTERN), re.compile(KEYWORD_PATTERN, re.I)
 
 
 def _header(text: str) -> str:
@@ -204,8 +205,8 @@ def headers(text: str) -> Iterator[Candidate]:
 
 def lines(text: str) -> Iterator[Candidate]:
     """Lines with a keyword."""
-    end = -1
-    for m in KEYWORD.finditer(text):
+    end, low = -1, text.lower()
+    for m in KEYWORD.finditer(low) if len(low) == len(text) else ANY_CASE.finditer(text):
         if m.start() > end:
             start, end = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
             end = len(text) if end < 0 else end
@@ -233,7 +234,8 @@ def explode(rows: DataFrame, kind: str = "likely") -> DataFrame:
     made = KINDS[kind]
     texts = rows.select("id", "text").filter("text is not null")
     if kind == "likely":
-        texts = texts.filter(" or ".join(f"text rlike {Spark.lit(p)}" for p in (HEADER_PATTERN, KEYWORD_PATTERN, START_PATTERN)))
+        tests = (("lower(text)", KEYWORD_PATTERN), ("text", HEADER_PATTERN), ("text", START_PATTERN))
+        texts = texts.filter(" or ".join(f"{text} rlike {Spark.lit(p)}" for text, p in tests))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int32()] * 7 + [pa.string()]

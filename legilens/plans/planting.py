@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from legilens.functions import dictionaries as known
 from legilens.functions.dialect import Dialect, Duck, Spark
+from legilens.sources.events import spread
 
 #: Row numbers of `conversations` as identifiers: a conversation has fewer turns than this.
 TURNS = 100
@@ -44,7 +45,7 @@ def planted(text: str, ident: str, d: Dialect) -> str:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text) of all documents, planted."""
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return rows.select("doc_id", F.expr(planted("text", "doc_id", Spark)).alias("text"))
 
 
@@ -85,7 +86,7 @@ TOKENS_SQL = (
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id, html) of all pages, planted."""
-    rows = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    rows = spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return rows.select("page_id", F.expr(planted("html", "page_id", Spark)).alias("html"))
 
 

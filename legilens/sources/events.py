@@ -52,6 +52,12 @@ def totals_of(events: DataFrame) -> DataFrame:
     return events.groupBy("recording_id").agg(pick("meta", "duration_ms"), pick("meta", "total_frames"), pick("done", "frames_ocred"), pick("error", "error"))
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table as it is read, dealt over the cores where it has fewer partitions than those (a few files of one row group); larger ones stay as they are."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def blocks_of(text: DataFrame) -> DataFrame:
     """(id, label, text) of the blocks of (id, text) between lines of ---; the label is a block's first line."""
     parts = text.select("id", F.posexplode(F.split("text", "\n---\n")).alias("block", "text"))
