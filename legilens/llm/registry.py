@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from legilens.llm import exact_dedup, mixing, pii, quality, sentencepiece, simhash, substring_dedup, suffix_dedup, topk, toxicity
+from legilens.llm import (
+    exact_dedup, fill_in_middle, minhash, mixing, pii, quality, sentencepiece, simhash, substring_dedup, suffix_dedup, topk, toxicity, vector_codes,
+)
 
 QUERIES = {
     "op1_quality_co_training": quality.op1_quality_co_training,
@@ -15,10 +17,16 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_exact_top_k": topk.op10_exact_top_k,
+    "op11_minhash_near_dedup": minhash.op11_minhash_near_dedup,
+    "op12_fill_in_middle": fill_in_middle.op12_fill_in_middle,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 
 SQL = {
     "op2_mix_sources": mixing.SQL,
     "op3_exact_dedup": exact_dedup.SQL,
     "op10_exact_top_k": topk.SQL,
+    "op11_minhash_near_dedup": minhash.SQL,
+    "op12_fill_in_middle": fill_in_middle.SQL,
+    "op13_vector_codes": vector_codes.SQL,
 }
