@@ -97,7 +97,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
         found: list[tuple[int, int, int]] = []
         if left.num_rows and right.num_rows:
             (q, qid), (c, cid) = packed(left), packed(right)
-            dims = max(len(q), len(c))
+            dims = max(1, len(q), len(c))  # a block may hold empty vectors only
             q, c = (np.vstack((m, np.zeros((dims - len(m), m.shape[1])))) for m in (q, c))
             found = best_of_block(q, qid, c, cid, k)
         columns = list(zip(*found, strict=True)) or [(), (), ()]
