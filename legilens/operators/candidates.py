@@ -1,8 +1,7 @@
 """Candidates for secrets: tokens, what follows = or : in them, and runs of fragments that were torn apart by single spaces.
 
-Places are code points of the text. Spark has no function that gives the places of matches, so regular expressions find them in one pass over each
-Arrow batch. Detection doesn't look at every candidate: a necessary condition on how one begins (START) drops whole texts in the JVM first, and
-only candidates at such places are made.
+Places are code points of the text, found in one pass over each Arrow batch. Detection doesn't look at every candidate: an automaton made of a table of patterns
+(see patterns) says where one may begin that some detector accepts, and only candidates at such places are made.
 """
 
 from __future__ import annotations
@@ -18,13 +17,12 @@ from pyspark.sql import functions as F
 
 from legilens.functions import dictionaries as known
 from legilens.functions import scalars as f
-from legilens.functions.dialect import Spark
+from legilens.operators.patterns import INSIDE, Patterns, Search, search_for
 
 #: Least length of a suffix, and the most fragments of a run.
 SUFFIX, SPAN = 12, 6
 #: No pattern, connection string or web token accepts fewer characters.
 SHORTEST = 12
-INSIDE = "[A-Za-z0-9_.:/+=@-]"
 TOKEN = re.compile(f"[^{known.WHITE}{re.escape(known.BETWEEN)}]+")
 GAP = re.compile(f"[{known.WHITE}{re.escape(known.BETWEEN)}]")
 #: Two or more fragments with exactly one space between neighbours, as many as there are.
@@ -34,6 +32,8 @@ ENDS = ".:,-"
 #: Level (0 token, 1 run), start and end of what it was taken from, offset in it: the order in which candidates are tried.
 Order = tuple[int, int, int, int]
 Candidate = tuple[Order, int, int, str]
+#: The detector that looks at it first, the number of the keyword before it, and the candidate.
+Item = tuple[int, int | None, Candidate]
 
 
 def tokens(text: str) -> Iterator[Candidate]:
@@ -76,68 +76,15 @@ def every(text: str) -> Iterator[Candidate]:
             yield from suffixes(c)
 
 
-# How a candidate must begin
+# Candidates that some detector may accept
 
 
-def _members(c: str) -> str:
-    """Pattern of what one character in confusion space may be in a text."""
-    singles = known.CONFUSED.get(c) or "".join(x for x in {c, c.upper()} if x.translate(str.maketrans(*f.classes())) == c)
-    pairs = [pair for pair, one in known.MERGED if one == c]
-    one = "[" + "".join("\\" + x if not x.isalnum() else x for x in sorted(singles)) + "]"
-    return "(?:" + "|".join([one, *pairs]) + ")" if pairs else one
-
-
-def _spaced(parts: list[str]) -> str:
-    """The parts with or without one space between them: a run is compared without its spaces."""
-    return " ?".join(parts)
-
-
-#: Characters of a body's set that follow each other at least, where the body's length is fixed and 85 % of it belong to the set: a little
-#: less than the longest stretch that 15 % of others can't avoid.
-STRETCH = {"upper_alnum": 4, "hex": 5}
-
-
-def _beginnings(p: known.Pattern) -> Iterator[tuple[str, str]]:
-    """For each prefix the class of its first character, and a necessary condition: of a prefix cut into one part more than it may have errors, one
-    part is there unharmed, near its place."""
-    last = ""
-    if p.body_min == p.body_max and p.charset in STRETCH:
-        last = f"(?=(?:. ?){{1,{p.body_max + p.tolerance}}}?(?:[{known.CHARSETS[p.charset]}] ?){{{STRETCH[p.charset]}}})"
-    for prefix in p.prefixes:
-        folded = f.confusable_python(prefix)
-        n = p.tolerance + 1
-        cuts = [len(folded) * k // n for k in range(n + 1)]
-        tries = []
-        for low, high in zip(cuts, cuts[1:]):
-            ahead = f"(?:. ?){{{max(0, low - p.tolerance)},{len(prefix) + p.tolerance - (high - low)}}}?" if p.tolerance else ""
-            tries.append(ahead + _spaced([_members(c) for c in folded[low:high]]))
-        yield _members(f.confusable_python(prefix[0])), f"(?={'|'.join(tries)}){last}"
-
-
-def _start() -> str:
-    schemes = "|".join(_spaced([re.escape(c) for c in s]) for s in known.SCHEMES)
-    by_first: dict[str, list[str]] = {}
-    for p in known.PATTERNS:
-        for first, condition in _beginnings(p):
-            by_first.setdefault(first, []).append(condition)
-    ways = ["e ?y ?J", f"(?i:{schemes})", *(f"(?={first})(?:{'|'.join(dict.fromkeys(c))})" for first, c in by_first.items())]
-    return f"(?:(?<=[=:])|(?<!{INSIDE}))(?=" + "|".join(ways) + ")"
-
-
-#: Where a candidate may begin that some detector accepts. The same text is a pattern for the JVM.
-START_PATTERN = _start()
-START = re.compile(START_PATTERN)
-#: Beyond the two characters that the shortest prefix takes such a candidate has a digit, a special sign or a second capital: otherwise it reads
-#: as a word, and a word's randomness is below every pattern's least.
-NO_WORD = re.compile(r"eyJ|..(?=.*[0-9_+/=.-]|.*[A-Z].*[A-Z])", re.S)
-
-
-def likely(text: str) -> Iterator[Candidate]:
-    """Those of every() that some detector may accept."""
-    at = [m.start() for m in START.finditer(text)]
+def likely(text: str, search: Search, at: list[int] | None = None) -> Iterator[Candidate]:
+    """Those of every() that some detector may accept; at has the places where they may begin, if they are known."""
+    at = search.places(text)[0] if at is None else at
     if at:
         for c in _made(text, at):
-            if len(c[3]) >= SHORTEST and NO_WORD.match(c[3]):
+            if len(c[3]) >= SHORTEST and search.no_word.match(c[3]):
                 yield c
 
 
@@ -179,78 +126,85 @@ def _runs(parts: list[str], begins: list[int], lengths: list[int], q: int) -> It
 # Other beginnings
 
 
-#: Of lower-case texts. Lower case of a few letters is longer; such texts are searched without it.
-KEYWORD_PATTERN = "|".join(map(re.escape, known.KEYWORDS))
-KEYWORD, ANY_CASE = re.compile(KEYWORD_PATTERN), re.compile(KEYWORD_PATTERN, re.I)
-
-
 def _header(text: str) -> str:
     """Pattern of a header in confusion space, which keeps lengths."""
     table = str.maketrans(*f.classes())
     return "".join("[" + "".join("\\" + x if not x.isalnum() else x for x in sorted(known.CONFUSED.get(c.translate(table)) or {c.lower(), c.upper()})) + "]" for c in text)
 
 
-HEADER_PATTERN = _header("-----BEGIN ")
-HEADER = re.compile(f"(?={HEADER_PATTERN})")
 HEADERS = [re.compile(_header(h)) for h in known.PEM_HEADERS]
 
 
-def headers(text: str) -> Iterator[Candidate]:
-    """Headers of private keys; overlapping ones count."""
-    for m in HEADER.finditer(text):
+def headers(text: str, at: list[int]) -> Iterator[Candidate]:
+    """Headers of private keys at the given places; overlapping ones count."""
+    for q in at:
         for k, h in enumerate(HEADERS):
-            if found := h.match(text, m.start()):
-                yield (k, m.start(), found.end(), 0), m.start(), found.end(), found.group()
+            if found := h.match(text, q):
+                yield (k, q, found.end(), 0), q, found.end(), found.group()
 
 
-def lines(text: str) -> Iterator[Candidate]:
-    """Lines with a keyword."""
-    end, low = -1, text.lower()
-    for m in KEYWORD.finditer(low) if len(low) == len(text) else ANY_CASE.finditer(text):
-        if m.start() > end:
-            start, end = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
-            end = len(text) if end < 0 else end
-            yield (0, start, end, 0), start, end, text[start:end]
+def assignments(text: str, words: list[tuple[int, int]]) -> Iterator[tuple[int, Candidate]]:
+    """Of the keywords (place, number) the first of each number in each line: the number, and what follows it there. The order is that of the line."""
+    start, end, met = 0, -1, set()
+    for q, number in sorted(words):
+        if q > end:
+            start, end = text.rfind("\n", 0, q) + 1, text.find("\n", q)
+            end, met = len(text) if end < 0 else end, set()
+        if number not in met:
+            met.add(number)
+            after = q + len(known.KEYWORDS[number])
+            yield number, ((0, start, end, 0), after, end, text[after:end])
+
+
+def detectable(text: str, search: Search) -> Iterator[Item]:
+    """What some detector may accept, by the detector that looks at it first: 0 header of a private key, 1 candidate, 3 what follows a keyword."""
+    at, heads, words = search.places(text)
+    yield from ((0, None, c) for c in headers(text, heads))
+    yield from ((1, None, c) for c in likely(text, search, at))
+    yield from ((3, number, c) for number, c in assignments(text, words))
+
+
+def reported(text: str, search: Search) -> Iterator[Item]:
+    """The same with every candidate that is long enough."""
+    _, heads, words = search.places(text)
+    yield from ((0, None, c) for c in headers(text, heads))
+    yield from ((1, None, c) for c in every(text) if len(c[3]) >= SHORTEST)
+    yield from ((3, number, c) for number, c in assignments(text, words))
 
 
 KINDS = {
-    "tokens": lambda text: ((0, c) for c in tokens(text)),
-    "suffixes": lambda text: ((0, s) for c in tokens(text) for s in suffixes(c)),
-    "glued": lambda text: ((0, c) for c in glued(text)),
-    "all": lambda text: ((0, c) for c in every(text)),
-    # Kind of each item as the detector that looks at it first: 0 header of a private key, 1 candidate, 3 line with a keyword.
-    "likely": lambda text: ((kind, c) for kind, made in ((0, headers(text)), (1, likely(text)), (3, lines(text))) for c in made),
+    "tokens": lambda text, search: ((0, None, c) for c in tokens(text)),
+    "suffixes": lambda text, search: ((0, None, s) for c in tokens(text) for s in suffixes(c)),
+    "glued": lambda text, search: ((0, None, c) for c in glued(text)),
+    "all": lambda text, search: ((0, None, c) for c in every(text)),
+    "detectable": detectable,
+    "reported": reported,
 }
-ITEM = "kind int, level int, low int, high int, offset int, start int, end int, token string"
+ITEM = "kind int, word int, level int, low int, high int, offset int, start int, end int, token string"
 #: Items and characters of a batch that is handed on.
 BATCH, CHARACTERS = 50_000, 1 << 24
 
 
-def explode(rows: DataFrame, kind: str = "likely") -> DataFrame:
-    """(id, seq, kind, start, end, token) of the candidates of each (id, text); seq is their order. Null texts have none.
-
-    Texts in which nothing of kind likely can begin are dropped in the JVM.
-    """
+def explode(rows: DataFrame, kind: str = "detectable", patterns: Patterns = known.PATTERNS) -> DataFrame:
+    """(id, seq, kind, word, start, end, token) of the candidates of each (id, text); seq is their order, word the number of the keyword before them. Null texts have none."""
     made = KINDS[kind]
     texts = rows.select("id", "text").filter("text is not null")
-    if kind == "likely":
-        tests = (("lower(text)", KEYWORD_PATTERN), ("text", HEADER_PATTERN), ("text", START_PATTERN))
-        texts = texts.filter(" or ".join(f"{text} rlike {Spark.lit(p)}" for text, p in tests))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int32()] * 7 + [pa.string()]
+        kinds = [pa.int32()] * 8 + [pa.string()]
         names = ["id", *(part.split(" ")[0] for part in ITEM.split(", "))]
+        search = search_for(patterns)
 
         def batch(owners: pa.Array, ids: list[int], found: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*found, strict=True)) or [()] * 8
+            columns = list(zip(*found, strict=True)) or [()] * 9
             return pa.RecordBatch.from_arrays([owners.take(pa.array(ids, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
 
         for b in batches:
             ids, found, held = [], [], 0
             for i, text in enumerate(b.column(1).to_pylist()):
-                for k, (order, start, end, token) in made(text):
+                for k, word, (order, start, end, token) in made(text, search):
                     ids.append(i)
-                    found.append((k, *order, start, end, token))
+                    found.append((k, word, *order, start, end, token))
                     held += len(token)
                     if len(found) >= BATCH or held > CHARACTERS:
                         yield batch(b.column(0), ids, found)
@@ -258,4 +212,4 @@ def explode(rows: DataFrame, kind: str = "likely") -> DataFrame:
             yield batch(b.column(0), ids, found)
 
     items = texts.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, {ITEM}")
-    return items.select("id", F.struct("level", "low", "high", "offset").alias("seq"), "kind", "start", "end", "token")
+    return items.select("id", F.struct("level", "low", "high", "offset").alias("seq"), "kind", "word", "start", "end", "token")

@@ -6,13 +6,15 @@ character, which turns the comparison with every prefix into an equi-join. Cheap
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from legilens.functions import dictionaries as known
 from legilens.functions import scalars as f
 from legilens.functions.dialect import Spark
-from legilens.operators import candidates
+from legilens.operators import candidates, patterns
+from legilens.operators.patterns import Patterns
+from legilens.sources.scratch import stored
 
 FINDING = ("pattern_id", "label", "provider", "severity", "severity_rank", "start", "end", "preview", "confidence", "token_len")
 
@@ -22,21 +24,6 @@ def normalised(rows: DataFrame) -> DataFrame:
     return rows.select("id", F.expr(f.normalize_unicode("text", Spark)).alias("text"))
 
 
-def pattern_dimension(spark: SparkSession) -> DataFrame:
-    """One row for each prefix of each pattern, in the order in which they are tried."""
-    rows = [
-        (k, j, p.id, p.label, p.provider, p.severity, known.SEVERITIES.index(p.severity), prefix, f.confusable_python(prefix), f.confusable_python(prefix[0]),
-         len(prefix), p.tolerance, p.body_min, p.body_max, known.CHARSETS[p.charset], p.min_randomness, max(map(len, p.prefixes)))
-        for k, p in enumerate(known.PATTERNS)
-        for j, prefix in enumerate(p.prefixes)
-    ]
-    schema = (
-        "pattern_ord int, prefix_ord int, pattern_id string, label string, provider string, severity string, severity_rank int, prefix string, folded string,"
-        " anchor string, prefix_len int, tolerance int, body_min int, body_max int, charset string, min_randomness double, longest int"
-    )
-    return spark.createDataFrame(rows, schema)
-
-
 def rejected_reason() -> Column:
     return F.expr(f.structural_rejection("token", Spark))
 
@@ -59,9 +46,9 @@ FOLD = (
 )
 
 
-def tried(rows: DataFrame, spare: str | None = None) -> DataFrame:
+def tried(rows: DataFrame, spare: str | None = None, among: Patterns = known.PATTERNS) -> DataFrame:
     """rows (with token) beside each prefix that accepts them, with confidence. Rows for which spare holds stay without a prefix as well."""
-    dim = F.broadcast(pattern_dimension(rows.sparkSession))  # a row for each known prefix
+    dim = F.broadcast(patterns.dimension(rows.sparkSession, among))  # a row for each prefix, at most patterns.MOST
     out = rows.withColumn("anchor", F.expr(f.confusion_class("substring(token, 1, 1)", Spark))).join(dim, "anchor", "left" if spare else "inner")
     for name, value, goes_on in STEPS:
         out = out.withColumn(name, F.expr(value))
@@ -70,11 +57,11 @@ def tried(rows: DataFrame, spare: str | None = None) -> DataFrame:
     return out.withColumn("confidence", F.expr(f"if(random >= min_randomness, {CONFIDENCE}, null)"))
 
 
-def matched(cands: DataFrame) -> DataFrame:
+def matched(cands: DataFrame, among: Patterns = known.PATTERNS) -> DataFrame:
     """(id, seq, pattern_ord, m) of each candidate's best prefix for each pattern that accepts it."""
     kept = ["token", "pattern_id", "label", "provider", "severity", "severity_rank", "start", "end", F.col("best.n").alias("consumed"), "confidence", "longest"]
     best = F.max_by(F.struct(*kept), F.struct("confidence", -F.col("prefix_ord"))).alias("m")
-    return tried(cands).groupBy("id", "seq", "pattern_ord").agg(best)
+    return tried(cands, among=among).groupBy("id", "seq", "pattern_ord").agg(best)
 
 
 def best_pattern(matches: DataFrame) -> DataFrame:
@@ -123,72 +110,83 @@ def web_token() -> tuple[str, str]:
     )
 
 
-def keywords_of(items: DataFrame) -> DataFrame:
-    """items with hit (i, kw, at): a row for each keyword of a line, in the order of the list; others stay as they are, with null."""
-    kws = "array(" + ", ".join(f"'{k}'" for k in known.KEYWORDS) + ")"
-    hits = f"filter(transform({kws}, (k, i) -> named_struct('i', i, 'kw', k, 'at', locate(k, {f.lower('token', Spark)}))), x -> x.at > 0)"
-    return items.withColumn("hit", F.explode_outer(F.expr(f"if(kind = 3, {hits}, null)")))
+#: The keyword with the number word.
+KEYWORD = "get(array(" + ", ".join(f"'{k}'" for k in known.KEYWORDS) + "), word)"
 
 
-def with_values(hits: DataFrame) -> DataFrame:
-    """hits with value, what the keyword is assigned where that is credible (else null), and its place in the text, value_start."""
+def with_values(items: DataFrame) -> DataFrame:
+    """items with value, what the keyword before the token is assigned where that is credible (else null), and its place in the text, value_start."""
+    spaced = ", ".join(str(known.KEYWORDS.index(k)) for k in known.SPACED)
     white = Spark.lit(f"^[{known.WHITE}]+")
     bare = "regexp_replace(quoted, " + Spark.lit("^[\"'`]+|[\"'`]+$") + ", '')"
     word = f"regexp_extract({bare}, {Spark.lit(f'[^{known.WHITE}]+')}, 0)"
     steps = {
-        "after": "substring(token, hit.at + length(hit.kw))",
-        "trimmed": f"regexp_replace(after, {white}, '')",
-        "spaced": "hit.kw in (" + ", ".join(f"'{k}'" for k in known.SPACED) + ") and length(after) > length(trimmed)",
+        "trimmed": f"if(kind = 3, regexp_replace(token, {white}, ''), null)",
+        "spaced": f"word in ({spaced}) and length(token) > length(trimmed)",
         "rest": "if(trimmed <> '' and (substring(trimmed, 1, 1) in ('=', ':') or spaced), if(spaced, trimmed, substring(trimmed, 2)), null)",
         "quoted": f"regexp_replace(rest, {white}, '')",
         "value": f"regexp_replace({word}, {Spark.lit('[;,.)' + chr(34) + chr(39) + '`]+$')}, '')",
     }
     for name, value in steps.items():
-        hits = hits.withColumn(name, F.expr(value))
+        items = items.withColumn(name, F.expr(value))
     credible = (
         f"length(value) >= 8 and ({f.structural_rejection('value', Spark)}) is null and not {f.is_code_reference('value', Spark)}"
         f" and {f.secret_charset_ratio('value', Spark)} >= 0.85 and not {f.is_wordlike('value', Spark)} and {f.randomness('value', Spark)} >= 0.5"
     )
-    hits = hits.withColumn("value", F.expr(f"if({credible}, value, null)"))
-    return hits.withColumn("value_start", F.expr("start + length(token) - length(quoted)")).drop(*[s for s in steps if s != "value"])
+    items = items.withColumn("value", F.expr(f"if({credible}, value, null)"))
+    return items.withColumn("value_start", F.expr("start + length(token) - length(quoted)")).drop(*[s for s in steps if s != "value"])
 
 
 def assigned() -> str:
     """SQL: the finding of a value assigned to a keyword."""
     return shape(
-        pattern_id="'assignment'", label="concat('Assigned secret (', hit.kw, ')')", provider="'Generic'", severity="'high'", start="value_start", end="value_start + length(value)",
+        pattern_id="'assignment'", label=f"concat('Assigned secret (', {KEYWORD}, ')')", provider="'Generic'", severity="'high'", start="value_start", end="value_start + length(value)",
         preview=f.mask("value", "2", Spark), confidence=f"least(1D, 0.55D + 0.45D * {f.randomness('value', Spark)})", token_len="length(value)",
     )
 
 
-def all_findings(rows: DataFrame) -> DataFrame:
-    """(id, detector, seq, columns of FINDING): findings of all detectors over (id, text), overlaps included.
-
-    One pass: texts are read and folded once, their items are looked at by every detector that they are for, and only what some detector accepts
-    is shuffled, once, by text. Of a line the first keyword with a credible value counts; of a candidate its best pattern.
-    """
-    is_db, db = db_uri()
-    is_web, web = web_token()
-    items = with_values(keywords_of(candidates.explode(normalised(rows))))
-    told = items.withColumns({"is_db": F.expr(f"kind = 1 and {is_db}"), "is_web": F.expr(f"kind = 1 and {is_web}")})
-    told = told.withColumn("other", F.expr("kind = 0 or is_db or is_web or value is not null")).filter(f"other or (kind = 1 and length(token) >= {candidates.SHORTEST})")
-    found = tried(told, "other")
-    sound = f"kind = 1 and confidence is not null and length(token) >= {candidates.SHORTEST} and ({f.structural_rejection('token', Spark)}) is null"
-    found = found.withColumn("sound", F.expr(f"coalesce({sound}, false)")).filter("other or sound")
+def looked_at(rows: DataFrame, kind: str, among: Patterns) -> DataFrame:
+    """The items of (id, text) with what each detector says of them: is_db, is_web, value, other (any of these, or a header), and each prefix that is tried on
+    a candidate with sound, whether it accepts it. With kind reported every candidate stays, else those that a detector accepts."""
+    is_db, is_web = db_uri()[0], web_token()[0]
+    items = with_values(candidates.explode(normalised(rows), kind, among))
+    told = items.withColumns({"is_db": F.expr(f"kind = 1 and {is_db}"), "is_web": F.expr(f"kind = 1 and {is_web}")}).withColumn("other", F.expr("kind = 0 or is_db or is_web or value is not null"))
+    long = f"kind = 1 and length(token) >= {candidates.SHORTEST}"
+    if kind == "reported":
+        told = told.withColumn("reason", F.when(F.expr(long), rejected_reason()))
+        found = tried(told.filter(f"other or {long}"), "true", among).withColumn("why", F.col("reason"))
+    else:
+        found = tried(told.filter(f"other or {long}"), "other", among).withColumn("why", rejected_reason())
+    found = found.withColumn("sound", F.expr(f"coalesce({long} and confidence is not null and why is null, false)"))
+    return found if kind == "reported" else found.filter("other or sound")
+
+
+def by_item(found: DataFrame, *more: Column) -> DataFrame:
+    """(id, kind, seq, a, five): the findings of each item, one place of the list for each detector; of a candidate its best pattern. The only shuffle, by text."""
     key = shape(
         pattern_id="pattern_id", label="label", provider="provider", severity="severity", severity_rank="severity_rank", start="start", end="end", preview=f.mask("token", "best.n", Spark),
         confidence="confidence", token_len="length(token)",
     )
     listed = found.repartition("id").groupBy("id", "kind", "seq").agg(
         F.first(F.expr(f"if(kind = 0, {private_key()}, null)")).alias("pem"),
-        F.first(F.expr(f"if(is_db, {db}, null)")).alias("db"),
-        F.first(F.expr(f"if(is_web, {web}, null)")).alias("web"),
-        F.min(F.expr(f"if(value is null, null, struct(hit.i as i, {assigned()} as f))")).alias("line"),
+        F.first(F.expr(f"if(is_db, {db_uri()[1]}, null)")).alias("db"),
+        F.first(F.expr(f"if(is_web, {web_token()[1]}, null)")).alias("web"),
+        F.min(F.expr(f"if(value is null, null, struct(word as i, {assigned()} as f))")).alias("line"),
         F.array_sort(F.collect_list(F.expr(f"if(sound, struct(pattern_ord, -confidence as c, prefix_ord, struct(confidence, longest, {key} as f) as m), null)"))).alias("a"),
+        *more,
     )
     listed = listed.withColumn("a", F.expr("filter(a, (x, i) -> i = 0 or get(a, i - 1).pattern_ord <> x.pattern_ord)"))  # each pattern's best prefix
     five = ", ".join(f"struct({k} as detector, {value} as f)" for k, value in enumerate(("pem", "db", "web", "line.f", f"({FOLD.format(a='a')}).f")))
-    each = listed.select("id", "seq", F.explode(F.expr(f"filter(array({five}), x -> x.f is not null)")).alias("x"))
+    return listed.withColumn("five", F.expr(f"filter(array({five}), x -> x.f is not null)"))
+
+
+def all_findings(rows: DataFrame, table: DataFrame | None = None) -> DataFrame:
+    """(id, detector, seq, columns of FINDING): findings of all detectors over (id, text), overlaps included. table has the patterns to look for, the built-in ones if not given.
+
+    One pass: texts are read and folded once, their items are looked at by every detector that they are for, and only what some detector accepts
+    is shuffled, once, by text. Of a line the first keyword with a credible value counts; of a candidate its best pattern.
+    """
+    each = by_item(looked_at(rows, "detectable", patterns.compiled(table))).select("id", "seq", F.explode("five").alias("x"))
     return each.select("id", "x.detector", "seq", *[f"x.f.{c}" for c in FINDING])
 
 
@@ -210,17 +208,36 @@ def without_overlaps(findings: DataFrame) -> DataFrame:
     return listed.select("id", F.explode(F.expr(kept)).alias("f")).select("id", "f.*")
 
 
-def detect_in_text(rows: DataFrame) -> DataFrame:
-    """Masked findings of each (id, text): id and the columns of FINDING, one row for each finding. Texts without any give no row."""
-    return without_overlaps(all_findings(rows))
+def detect_in_text(rows: DataFrame, table: DataFrame | None = None) -> DataFrame:
+    """Masked findings of each (id, text): id and the columns of FINDING, one row for each finding. Texts without any give no row.
+
+    table has the patterns of provider keys in the columns of patterns.SCHEMA: the built-in ones if not given, or a caller's, or both (patterns.default_table).
+    """
+    return without_overlaps(all_findings(rows, table))
+
+
+def detect_with_report(rows: DataFrame, table: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both results of one pass: the findings of detect_in_text, and (id, token, reason) as rejection_report has them.
+
+    Every candidate is made and tried once; what comes of each item is one tagged row, written once in the shared folder, partitioned by its tag. The rejected part is
+    diagnostic and carries raw tokens.
+    """
+    hit = F.bool_or("sound").alias("hit")
+    told = by_item(looked_at(rows, "reported", patterns.compiled(table)), hit, F.first("token").alias("token"), F.first("reason").alias("reason"))
+    finding = "transform(five, x -> named_struct('tag', 'finding', 'detector', x.detector, 'f', x.f, 'token', cast(null as string), 'reason', cast(null as string)))"
+    rejected = "if(kind = 1 and not hit, array(named_struct('tag', 'rejected', 'detector', 4, 'f', null, 'token', token, 'reason', coalesce(reason, 'low-randomness'))), array())"
+    tagged = told.select("id", "seq", F.explode(F.expr(f"concat({finding}, {rejected})")).alias("x"))
+    both = stored(tagged.select("id", "seq", "x.tag", "x.detector", *[f"x.f.{c}" for c in FINDING], "x.token", "x.reason"), "report", "tag")
+    return without_overlaps(both.filter("tag = 'finding'").drop("tag", "token", "reason")), both.filter("tag = 'rejected'").select("id", "token", "reason")
 
 
-def rejection_report(rows: DataFrame) -> DataFrame:
+def rejection_report(rows: DataFrame, table: DataFrame | None = None) -> DataFrame:
     """(id, token, reason) of every candidate of 12 characters that is no provider key. Diagnostic: it carries raw tokens.
 
     Every candidate is made once. A candidate without a reason is low in randomness unless some prefix accepts it, which is tried beside it.
     """
-    cands = candidates.explode(normalised(rows), "all").filter(f"length(token) >= {candidates.SHORTEST}").withColumn("reason", rejected_reason())
-    told = tried(cands, "true").withColumn("hit", F.expr("reason is null and confidence is not null"))
+    among = patterns.compiled(table)
+    cands = candidates.explode(normalised(rows), "all", among).filter(f"length(token) >= {candidates.SHORTEST}").withColumn("reason", rejected_reason())
+    told = tried(cands, "true", among).withColumn("hit", F.expr("reason is null and confidence is not null"))
     each = told.groupBy("id", "seq").agg(F.bool_or(F.coalesce("hit", F.lit(False))).alias("hit"), F.first("token").alias("token"), F.first("reason").alias("reason"))
     return each.filter("not hit").select("id", "token", F.coalesce("reason", F.lit("low-randomness")).alias("reason"))

@@ -74,6 +74,25 @@ def sampling_schedule(recordings: DataFrame, fps: float = 1.0) -> DataFrame:
     return recordings.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), n - 1))).withColumn("at_s", F.col("i") * interval)
 
 
+def sampled_frames(recordings: DataFrame, frames: DataFrame, fps: float = 1.0) -> DataFrame:
+    """(recording_id, i, wanted_ms, timestamp_ms, frame): for each sample of a recording the frame nearest to it, at the frame's own time.
+
+    recordings has recording_id and duration_s, frames has recording_id, timestamp_ms and frame, its identifier. A frame is at most half an interval away from its
+    sample; of frames equally near the earlier counts, then the smaller identifier. A sample without a frame so near leaves a gap in i.
+
+    Frames and samples meet by number of interval: a frame lies within half an interval of the sample before it or of the one after it, so it gives two rows at most, and each sample
+    takes the least of its own, combined by map task before they meet. Nothing is ordered within a recording.
+    """
+    interval = 1000.0 / fps
+    last = F.greatest(F.lit(1), F.floor(F.col("duration_s") * fps)).cast("long") - 1
+    x = F.col("timestamp_ms") / F.lit(interval)
+    near = frames.select("recording_id", "timestamp_ms", "frame", F.explode(F.array_distinct(F.array(F.floor(x), F.ceil(x)))).alias("i"))
+    near = near.withColumn("wanted_ms", F.col("i") * F.lit(interval)).withColumn("away", F.abs(F.col("timestamp_ms") - F.col("wanted_ms"))).filter((F.col("away") <= interval / 2) & (F.col("i") >= 0))
+    best = near.groupBy("recording_id", "i", "wanted_ms").agg(F.min(F.struct("away", "timestamp_ms", "frame")).alias("best"))
+    inside = best.join(recordings.select("recording_id", last.alias("last")), "recording_id").filter("i <= last")
+    return inside.select("recording_id", "i", "wanted_ms", "best.timestamp_ms", "best.frame")
+
+
 def decoded_text(frames: DataFrame) -> DataFrame:
     """frames with text null where the frame was skipped."""
     return frames.withColumn("text", F.when(~F.coalesce("skipped", F.lit(False)), F.col("text")))

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from legilens.functions import dictionaries as known
 from legilens.functions import scalars as f
 from legilens.functions.dialect import Duck, Spark
-from legilens.operators import candidates, detectors, frames, incidents, parity
+from legilens.operators import candidates, detectors, frames, incidents, parity, patterns, udtf
 from legilens.plans import finding_sql, planting
 from legilens.sources import events
+from legilens.sources.scratch import scratch, stored
 from legilens.streaming import scan as streams
+from legilens.streaming import session
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -84,6 +86,14 @@ def all_candidates(spark, sf_dir):
     return _sizes(candidates.explode(detectors.normalised(_documents(spark, sf_dir)), "all"))
 
 
+@query("find_candidates", _ALL + "select doc_id, seq[1]::integer as level, seq[2]::integer as low, seq[3]::integer as high, seq[4]::integer as \"offset\", start::integer as start, \"end\"::integer as \"end\", md5(token) as token_key from tc")
+def find_candidates(spark, sf_dir):
+    """The same candidates row by row, from the table function in SQL."""
+    udtf.register(spark)
+    _documents(spark, sf_dir).createOrReplaceTempView("planted_documents")
+    return spark.sql(f"select d.id as doc_id, c.level, c.low, c.high, c.offset, c.start, c.end, md5(c.token) as token_key from planted_documents d, lateral {udtf.NAME}(d.text) c")
+
+
 # Patterns over all distinct tokens
 
 _MATCHED = f"with t as materialized ({planting.TOKENS_SQL}),\n{finding_sql.matched('t', 'token_key')}\n"
@@ -172,7 +182,7 @@ def all_detectors(spark, sf_dir):
     f"with {finding_sql.kept(planting.DOCUMENTS_SQL, 'doc_id')} select pattern_id, n, n_kept from (select pattern_id, count(*) as n from found group by 1) left join (select pattern_id, count(*) as n_kept from kept group by 1) using (pattern_id)",
 )
 def dedupe_overlaps(spark, sf_dir):
-    every = streams.stored(detectors.all_findings(_documents(spark, sf_dir)), "findings")
+    every = stored(detectors.all_findings(_documents(spark, sf_dir)), "findings")
     kept = detectors.without_overlaps(every)
     return every.groupBy("pattern_id").agg(F.count("*").alias("n")).join(kept.groupBy("pattern_id").agg(F.count("*").alias("n_kept")), "pattern_id", "left")
 
@@ -217,6 +227,48 @@ def detect_in_pages(spark, sf_dir):
     return detectors.detect_in_text(rows).withColumn("confidence", F.round("confidence", 6)).withColumnRenamed("id", "page_id")
 
 
+# Patterns of a caller
+
+_OWN = """select (p_partkey % 40)::integer as place, max(p_size) as size from part group by 1"""
+_OWN_PREFIXES = f"""(select {finding_sql.PREFIX_COLUMNS} from (select * from {finding_sql.PREFIXES}) union all
+  select 1000 + place, 0, concat('part_', place), concat('Part ', place), 'Parts', case place % 4 when 0 then 'info' when 1 then 'medium' when 2 then 'high' else 'critical' end, place % 4,
+    prefix, {f.normalize_confusable('prefix', _D)}, {f.confusion_class('substring(prefix, 1, 1)', _D)}, length(prefix), place % 2, 20, 64, '[^A-Za-z0-9]', 0.42::double, length(prefix)
+  from (select place, concat('zq', place, 'x', size, '_') as prefix from ({_OWN}))) p"""
+
+
+def _own_key(d, place: str, size: str) -> str:
+    """A text with one more line, in every third document a key of the caller's own kind; in every sixth its first letter is misread."""
+    key = f"concat(case when doc_id % 6 = 0 then 'Zq' else 'zq' end, {place}, 'x', {size}, '_', translate(md5(cast(doc_id as {d.text})), 'abc', 'XyZ'))"
+    return f"concat(coalesce(text, ''), case when doc_id % 3 = 0 then concat(chr(10), 'part: ', {key}) else '' end)"
+
+
+_OWN_DOCUMENTS = f"select doc_id, {_own_key(_D, 'place', 'size')} as text from ({planting.DOCUMENTS_SQL}) d join ({_OWN}) o on d.doc_id % 40 = o.place"
+
+
+def _extended(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents with keys of kinds that are made of the parts, and the built-in patterns with those kinds behind them."""
+    own = stored(patterns.planted_table(spark.read.parquet(f"{sf_dir}/part.parquet")), "patterns")
+    sizes = own.select("place", F.regexp_extract(F.col("prefixes")[0], "x([0-9]+)_", 1).alias("size"))
+    docs = planting.documents(spark, sf_dir).join(F.broadcast(sizes), F.expr("doc_id % 40 = place"))  # forty rows
+    table = patterns.default_table(spark).unionByName(own.withColumn("place", F.col("place") + 1000))
+    return docs.select(F.col("doc_id").alias("id"), F.expr(_own_key(Spark, "place", "size")).alias("text")), table
+
+
+@query("detect_own_patterns", f"with {finding_sql.kept(_OWN_DOCUMENTS, 'doc_id', _OWN_PREFIXES)} select doc_id, {finding_sql.SHOWN} from kept")
+def detect_own_patterns(spark, sf_dir):
+    return _shown(detectors.detect_in_text(*_extended(spark, sf_dir)))
+
+
+@query(
+    "detect_only_own_patterns",
+    f"""with {finding_sql.kept(_OWN_DOCUMENTS, 'doc_id', f"(select * from {_OWN_PREFIXES} where provider = 'Parts') p")} select doc_id, {finding_sql.SHOWN} from kept where provider = 'Parts'""",
+)
+def detect_only_own_patterns(spark, sf_dir):
+    """The caller's table in place of the built-in one."""
+    docs, table = _extended(spark, sf_dir)
+    return _shown(detectors.detect_in_text(docs, table.filter("provider = 'Parts'")).filter("provider = 'Parts'"))
+
+
 _FRAME_TEXTS = f"select concat(recording_id, '/', frame_index) as id, text from ({planting.EVENTS_SQL}) where text is not null"
 
 
@@ -231,6 +283,23 @@ def rejection_report(spark, sf_dir):
     return detectors.rejection_report(rows).groupBy("reason").agg(F.count("*").alias("n"))
 
 
+@query(
+    "detect_with_report",
+    f"""with {finding_sql.kept(_FRAME_TEXTS, 'id')},
+    w as (select c.doc_id, c.seq, c.token, {f.structural_rejection('token', _D)} as reason from tc c where length(token) >= {candidates.SHORTEST})
+    select 'finding' as tag, doc_id as id, pattern_id as what, start, "end", md5(preview) as token_key from kept
+    union all select 'rejected', w.doc_id, coalesce(reason, 'low-randomness'), null, null, md5(w.token) from w anti join best b on w.doc_id = b.doc_id and w.seq = b.seq""",
+)
+def detect_with_report(spark, sf_dir):
+    """Both results of one pass over the texts of frames, row by row."""
+    rows = planting.frame_events(spark, sf_dir).filter("text is not null").select(F.concat_ws("/", "recording_id", "frame_index").alias("id"), "text")
+    found, rejected = detectors.detect_with_report(rows)
+    place = F.lit(None).cast("int")
+    return found.select(F.lit("finding").alias("tag"), "id", F.col("pattern_id").alias("what"), "start", "end", F.md5("preview").alias("token_key")).unionByName(
+        rejected.select(F.lit("rejected").alias("tag"), "id", F.col("reason").alias("what"), place.alias("start"), place.alias("end"), F.md5("token").alias("token_key"))
+    )
+
+
 _BLOCKS = f"""select concat(recording_id, '/', unnest(range(len(p)))) as id, unnest(p) as text from (
   select recording_id, string_split(string_agg(text, chr(10) || '---' || chr(10) order by frame_index, text), chr(10) || '---' || chr(10)) as p from ({planting.EVENTS_SQL}) where text is not null group by 1)"""
 
@@ -241,7 +310,7 @@ _BLOCKS = f"""select concat(recording_id, '/', unnest(range(len(p)))) as id, unn
 )
 def block_split_detect(spark, sf_dir):
     text = planting.frame_events(spark, sf_dir).filter("text is not null").groupBy(F.col("recording_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("frame_index", "text"))).alias("a"))
-    blocks = streams.stored(events.blocks_of(text.select("id", F.expr("array_join(transform(a, x -> x.text), '\\n---\\n')").alias("text"))), "blocks")
+    blocks = stored(events.blocks_of(text.select("id", F.expr("array_join(transform(a, x -> x.text), '\\n---\\n')").alias("text"))), "blocks")
     found = detectors.detect_in_text(blocks)
     lines = F.when(F.col("pattern_id").isNull(), F.lit("CLEAN")).otherwise(F.concat_ws(" | ", F.upper("severity"), "pattern_id", "preview"))
     return blocks.select("id").join(found, "id", "left").select("id", lines.alias("line"))
@@ -249,7 +318,7 @@ def block_split_detect(spark, sf_dir):
 
 @query("detections_tsv", f"with {finding_sql.kept(planting.DOCUMENTS_SQL, 'doc_id')} select concat(label, chr(9), severity, chr(9), preview) as line from kept")
 def detections_tsv(spark, sf_dir):
-    path = streams.scratch(spark, "tsv")
+    path = scratch(spark, "tsv")
     events.write_tsv(detectors.detect_in_text(_documents(spark, sf_dir)), path)
     return spark.read.text(path).select(F.regexp_replace("value", r"\t[^\t]*\t([^\t]*)$", "\t$1").alias("line"))
 
@@ -319,6 +388,27 @@ def sampling_schedule(spark, sf_dir):
     return frames.sampling_schedule(rows, fps=2.0).select("o_orderkey", "i", F.round("at_s", 6).alias("at_s"))
 
 
+#: Samples of a user's events: one an hour.
+_HOUR = 3_600_000
+
+
+@query(
+    "sampled_frames",
+    f"""with e as (select user_id, epoch_us(ts) // 1000 as ms, event_id from events),
+    r as (select user_id, min(ms) as began, floor((max(ms) - min(ms)) / 1000.0 / {_HOUR // 1000}) as n from e group by 1),
+    w as (select user_id, began, unnest(generate_series(0, greatest(1, n)::bigint - 1)) as i from r)
+    select w.user_id, i, i * {_HOUR} as wanted_ms, e.ms - began as timestamp_ms, event_id as frame from w join e on e.user_id = w.user_id and abs(e.ms - began - i * {_HOUR}) <= {_HOUR // 2}
+    qualify row_number() over (partition by w.user_id, i order by abs(e.ms - began - i * {_HOUR}), e.ms, event_id) = 1""",
+)
+def sampled_frames(spark, sf_dir):
+    """The events of a user as the frames that a recording has, sampled every hour."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("recording_id"), F.expr("unix_micros(cast(ts as timestamp)) div 1000").alias("at"), F.col("event_id").alias("frame"))
+    of = rows.groupBy("recording_id").agg(F.min("at").alias("began"), ((F.max("at") - F.min("at")) / 1000).alias("duration_s"))
+    timed = rows.join(of.select("recording_id", "began"), "recording_id").withColumn("timestamp_ms", F.col("at") - F.col("began"))
+    got = frames.sampled_frames(of, timed, fps=1000 / _HOUR)
+    return got.select(F.col("recording_id").alias("user_id"), "i", F.round("wanted_ms").cast("long").alias("wanted_ms"), "timestamp_ms", "frame")
+
+
 # Frames
 
 _VECTORS = "select concat('r', vec_id // 100) as recording_id, vec_id as frame_index, embedding as px from embeddings where vec_id is not null"
@@ -383,14 +473,37 @@ def frame_carry_forward(spark, sf_dir):
     return _recordings(spark, sf_dir).select("recording_id", "frame_index", "timestamp_ms", F.md5("text").alias("text_key"))
 
 
+def _beginnings_and_ends(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lines for the beginning and the end of each recording of these frames."""
+    ends = rows.groupBy("recording_id").agg(F.max("timestamp_ms").alias("last"), F.count("*").alias("n"), F.count_if(~F.col("skipped")).alias("read"))
+    meta = ends.select(F.to_json(F.struct(F.lit("meta").alias("type"), "recording_id", (F.col("last") + 500).alias("duration_ms"), F.col("n").alias("total_frames"))).alias("value"))
+    done = ends.select(F.to_json(F.struct(F.lit("done").alias("type"), "recording_id", F.col("n").alias("frames_scanned"), F.col("read").alias("frames_ocred"))).alias("value"))
+    return meta, done
+
+
+def _arriving_lines(spark: SparkSession, rows: DataFrame, part: str, parts: int, end_part: str) -> tuple[str, Iterator[None]]:
+    """A path, and arrivals there: each frame's line in the part that the SQL part says, each recording's beginning in the first and its end in that of end_part."""
+    path = scratch(spark, "events")
+    line = F.to_json(F.struct(F.lit("frame").alias("type"), "recording_id", "frame_index", "timestamp_ms", "text", "skipped")).alias("value")
+    meta, done = _beginnings_and_ends(rows)
+    ends = done.select("value", F.expr(end_part).cast("int").alias("part"))
+    told = rows.select(line, F.expr(part).cast("int").alias("part")).unionByName(meta.withColumn("part", F.lit(0))).unionByName(ends)
+    lines = stored(told, "lines")
+
+    def arrivals() -> Iterator[None]:
+        for k in range(parts):
+            lines.filter(F.col("part") == k).select("value").write.mode("append").text(path)
+            yield
+
+    return path, arrivals()
+
+
 def _event_parts(spark: SparkSession, sf_dir: str, parts: int) -> tuple[str, Iterator[None]]:
     """A path, and arrivals there: the frame events as JSON lines with noise between them, three frames of every recording at a time, written as they are partitioned."""
-    path = streams.scratch(spark, "events")
+    path = scratch(spark, "events")
     rows = planting.frame_events(spark, sf_dir)
     line = F.to_json(F.struct(F.lit("frame").alias("type"), "recording_id", "frame_index", "timestamp_ms", "text", "skipped"))
-    ends = rows.groupBy("recording_id").agg(F.max("timestamp_ms").alias("last"), F.count_if(~F.col("skipped")).alias("read"))
-    meta = ends.select(F.to_json(F.struct(F.lit("meta").alias("type"), "recording_id", (F.col("last") + 500).alias("duration_ms"))).alias("value"))
-    done = ends.select(F.to_json(F.struct(F.lit("done").alias("type"), "recording_id", F.col("read").alias("frames_ocred"))).alias("value"))
+    meta, done = _beginnings_and_ends(rows)
     noise = spark.createDataFrame([("",), ("   ",), ("warning: no display",), ('{"type":"other"}',), ("{broken",)], "value string")
 
     def arrivals() -> Iterator[None]:
@@ -514,7 +627,7 @@ def _result_sql() -> str:
 def scan_result_json(spark, sf_dir):
     """Every seventh scan counts as cancelled. The confidence is left out: the engines print numbers differently."""
     carried = _recordings(spark, sf_dir)
-    found = streams.stored(incidents.frame_findings(carried), "findings")
+    found = stored(incidents.frame_findings(carried), "findings")
     ocred = planting.frame_events(spark, sf_dir).groupBy("recording_id").agg(F.count_if(~F.col("skipped")).alias("frames_ocred"), F.expr("recording_id % 7 = 0").alias("cancelled"))
     made = incidents.results(incidents.scan_summary(carried, found), incidents.incidents(found), ocred)
     return made.select("recording_id", F.regexp_replace("result", r',"confidence":[^,}]*', "").alias("result"))
@@ -588,7 +701,7 @@ def stream_carry_forward(spark, sf_dir):
 
 def _arriving(spark: SparkSession, parts: list[DataFrame], name: str) -> tuple[str, Iterator[None]]:
     """A path, and the parts arriving there one after the other as Parquet."""
-    path = streams.scratch(spark, name)
+    path = scratch(spark, name)
 
     def arrivals() -> Iterator[None]:
         for part in parts:
@@ -611,6 +724,79 @@ def stream_incidents(spark, sf_dir):
     return streams.scan(spark, *_event_parts(spark, sf_dir, 3))
 
 
+#: A frame is at most three places away from its order of arrival; for three places (a second each) the streams wait.
+_WAIT_MS = 4000
+_DISORDER = "least(2, (frame_index + conv_hash % 4) div 3)"
+
+
+def _disordered(spark: SparkSession, sf_dir: str) -> tuple[str, Iterator[None]]:
+    """The frames in disorder in three parts; half of the ends come first, with the number of frames that they wait for."""
+    rows = planting.frame_events(spark, sf_dir).withColumn("conv_hash", F.expr("pmod(xxhash64(recording_id, frame_index), 4)"))
+    return _arriving_lines(spark, rows, _DISORDER, 3, "if(pmod(xxhash64(value), 2) = 0, 0, 2)")
+
+
+@query("stream_incidents_disordered", SQL["incidents"])
+def stream_incidents_disordered(spark, sf_dir):
+    """Frames in any order within the time that the stream waits give the incidents of the batch."""
+    return streams.scan(spark, *_disordered(spark, sf_dir), delay=_WAIT_MS)
+
+
+_LATE = f"""with f as (select recording_id, frame_index, timestamp_ms, frame_index % 3 = 1 as held from ({planting.EVENTS_SQL})),
+  w as (select recording_id, max(timestamp_ms) as newest from f where not held group by 1),
+  t as (select recording_id, max(frame_index) as taken from f join w using (recording_id) where not held and timestamp_ms <= newest - 2000 group by 1)
+  select f.recording_id, count(*) filter (where held and frame_index < taken) as late from f left join t using (recording_id) group by 1"""
+
+
+@query("stream_late_frames", _LATE)
+def stream_late_frames(spark, sf_dir):
+    """Every third frame is held back until all others have come: those behind which frames were taken are late."""
+    rows = planting.frame_events(spark, sf_dir)
+    return streams.late_frames(spark, *_arriving_lines(spark, rows, "if(frame_index % 3 = 1, 1, 0)", 2, "1"), delay=2000)
+
+
+#: Twenty conversations after each other as one recording.
+_LONG = {"recording_id": "cast(cast(recording_id as {long}) {div} 20 as {text})", "frame_index": "frame_index + cast(recording_id as {long}) % 20 * 100", "timestamp_ms": "1000 * (frame_index + cast(recording_id as {long}) % 20 * 100)"}
+_LONG_SQL = "select " + ", ".join(f"{v.format(long='bigint', div='//', text='varchar')} as {k}" for k, v in _LONG.items()) + f", text, skipped from ({planting.EVENTS_SQL})"
+
+
+def _long_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = planting.frame_events(spark, sf_dir)
+    return rows.select(*[F.expr(v.format(long="bigint", div="div", text="string")).alias(k) for k, v in _LONG.items()], "text", "skipped")
+
+
+_LONG_CARRIED = _CARRIED_TEXT.replace(planting.EVENTS_SQL, _LONG_SQL)
+
+
+@query(
+    "stream_progress",
+    f"""with {finding_sql.frames(_LONG_CARRIED)},
+    o as (select e.*, row_number() over (partition by recording_id order by frame_index) as done, count(*) over (partition by recording_id) as total from ({_LONG_SQL}) e),
+    b as (select recording_id, frame_index, count(*) as n from g2 where fresh = 1 group by 1, 2),
+    p as (select recording_id, frame_index, done, least(100, floor(done * 100.0 / total + 0.5))::bigint as percent,
+      coalesce(sum(b.n) over (partition by recording_id order by frame_index), 0)::bigint as incidents_so_far from o left join b using (recording_id, frame_index))
+    select * from p where done % 10 = 0""",
+)
+def stream_progress(spark, sf_dir):
+    """Every tenth row of scan_progress, given while the frames come."""
+    rows = _long_frames(spark, sf_dir)
+    return streams.progress(spark, *_arriving_lines(spark, rows, "frame_index div 700", 3, "2"))
+
+
+_CUT = 3
+_SEEN_SQL = f"select * from ({planting.EVENTS_SQL}) where frame_index < {_CUT}"
+
+
+@query("scan_cancelled", f"with {finding_sql.frames(_CARRIED_TEXT.replace(planting.EVENTS_SQL, _SEEN_SQL))} select {_INCIDENT}, true as cancelled from inc")
+def scan_cancelled(spark, sf_dir):
+    """A scan that is cancelled after the first arrival has the incidents of the frames that came, those that still waited for earlier ones too."""
+    path, arrivals = _arriving_lines(spark, planting.frame_events(spark, sf_dir), f"if(frame_index < {_CUT}, 0, 1)", 2, "1")
+    scan = session.Scan(spark, path, "planted recordings " + path.rpartition("-")[2], delay=60_000)
+    next(arrivals)
+    scan.start().awaitTermination()
+    scan.cancel()
+    return scan.incidents().withColumn("cancelled", F.lit(scan.cancelled))
+
+
 @query("stream_sessions", SQL["event_sessions"])
 def stream_sessions(spark, sf_dir):
     """event_sessions as a stream: sessions close when the watermark passes their end. The last arrival is a row without keys at a later time."""

@@ -1,6 +1,6 @@
 """SQL of the findings in DuckDB's dialect: every candidate of every text, all detectors, overlaps and what is built on them.
 
-Written without the shortcuts of the engine: all candidates are made, and each is tried.
+Written without the automaton of the engine: all candidates are made, and each is tried but for those that read as words, which no built-in pattern accepts.
 """
 
 from __future__ import annotations
@@ -59,12 +59,18 @@ PREFIXES = "(values " + ", ".join(
 ) + ") p(pattern_ord, prefix_ord, pattern_id, label, provider, severity, severity_rank, prefix, folded, anchor, prefix_len, tol, body_min, body_max, outside, least, longest)"
 
 
-def matched(source: str, keys: str) -> str:
+#: Columns of PREFIXES.
+PREFIX_COLUMNS = (
+    "pattern_ord, prefix_ord, pattern_id, label, provider, severity, severity_rank, prefix, folded, anchor, prefix_len, tol, body_min, body_max, outside, least, longest"
+)
+
+
+def matched(source: str, keys: str, prefixes: str = PREFIXES) -> str:
     """CTEs from ma to m: each row of source (keys, token) with its best prefix for each pattern that accepts it."""
     head = f.normalize_confusable("substring(token, 1, n)", D)
     return f"""ma as (select s.*, p.*, list_min(list_transform(generate_series(greatest(1, prefix_len - tol), least(prefix_len + tol, length(token))), lambda n:
       {{'d': {D.levenshtein(head, 'folded')}, 'off': abs(n - prefix_len), 'n': n}})) as best
-      from {source} s join {PREFIXES} on {f.confusion_class('substring(token, 1, 1)', D)} = anchor),
+      from {source} s join {prefixes} on {f.confusion_class('substring(token, 1, 1)', D)} = anchor),
 mb as (select *, substring(token, best.n + 1) as body from ma where best.d <= tol),
 mc as (select *, length(regexp_replace(body, outside, '', 'g'))::double / length(body) as ratio from mb where length(body) between body_min and body_max),
 md as (select *, {f.randomness('body', D)} as random from mc where ratio >= 0.85),
@@ -83,7 +89,7 @@ def _one(**v: str) -> str:
     return ", ".join(f"({v[n]})::{kinds.get(n, 'varchar')} as \"{n}\"" for n in names)
 
 
-def every(rows: str, ident: str) -> str:
+def every(rows: str, ident: str, prefixes: str = PREFIXES) -> str:
     """CTEs up to found: (doc_id, detector, seq list, columns of a finding), overlaps included."""
     text = folded(rows, ident)
     pem = " union all ".join(
@@ -120,7 +126,7 @@ h6 as (select *, {f.randomness('token', D)} as random from h5 where length(token
   and {f.secret_charset_ratio('token', D)} >= 0.85 and not {f.is_wordlike('token', D)}),
 h7 as (select * from h6 where random >= 0.5 qualify row_number() over (partition by doc_id, no order by kno) = 1),
 long as materialized (select {key}, token from tc where length(token) >= {candidates.SHORTEST} and regexp_matches(substring(token, 3), '[0-9_+/=.-]|[A-Z].*[A-Z]')),
-{matched('long', key)},
+{matched('long', key, prefixes)},
 sound as (select * from m where ({f.structural_rejection('token', D)}) is null),
 best as (select {key}, token, list_reduce(list({{'consumed': consumed, 'pattern_id': pattern_id, 'label': label, 'provider': provider, 'severity': severity, 'severity_rank': severity_rank, 'longest': longest,
   'confidence': confidence}} order by pattern_ord), {BETTER}) as b from sound group by all),
@@ -134,10 +140,10 @@ found as materialized ({pem}
 COLUMNS = "pattern_id, label, provider, severity, severity_rank, start, \"end\", preview, confidence, token_len"
 
 
-def kept(rows: str, ident: str) -> str:
+def kept(rows: str, ident: str, prefixes: str = PREFIXES) -> str:
     """CTEs up to kept: the findings without overlaps."""
     fields = ", ".join(f"'{c.strip(chr(34))}': {c}" for c in COLUMNS.split(", "))
-    return f"""{every(rows, ident)},
+    return f"""{every(rows, ident, prefixes)},
 listed as (select doc_id, list({{{fields}}} order by severity_rank desc, round(confidence, 9) desc, start, detector, seq) as a from found group by doc_id),
 folded_up as (select doc_id, list_reduce(list_transform(a, lambda x: [x]), lambda k, x: case when len(list_filter(k, lambda y: x[1].start < y."end" and y.start < x[1]."end")) > 0 then k else list_concat(k, x) end) as a from listed),
 kept as materialized (select doc_id, u.* from (select doc_id, unnest(a) as u from folded_up))"""

@@ -9,7 +9,7 @@ from legilens.functions import dictionaries as known
 
 EVENT = (
     "recording_id string, type string, duration_ms bigint, total_frames bigint, frame_index bigint, timestamp_ms bigint, text string, skipped boolean,"
-    " frames_ocred bigint, error string"
+    " frames_scanned bigint, frames_ocred bigint, error string"
 )
 KINDS = ("meta", "frame", "done", "error")
 
@@ -39,10 +39,13 @@ def frames_of(events: DataFrame) -> DataFrame:
 
 
 def frames_and_ends(events: DataFrame) -> DataFrame:
-    """The frames, and a row with done for each recording's end or error."""
-    return events.filter("type in ('frame', 'done', 'error')").select(
-        "recording_id", *[F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in ("frame_index", "timestamp_ms")], "text", F.coalesce("skipped", F.lit(False)).alias("skipped"),
-        (F.col("type") != "frame").alias("done"),
+    """The frames, and rows of another type without frame_index: a recording's beginning (with total, its number of frames, and duration_ms), and its end or error (done, with expected, the number of its frames)."""
+    zero = F.lit(0).cast("long")
+    of_frame = lambda value: F.when(F.col("type") == "frame", value)
+    return events.select(
+        "recording_id", *[of_frame(F.coalesce(F.col(c), zero)).alias(c) for c in ("frame_index", "timestamp_ms")], of_frame(F.col("text")).alias("text"), F.coalesce("skipped", F.lit(False)).alias("skipped"),
+        F.col("type").isin("done", "error").alias("done"), F.when(F.col("type") == "meta", F.col("total_frames")).alias("total"),
+        F.when(F.col("type") == "meta", F.col("duration_ms")).alias("duration_ms"), F.when(F.col("type") == "done", F.col("frames_scanned")).alias("expected"),
     )
 
 

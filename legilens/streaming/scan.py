@@ -1,45 +1,58 @@
 """Structured Streaming: the same frames as they arrive. State is kept for each recording; batch and stream give equal results.
 
-Rows of one recording are put in order within a micro-batch. A frame that comes in a later micro-batch than frames after it (a late frame) is taken
-when it comes: it is carried and hashed against what came before it, and its findings extend the incident that is open then.
-The state of a recording goes with its end or error event; what comes later starts anew. It is a text, a hash or the incidents still open.
+Frames are taken in their order by the operators of ordered: what comes too late is dropped and counted, and a recording's state goes with its end or error event, or with a
+timer where none comes; what comes later starts anew. State is the text carried, a hash or the incidents still open, and the frames that wait for earlier ones.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from legilens.operators import incidents
-from legilens.operators.frames import THRESHOLD, Gate
+from legilens.operators.frames import MAX_RUN, THRESHOLD
 from legilens.sources import events
+from legilens.sources.scratch import scratch
+from legilens.streaming import ordered
+from legilens.streaming.ordered import IDLE_MS
 
 #: What is there now, as the only arrival.
 NOW = (None,)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares, or in a temporary one where none is named (one machine)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+@contextmanager
+def configured(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """The session with these settings for a while; a stream keeps those that it is started with."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written once in the shared folder and read back, for results that are used twice."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def started(stream: DataFrame, each: Callable[[DataFrame, int], None], progress: str, name: str | None = None, **trigger) -> StreamingQuery:
+    """A stream that gives its micro-batches to each. State and what was read are kept under progress for the next call."""
+    writer = stream.writeStream.foreachBatch(each).outputMode("append").option("checkpointLocation", progress).trigger(**trigger)
+    # A run to the end of what is there ends then; its timers are looked at in the next run. A stream that goes on looks at them without data too.
+    settings = ordered.PROVIDER | {"spark.sql.streaming.noDataMicroBatches.enabled": str(not trigger.get("availableNow")).lower()}
+    with configured(stream.sparkSession, settings):
+        return (writer.queryName(name) if name else writer).start()
 
 
-def run_to_end(stream: DataFrame, each: Callable[[DataFrame, int], None], progress: str) -> None:
-    """Process all that is there in a micro-batch. State and what was read are kept under progress for the next call."""
-    stream.writeStream.foreachBatch(each).outputMode("append").option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+def run_to_end(stream: DataFrame, each: Callable[[DataFrame, int], None], progress: str, name: str | None = None) -> StreamingQuery:
+    """Process all that is there, and wait for its end."""
+    query = started(stream, each, progress, name, availableNow=True)
+    query.awaitTermination()
+    return query
 
 
 def appended(stream: DataFrame, name: str, arrivals: Iterable = NOW, made: Callable[[DataFrame], DataFrame] = lambda batch: batch) -> DataFrame:
@@ -60,53 +73,33 @@ def _keep(state: GroupState, value: tuple | None) -> None:
         state.remove()
 
 
-def carry_forward(frames: DataFrame) -> DataFrame:
-    """(recording_id, frame_index, timestamp_ms, text, done) of a stream of frames and done rows; the state of a recording is the last text read."""
-
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        carried, over, out = state.get[0] if state.exists else "", False, []
-        rows = pd.concat(list(parts)).sort_values(["done", "frame_index"])
-        for r in rows.itertuples(index=False):
-            if r.done:
-                over = True
-                out.append((r.recording_id, None, None, None, True))
-            elif r.skipped or r.text is None:
-                if carried:
-                    out.append((r.recording_id, r.frame_index, r.timestamp_ms, carried, False))
-            else:
-                carried = r.text
-                out.append((r.recording_id, r.frame_index, r.timestamp_ms, r.text, False))
-        _keep(state, None if over else (carried,))
-        made = pd.DataFrame(out, columns=["recording_id", "frame_index", "timestamp_ms", "text", "done"])
-        yield made.astype({"frame_index": "Int64", "timestamp_ms": "Int64"})
-
-    schema = "recording_id string, frame_index bigint, timestamp_ms bigint, text string, done boolean"
-    return frames.groupBy("recording_id").applyInPandasWithState(run, schema, "carried string", "append", GroupStateTimeout.NoTimeout)
+def carry_forward(frames: DataFrame, delay: int = 0, idle: int = IDLE_MS) -> DataFrame:
+    """The rows of ordered.Carry for a stream of frames and ends: recording_id, frame_index, timestamp_ms, text, own, place, total, duration_ms, done, late."""
+    return ordered.in_order(frames, ordered.Carry(delay, idle))
 
 
-def carried(spark: SparkSession, path: str, arrivals: Iterable = NOW) -> DataFrame:
+def carried(spark: SparkSession, path: str, arrivals: Iterable = NOW, delay: int = 0, idle: int = IDLE_MS) -> DataFrame:
     """(recording_id, frame_index, timestamp_ms, text) of the event lines under path."""
-    rows = appended(carry_forward(events.frames_and_ends(events.stream_events(spark, path))), "carried", arrivals)
-    return rows.filter("not done").drop("done")
+    rows = appended(carry_forward(events.frames_and_ends(events.stream_events(spark, path)), delay, idle), "carried", arrivals)
+    return rows.filter("not done and text is not null").select("recording_id", "frame_index", "timestamp_ms", "text")
 
 
-def skip_gate(frames: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(recording_id, frame_index, skipped) of a stream of hashed frames; the state is the last kept hash and the run of skips."""
+def late_frames(spark: SparkSession, path: str, arrivals: Iterable = NOW, delay: int = 0, idle: int = IDLE_MS) -> DataFrame:
+    """(recording_id, late) of the recordings under path that have ended: how many frames were dropped because later ones had been taken."""
+    rows = appended(carry_forward(events.frames_and_ends(events.stream_events(spark, path)), delay, idle), "carried", arrivals)
+    return rows.filter("done").groupBy("recording_id").agg(F.sum("late").alias("late"))
 
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, skipped = state.get if state.exists else (None, 0)
-        gate, rows = Gate(None if last is None else list(last), skipped, threshold), pd.concat(list(parts)).sort_values("frame_index")
-        rows["skipped"] = [gate.skips(None if h is None else [int(x) for x in h]) for h in rows["hash"]]
-        _keep(state, (gate.last, gate.run))
-        yield rows[["recording_id", "frame_index", "skipped"]]
 
-    schema = "recording_id string, frame_index bigint, skipped boolean"
-    return frames.groupBy("recording_id").applyInPandasWithState(run, schema, "last array<bigint>, run int", "append", GroupStateTimeout.NoTimeout)
+def skip_gate(frames: DataFrame, threshold: int = THRESHOLD, max_run: int = MAX_RUN, delay: int = 0, idle: int = IDLE_MS) -> DataFrame:
+    """(recording_id, frame_index, skipped, done, late) of a stream of hashed frames, with ends where it has them (see ordered.SkipGate)."""
+    timed = frames if "timestamp_ms" in frames.columns else frames.withColumn("timestamp_ms", F.col("frame_index"))
+    return ordered.in_order(timed, ordered.SkipGate(threshold, max_run, delay, idle))
 
 
-def gated(spark: SparkSession, path: str, schema, threshold: int = THRESHOLD, arrivals: Iterable = NOW) -> DataFrame:
+def gated(spark: SparkSession, path: str, schema, threshold: int = THRESHOLD, arrivals: Iterable = NOW, delay: int = 0, idle: int = IDLE_MS) -> DataFrame:
     """(recording_id, frame_index, skipped) of the hashed frames that arrive under path as Parquet."""
-    return appended(skip_gate(spark.readStream.schema(schema).parquet(path), threshold), "gate", arrivals)
+    rows = appended(skip_gate(spark.readStream.schema(schema).parquet(path), threshold, delay=delay, idle=idle), "gate", arrivals)
+    return rows.filter("not done").select("recording_id", "frame_index", "skipped")
 
 
 #: Columns of an open incident, beside its key.
@@ -148,28 +141,60 @@ def closing(findings: DataFrame, gap: int = incidents.MERGE_GAP_MS) -> DataFrame
     return findings.groupBy("recording_id").applyInPandasWithState(run, out, f"open array<struct<{fields}>>", "append", GroupStateTimeout.NoTimeout)
 
 
-def scan(spark: SparkSession, path: str, arrivals: Iterable = NOW) -> DataFrame:
+def searched(batch: DataFrame) -> DataFrame:
+    """The findings of a micro-batch of carried frames, and its ends."""
+    frames = batch.filter("not done and text is not null").select("recording_id", "frame_index", "timestamp_ms", "text")
+    rows = incidents.frame_findings(frames).withColumn("done", F.lit(False))
+    return rows.unionByName(batch.filter("done").select("recording_id", "done"), allowMissingColumns=True)
+
+
+def counted(batch: DataFrame) -> DataFrame:
+    """The findings of a micro-batch of carried frames with their frame's place, its frames, and its ends: what progress goes by."""
+    frame = batch.filter("not done and frame_index is not null").select("recording_id", "frame_index", "timestamp_ms", "place", "total")
+    found = incidents.frame_findings(batch.filter("not done and text is not null").select("recording_id", "frame_index", "timestamp_ms", "text"))
+    found = found.join(frame.select("recording_id", "frame_index", "place"), ["recording_id", "frame_index"])
+    found = found.select("recording_id", "frame_index", "timestamp_ms", "place", F.lit(None).cast("long").alias("total"), "pattern_id", "preview", "token_len")
+    ends = batch.filter("done").select("recording_id", F.lit(True).alias("done"))
+    told = found.withColumn("frame_row", F.lit(False)).unionByName(frame.withColumn("frame_row", F.lit(True)), allowMissingColumns=True).withColumn("done", F.lit(False))
+    return told.unionByName(ends, allowMissingColumns=True)
+
+
+def read_once(batch: DataFrame, use: Callable[[DataFrame], None]) -> None:
+    """Use a micro-batch that is read several times; its operators run once."""
+    batch = batch.persist()
+    try:
+        use(batch)
+    finally:
+        batch.unpersist()
+
+
+def chained(first: DataFrame, between: Callable[[DataFrame], DataFrame], second: Callable[[DataFrame], DataFrame], name: str, arrivals: Iterable) -> DataFrame:
+    """What second gives for the stream of between's rows for the micro-batches of first, in order: after each arrival both streams run to their end."""
+    spark = first.sparkSession
+    made, made_progress, result, progress = (scratch(spark, f"{name}-{x}") for x in ("between", "between-progress", "result", "progress"))
+    schema = between(spark.createDataFrame([], first.schema)).schema
+    spark.createDataFrame([], schema).write.parquet(f"{made}/none")
+    last = second(spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(made))
+    spark.createDataFrame([], last.schema).write.parquet(f"{result}/none")
+    for _ in arrivals:
+        run_to_end(first, lambda batch, n: read_once(batch, lambda rows: between(rows).write.mode("overwrite").parquet(f"{made}/batch-{n}")), made_progress)
+        run_to_end(last, lambda batch, n: batch.write.mode("overwrite").parquet(f"{result}/batch-{n}"), progress)
+    return spark.read.schema(last.schema).option("recursiveFileLookup", True).parquet(result)
+
+
+def scan(spark: SparkSession, path: str, arrivals: Iterable = NOW, delay: int = 0, idle: int = IDLE_MS) -> DataFrame:
     """Incidents of the recordings whose event lines arrive under path, in the columns of incidents.incidents.
 
     After each arrival its frames are carried forward and searched, and the incidents that closed are appended. An empty folder gives none.
     """
-    frames = carry_forward(events.frames_and_ends(events.stream_events(spark, path)))
-    found, progress, result = scratch(spark, "findings"), scratch(spark, "progress"), scratch(spark, "incidents")
-    ends = scratch(spark, "progress")
-
-    def searched(batch: DataFrame) -> DataFrame:
-        rows = incidents.frame_findings(batch.filter("not done").drop("done")).withColumn("done", F.lit(False))
-        return rows.unionByName(batch.filter("done").select("recording_id", "done"), allowMissingColumns=True)
-
-    schema = searched(spark.createDataFrame([], frames.schema)).schema
-    spark.createDataFrame([], schema).write.parquet(f"{found}/none")
-    made = closing(spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(found))
-    spark.createDataFrame([], made.schema).write.parquet(f"{result}/none")
-    for _ in arrivals:
-        run_to_end(frames, lambda batch, n: searched(batch).write.mode("overwrite").parquet(f"{found}/batch-{n}"), progress)
-        run_to_end(made, lambda batch, n: batch.write.mode("overwrite").parquet(f"{result}/batch-{n}"), ends)
-    got = spark.read.schema(made.schema).option("recursiveFileLookup", True).parquet(result)
-    return incidents.shown(got)
+    frames = carry_forward(events.frames_and_ends(events.stream_events(spark, path)), delay, idle)
+    return incidents.shown(chained(frames, searched, closing, "incidents", arrivals))
+
+
+def progress(spark: SparkSession, path: str, arrivals: Iterable = NOW, every: int = 10, delay: int = 0, idle: int = IDLE_MS, gap: int = incidents.MERGE_GAP_MS) -> DataFrame:
+    """(recording_id, frame_index, done, percent, incidents_so_far) after every so many frames of each recording, while it is scanned; percent is null until the number of frames is known."""
+    frames = carry_forward(events.frames_and_ends(events.stream_events(spark, path)), delay, idle)
+    return chained(frames, counted, lambda rows: ordered.progress(rows, every, gap), "progress", arrivals)
 
 
 def sessions(spark: SparkSession, path: str, schema, keys: tuple[str, ...], at: str, gap: int, delay: str = "0 seconds", arrivals: Iterable = NOW) -> DataFrame:

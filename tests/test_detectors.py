@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from legilens.functions import dictionaries as known
-from legilens.operators import candidates, detectors
+from legilens.operators import candidates, detectors, patterns, udtf
+from legilens.operators.patterns import search_for
 from legilens.plans import planting
 from tests import plain
 
@@ -114,10 +115,115 @@ def test_no_accepted_candidate_is_left_out():
         text = r.choice(["", "a ", "é", "key= ", "x=", "KEY:b=", "(", "say \\n", "sk-", "the end. "]) + "".join(key) + r.choice(["", " then more", ".", ") or", " a b c d e f"])
         want = {c[1:] for c in candidates.every(text) if accepted(c[3])}
         n += len(want)
-        assert want <= {c[1:] for c in candidates.likely(text)}, text
+        assert want <= {c[1:] for c in candidates.likely(text, search_for(known.PATTERNS))}, text
     assert n > 1000
 
 
+OWN = [
+    ("acme", "Acme key", "Acme", ["acme_live_", "acme-"], 20, 60, "base62", "critical", 2, 0.42, 0),
+    ("dot", "Dot key", "Dot", ["dwm."], 16, 16, "upper_alnum", "medium", 1, 0.40, 1),
+    ("word", "Word key", "Word", ["kw:"], 9, 60, "base64url", "info", 0, 0.0, 2),
+]
+
+
+def own_table(spark, rows=OWN):
+    return spark.createDataFrame(rows, patterns.SCHEMA)
+
+
+def test_own_patterns(spark):
+    """A caller's patterns in place of the built-in ones, misread and torn apart, words where they are allowed; and both together."""
+    texts = {
+        0: "acme_live_" + B24, 1: "x=acne_1ive_" + B24, 2: "see ac me_live_ " + B24, 3: "acme-" + B24, 4: "dwm.ABCD2345EFGH6789", 5: "dvvrn.ABCD2345EFGH6789",
+        6: "kw:correcthorsebattery", 7: "ghp_" + B30, 8: "acme " + B24, 9: "password=Xk9mP2qLvR8wZa5N",
+    }
+    rows = spark.createDataFrame(list(texts.items()), "id int, text string")
+    found = lambda table: {(r.id, r.pattern_id) for r in detectors.detect_in_text(rows, table).collect()}
+    own = {(0, "acme"), (1, "acme"), (2, "acme"), (3, "acme"), (4, "dot"), (5, "dot"), (6, "word"), (9, "assignment")}
+    assert found(own_table(spark)) == own
+    both = patterns.default_table(spark).unionByName(own_table(spark).withColumn("place", F.col("place") + 100))
+    assert found(both) == own | {(7, "github_pat")}
+    assert found(own_table(spark, [])) == {(9, "assignment")}
+
+
+def test_no_accepted_candidate_of_own_patterns_is_left_out():
+    r = random.Random(8)
+    table = tuple(known.Pattern(*row[:3], tuple(row[3]), *row[4:10]) for row in OWN)
+    search = search_for(table)
+    pairs = {"m": "rn", "w": "vv", "d": "cl"}
+    for _ in range(600):
+        p = r.choice(table)
+        key = r.choice(p.prefixes) + "".join(r.choice("ABCDEFGH23456789") for _ in range(p.body_min))
+        key = "".join(pairs[c] if c in pairs and r.random() < 0.3 else c for c in key)
+        for _ in range(r.randint(0, 2)):
+            at = r.randrange(1, len(key))
+            key = key[:at] + r.choice([" ", "", "o"]) + key[at:]
+        text = r.choice(["", "a ", "k=", "(", "see: "]) + key + r.choice(["", " b c", ")"])
+        with_prefix = {c[1:] for c in candidates.every(text) if len(c[3]) >= 12 and plain.reject(c[3]) is None and accepts(table, c[3])}
+        assert with_prefix <= {c[1:] for c in candidates.likely(text, search)}, text
+
+
+def accepts(table, token):
+    """Whether some prefix of the table takes the token, by the plain rules."""
+    for p in table:
+        for prefix in p.prefixes:
+            if plain.cls(token[0]) != plain.conf(prefix[0]):
+                continue
+            tries = [(plain.distance(plain.conf(token[:n]), plain.conf(prefix)), abs(n - len(prefix)), n) for n in range(max(1, len(prefix) - p.tolerance), min(len(prefix) + p.tolerance, len(token)) + 1)]
+            if tries and min(tries)[0] <= p.tolerance:
+                body = token[min(tries)[2] :]
+                if p.body_min <= len(body) <= p.body_max and plain.ratio(body, known.CHARSETS[p.charset]) >= 0.85 and plain.randomness(body) >= p.min_randomness:
+                    return True
+    return False
+
+
+@pytest.mark.parametrize(
+    ("at", "value", "message"),
+    [(0, None, "needs id"), (3, [], "prefixes"), (3, ["a b"], "white space"), (4, 0, "body_min"), (5, 3, "body_max"), (6, "any", "charset"), (7, "bad", "severity"), (8, 5, "tolerance"), (9, 1.5, "min_randomness")],
+)
+def test_faulty_patterns_are_refused(spark, at, value, message):
+    row = list(OWN[1])
+    row[at] = value
+    with pytest.raises(ValueError, match=message):
+        patterns.compiled(own_table(spark, [tuple(row)]))
+
+
+def test_pattern_tables_are_bounded(spark, monkeypatch):
+    with pytest.raises(ValueError, match="differ"):
+        patterns.compiled(own_table(spark, [OWN[0], OWN[0]]))
+    monkeypatch.setattr(patterns, "MOST", 2)
+    with pytest.raises(ValueError, match="more than 2"):
+        patterns.compiled(own_table(spark))
+    assert patterns.compiled(None) == known.PATTERNS
+    assert patterns.compiled(patterns.default_table(spark).limit(0)) == ()
+
+
+def test_default_table_is_the_built_in_one(spark):
+    assert patterns.compiled(patterns.default_table(spark)) == known.PATTERNS
+
+
+def test_find_candidates_in_sql(spark):
+    udtf.register(spark)
+    texts = [t for t, _ in CASES] + ["a b c d e f g", "\u200bx‑y z", "k=vvvvvvvvvvvvvv=w"]
+    spark.createDataFrame(list(enumerate(texts)), "id int, text string").createOrReplaceTempView("some_texts")
+    got = spark.sql("select t.id, c.* from some_texts t, lateral find_candidates(t.text) c").collect()
+    want = [(i, *order, start, end, token) for i, t in enumerate(texts) for order, start, end, token in candidates.every(plain.fold(t or ""))]
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert spark.sql("select * from find_candidates('one two')").count() == 3
+    assert spark.sql("select t.id from some_texts t left join lateral find_candidates(t.text) c on true where c.token is null").count() == sum(not t for t in texts)
+
+
+def test_report_in_one_pass(spark):
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(CASES)], "id int, text string")
+    found, rejected = detectors.detect_with_report(rows)
+    assert sorted(map(str, found.collect())) == sorted(map(str, detectors.detect_in_text(rows).select(found.columns).collect()))
+    assert sorted(map(tuple, rejected.collect())) == sorted(map(tuple, detectors.rejection_report(rows).collect()))
+    path = tempfile.mkdtemp(prefix="spark-") + "/rows"
+    rows.write.parquet(path)
+    items = detectors.by_item(detectors.looked_at(spark.read.parquet(path), "reported", known.PATTERNS))
+    plan = items._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("MapInArrow") == 1 and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_one_scan(spark):
     rows = spark.range(3).select("id", F.concat(F.lit("x"), "id").alias("text"))
     path = tempfile.mkdtemp(prefix="spark-") + "/rows"
