@@ -47,6 +47,8 @@ class Scan:
         read_once(batch, lambda rows: self._keep(rows, n))
 
     def _keep(self, batch: DataFrame, n: int) -> None:
+        if batch.isEmpty():  # a stream that goes on has micro-batches for its timers only
+            return
         frames = batch.filter("not done and text is not null").select("recording_id", "frame_index", "timestamp_ms", "text")
         incidents.frame_findings(frames).write.mode("overwrite").parquet(f"{self.tables['findings']}/batch={n}")
         # Texts are not kept: of a frame only whether it has one.

@@ -57,6 +57,7 @@ def test_state_ends_with_a_timer_or_the_end(spark, tmp_path, kind):
     """A recording without an end is ended when it is silent; one with an end leaves nothing behind."""
     path, progress, out = tmp_path / "in", str(tmp_path / "progress"), []
     schema = "recording_id string, frame_index bigint, timestamp_ms bigint, text string, skipped boolean, hash array<bigint>, done boolean"
+    path.mkdir()
     rows = spark.readStream.schema(schema).parquet(str(path))
     made = streams.carry_forward(rows, delay=5000, idle=1500) if kind == "carry" else streams.skip_gate(rows, delay=5000, idle=1500)
     run = lambda: streams.run_to_end(made, lambda batch, n: out.extend(batch.collect()), progress)
@@ -111,7 +112,10 @@ def test_one_scan_of_a_name_at_a_time(spark, tmp_path):
         with pytest.raises(session.AlreadyRunning, match="scan of x is already running"):
             second.start()
         other.start().awaitTermination()
-        first.query.processAllAvailable()
+        for _ in range(60):
+            if first.incidents().count():
+                break
+            time.sleep(1)
     finally:
         first.cancel()
     assert first.incidents().count() == 1 and other.incidents().count() == 1
