@@ -73,9 +73,9 @@ def _sizes(rows: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("n"), F.sum(F.length("token")).alias("chars"), F.sum("start").alias("starts"), F.sum("end").alias("ends"))
 
 
-@query("glue_candidates", _FRAGMENTS + "select doc_id, count(*) as n, sum(length(token))::bigint as chars, sum(start)::bigint as starts, sum(\"end\")::bigint as ends from j group by doc_id")
+@query("glue_candidates", _FRAGMENTS + "select doc_id, start::integer as start, \"end\"::integer as \"end\", md5(token) as token_key from j")
 def glue_candidates(spark, sf_dir):
-    return _sizes(candidates.explode(detectors.normalised(_documents(spark, sf_dir)), "glued"))
+    return _keyed(candidates.explode(detectors.normalised(_documents(spark, sf_dir)), "glued"))
 
 
 _ALL = f"with {finding_sql.every(planting.DOCUMENTS_SQL, 'doc_id')} "
@@ -148,9 +148,17 @@ def verdict_reason(spark, sf_dir):
     return rows.select("token_key", F.expr(_verdict(Spark)).alias("reason"))
 
 
+#: The one pattern, tried on tokens that are long enough for it.
+_ONE = f"(select * from {finding_sql.PREFIXES} where pattern_id = '{_PROJECT.id}') p"
+_LONG_ENOUGH = min(map(len, _PROJECT.prefixes)) - _PROJECT.tolerance + _PROJECT.body_min
+_ONE_MATCHED = f"""with t as materialized ({planting.TOKENS_SQL}), likely as (select * from t where length(token) >= {_LONG_ENOUGH} and {f.confusion_class('substring(token, 1, 1)', _D)} = '{f.confusable_python(_PROJECT.prefixes[0][0])}'),
+{finding_sql.matched('likely', 'token_key', _ONE)}
+"""
+
+
 @query(
     "oracle_best_match",
-    _MATCHED + "select t.token_key, case when confidence is null then '-' else 'OpenAI Project Key' end as label, round(confidence, 6) as confidence from t left join m on t.token_key = m.token_key and m.pattern_id = 'openai_project'",
+    _ONE_MATCHED + "select t.token_key, case when confidence is null then '-' else 'OpenAI Project Key' end as label, round(confidence, 6) as confidence from t left join m on t.token_key = m.token_key and m.pattern_id = 'openai_project'",
 )
 def oracle_best_match(spark, sf_dir):
     best = _matched(spark, sf_dir).filter("m.pattern_id = 'openai_project'").select(F.col("id").alias("token_key"), "m.label", F.round("m.confidence", 6).alias("confidence"))
@@ -179,12 +187,14 @@ def all_detectors(spark, sf_dir):
 
 @query(
     "dedupe_overlaps",
-    f"with {finding_sql.kept(planting.DOCUMENTS_SQL, 'doc_id')} select pattern_id, n, n_kept from (select pattern_id, count(*) as n from found group by 1) left join (select pattern_id, count(*) as n_kept from kept group by 1) using (pattern_id)",
+    f"""with {finding_sql.kept(planting.DOCUMENTS_SQL, 'doc_id')} select 'found' as stage, doc_id, pattern_id, start, "end", preview from found
+    union all select 'kept', doc_id, pattern_id, start, "end", preview from kept""",
 )
 def dedupe_overlaps(spark, sf_dir):
+    """Every finding, and every one that stays."""
     every = stored(detectors.all_findings(_documents(spark, sf_dir)), "findings")
-    kept = detectors.without_overlaps(every)
-    return every.groupBy("pattern_id").agg(F.count("*").alias("n")).join(kept.groupBy("pattern_id").agg(F.count("*").alias("n_kept")), "pattern_id", "left")
+    row = lambda stage, found: found.select(F.lit(stage).alias("stage"), F.col("id").alias("doc_id"), "pattern_id", "start", "end", "preview")
+    return row("found", every).unionByName(row("kept", detectors.without_overlaps(every)))
 
 
 def _by_detector(number: int, rows: DataFrame) -> DataFrame:
@@ -276,11 +286,11 @@ _FRAME_TEXTS = f"select concat(recording_id, '/', frame_index) as id, text from
     "rejection_report",
     f"""with {finding_sql.every(_FRAME_TEXTS, 'id')},
     w as (select c.doc_id, c.seq, c.start, c."end", c.token, {f.structural_rejection('token', _D)} as reason from tc c where length(token) >= {candidates.SHORTEST})
-    select coalesce(reason, 'low-randomness') as reason, count(*) as n from w anti join best b on w.doc_id = b.doc_id and w.seq = b.seq group by 1""",
+    select w.doc_id as id, coalesce(reason, 'low-randomness') as reason, md5(w.token) as token_key from w anti join best b on w.doc_id = b.doc_id and w.seq = b.seq""",
 )
 def rejection_report(spark, sf_dir):
     rows = planting.frame_events(spark, sf_dir).filter("text is not null").select(F.concat_ws("/", "recording_id", "frame_index").alias("id"), "text")
-    return detectors.rejection_report(rows).groupBy("reason").agg(F.count("*").alias("n"))
+    return detectors.rejection_report(rows).select("id", "reason", F.md5("token").alias("token_key"))
 
 
 @query(
@@ -326,36 +336,52 @@ def detections_tsv(spark, sf_dir):
 # Catalogue
 
 _CATALOGUE = "(values " + ", ".join(f"('{p.id}', '{p.label}', '{p.provider}', '{p.severity}')" for p in known.PATTERNS) + ") d(id, label, provider, severity)"
+_IN_DOCUMENTS = f"with {finding_sql.kept(planting.DOCUMENTS_SQL, 'doc_id')} "
+
+
+def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, label, provider, severity, n): each detector with its findings in the documents."""
+    found = detectors.detect_in_text(_documents(spark, sf_dir)).groupBy(F.col("pattern_id").alias("id")).agg(F.count("*").alias("n"))
+    return events.detectors(spark).join(found, "id", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+
+
+_COUNTED = f"{_IN_DOCUMENTS}, counted as (select id, d.label, d.provider, d.severity, count(kept.pattern_id) as n from {_CATALOGUE} left join kept on kept.pattern_id = d.id group by all) "
 
 
-@query("detector_list", f"select * from {_CATALOGUE}")
+@query("detector_list", _COUNTED + "select * from counted")
 def detector_list(spark, sf_dir):
-    return events.detectors(spark)
+    """Every detector, and how often it found something."""
+    return _counted(spark, sf_dir).select("id", "label", "provider", "severity", "n")
 
 
-@query("pattern_lookup", f"select id, label from {_CATALOGUE} where id in ('aws_access_key', 'figma', 'none')")
+@query("pattern_lookup", f"{_IN_DOCUMENTS} select doc_id, start, pattern_id, d.label from kept left join {_CATALOGUE} on d.id = kept.pattern_id")
 def pattern_lookup(spark, sf_dir):
-    return events.detectors(spark).filter(F.col("id").isin("aws_access_key", "figma", "none")).select("id", "label")
+    """The catalogue's label of each finding, null for those of other detectors."""
+    found = detectors.detect_in_text(_documents(spark, sf_dir)).select(F.col("id").alias("doc_id"), "start", "pattern_id")
+    return found.join(events.detectors(spark).select(F.col("id").alias("pattern_id"), "label"), "pattern_id", "left")
 
 
-@query("detectors_by_provider", f"select provider, count(*) as n, string_agg(id, ',' order by id) as ids from {_CATALOGUE} group by 1")
+@query("detectors_by_provider", _COUNTED + "select provider, count(*) as n, string_agg(id, ',' order by id) as ids, sum(n)::bigint as findings from counted group by 1")
 def detectors_by_provider(spark, sf_dir):
-    return events.detectors(spark).groupBy("provider").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids"))
+    grouped = _counted(spark, sf_dir).groupBy("provider")
+    return grouped.agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids"), F.sum("n").alias("findings"))
 
 
 @query(
     "severity_advice",
-    "select s as severity, case s " + " ".join(f"when '{k}' then {_D.lit(v)}" for k, v in known.SEVERITY_LABELS.items()) + " end as label, case s "
-    + " ".join(f"when '{k}' then {_D.lit(v)}" for k, v in known.SEVERITY_ADVICE.items()) + f" end as advice from (select distinct severity as s from {_CATALOGUE})",
+    _IN_DOCUMENTS + "select severity, case severity " + " ".join(f"when '{k}' then {_D.lit(v)}" for k, v in known.SEVERITY_LABELS.items()) + " end as label, case severity "
+    + " ".join(f"when '{k}' then {_D.lit(v)}" for k, v in known.SEVERITY_ADVICE.items()) + " end as advice, count(*) as n from kept group by severity",
 )
 def severity_advice(spark, sf_dir):
+    """What to do about the findings in the documents, and how many each advice is for."""
     table = spark.createDataFrame([(k, known.SEVERITY_LABELS[k], known.SEVERITY_ADVICE[k]) for k in known.SEVERITY_LABELS], "severity string, label string, advice string")
-    return events.detectors(spark).select("severity").distinct().join(table, "severity")
+    found = detectors.detect_in_text(_documents(spark, sf_dir)).groupBy("severity").agg(F.count("*").alias("n"))
+    return found.join(F.broadcast(table), "severity").select("severity", "label", "advice", "n")
 
 
 _SETTINGS = "select concat('s', p_partkey % 40) as key, concat('v', p_size) as value, p_partkey as changed from part"
 #: The table before: keys with and without changes to come.
-_STORED = "select concat('s', s_suppkey) as key, concat('old', s_nationkey) as value from supplier where s_suppkey <= 60"
+_STORED = "select concat('s', s_suppkey) as key, concat('old', s_nationkey) as value from supplier"
 
 
 @query(
@@ -369,7 +395,7 @@ def settings_upsert(spark, sf_dir):
 
 
 def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").filter("s_suppkey <= 60")
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet")
     return rows.select(F.expr("concat('s', s_suppkey)").alias("key"), F.expr("concat('old', s_nationkey)").alias("value"))
 
 

@@ -133,8 +133,8 @@ def own_table(spark, rows=OWN):
 def test_own_patterns(spark):
     """A caller's patterns in place of the built-in ones, misread and torn apart, words where they are allowed; and both together."""
     texts = {
-        0: "acme_live_" + B24, 1: "x=acne_1ive_" + B24, 2: "see ac me_live_ " + B24, 3: "acme-" + B24, 4: "dwm.ABCD2345EFGH6789", 5: "dvvrn.ABCD2345EFGH6789",
-        6: "kw:correcthorsebattery", 7: "ghp_" + B30, 8: "acme " + B24, 9: "password=Xk9mP2qLvR8wZa5N",
+        0: "acme_live_" + B24, 1: "x=acne_1ive_" + B24, 2: "see ac me_live_ " + B24, 3: "acme-" + B24, 4: "dwm.ABCD2345EFGH6789", 5: "dvvm.ABCD2345EFGH6789",
+        6: "kw:correcthorsebattery", 7: "ghp_" + B30, 8: "other " + B24, 9: "password=Xk9mP2qLvR8wZa5N",
     }
     rows = spark.createDataFrame(list(texts.items()), "id int, text string")
     found = lambda table: {(r.id, r.pattern_id) for r in detectors.detect_in_text(rows, table).collect()}
