@@ -1,14 +1,14 @@
-"""MinHash near-duplicates by min-max hashing: signatures in bands, rounds of hubs in each cell, exact verification and components.
+"""MinHash near-duplicates by min-max hashing: signatures in bands, hubs in each cell, exact verification and components.
 
 Every permutation of the shingles gives two values of a signature, its least and its greatest hash, so a signature takes half as many hash evaluations as values; each
 agrees between two sets with the probability of their similarity, and as the two of one permutation are negatively correlated, bands of both vary less. A band
 is two permutations, four values. Two sets meet in a cell when a whole band agrees: at the least similarity that links, 48 permutations in 24 bands miss a
 pair in 20 million.
 
-A cell is never joined with itself whole. In each round its hubs, the members that share the most cells with others, are paired with those of
-other components; pairs that can't link by their sizes are left out, the rest are verified on the full sets of words, and components are merged. Hubs leave the cell, and the next
-round takes twice as many. Cells end when all members are of one component or have been hubs, so every pair of members has then been compared or is of one
-component; a group of copies of one document ends after one round.
+A cell is never joined with itself. Its hub, the member that shares the most cells with others, is paired with the members of other
+components; pairs that can't link by their sizes are left out, the rest are verified on the full sets of words, and components are merged. Where the members left are still of
+several components, they are dealt into finer cells, by shingles that two of them must share to link: such that the hub lacks, where a set has too few in common with it (finer).
+Finer cells take more hubs, many times more at each level, until all members are of one component or have been hubs: every pair of members has then been compared, or is of one component, or can't link.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ CHUNK = 1024
 NUMBERED, FITS = 1 << 20, 1 << 21
 #: Bits of the filter of the texts that are verified: 2 MB.
 TEXT_BITS = 1 << 24
+#: How many times more hubs a cell has at each level.
+MORE_HUBS = 16
 
 _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, (2, PERMUTATIONS + 8), np.uint64) * np.uint64(2) + np.uint64(1)
 FIRST, SECOND = _ODD[0, :PERMUTATIONS, None], _ODD[1, :PERMUTATIONS, None]
@@ -50,11 +52,13 @@ class Numbers(dict):
 
     def __init__(self) -> None:
         super().__init__()
-        self.hashes = [0]
+        self.hashes = np.zeros(1 << 12, np.uint64)
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self.hashes)
-        self.hashes.append(xxhash.xxh64_intdigest(word, SEED))
+        self[word] = n = len(self) + 1
+        if n == len(self.hashes):
+            self.hashes = np.concatenate((self.hashes, np.zeros(n, np.uint64)))  # twice as many
+        self.hashes[n] = xxhash.xxh64_intdigest(word, SEED)
         return n
 
 
@@ -66,7 +70,7 @@ def shingles(words: list[bytes], numbers: Numbers) -> np.ndarray:
     if len(n) < WORDS:
         return np.concatenate((n, np.zeros(WORDS - len(n), np.int64)))[None, :]
     a, b, c = n[:-2], n[1:-1], n[2:]
-    if len(numbers.hashes) < FITS:
+    if len(numbers) < FITS:
         packed = np.unique(a << 42 | b << 21 | c)
         return np.stack((packed >> 42, packed >> 21 & FITS - 1, packed & FITS - 1), axis=1)
     return np.unique(np.stack((a, b, c), axis=1), axis=0)
@@ -108,49 +112,99 @@ def prints(keyed: DataFrame) -> DataFrame:
     """(doc_id, key, n, cells) of rows (doc_id, key, text): the number of distinct shingles, and the cells of the set (none of an empty one)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, hashes = Numbers(), np.zeros(1, np.uint64)
+        numbers = Numbers()
         for b in batches:
             sizes, found = [], []
             for text in b.column(2).to_pylist():
                 if len(numbers) > NUMBERED:
-                    numbers, hashes = Numbers(), np.zeros(1, np.uint64)
+                    numbers = Numbers()
                 some = shingles(words_of(text), numbers)
-                if len(hashes) < len(numbers.hashes):
-                    more = np.array(numbers.hashes[len(hashes) :], np.uint64)
-                    hashes = np.concatenate((hashes, more))
                 sizes.append(len(some))
-                found.append(cells(signature(hashed(some, hashes))) if len(some) else [])
+                found.append(cells(signature(hashed(some, numbers.hashes))) if len(some) else [])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "key", "n", "cells"])
 
     return keyed.select("doc_id", "key", "text").mapInArrow(run, f"doc_id {keyed.schema['doc_id'].dataType.simpleString()}, key binary, n bigint, cells array<bigint>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, similar: int) -> DataFrame:
-    """The pairs (a, b, la, lb) of nodes whose full sets are similar in so many percent, as (la, lb). texts has node, text.
+Shingles = set[tuple[bytes, ...]]
+
+
+def full(text: str) -> Shingles:
+    """The set of a text with words, word by word."""
+    words = words_of(text)
+    return set(zip(words, words[1:], words[2:])) if len(words) >= WORDS else {tuple(words)}
+
+
+def side_by_side(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b, la, lb) of nodes with both texts; texts has node, text.
 
     The text of b goes to where a's is: a hub's text is sent once, and not once for each of its partners; what many partners share is split by adaptive execution.
     """
     other = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     own = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    both = pairs.join(other, "b").join(own, "a").select("a", "la", "lb", "text_a", "text_b")
+    return pairs.join(other, "b").join(own, "a").select("a", "b", "la", "lb", "text_a", "text_b")
+
+
+def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Iterator[tuple[Shingles, Shingles]]]]:
+    """Each batch of side_by_side with the sets of its pairs; a's is made once for pairs that follow each other."""
+    last: tuple = (None, set())
+
+    def sets(b: pa.RecordBatch) -> Iterator[tuple[Shingles, Shingles]]:
+        nonlocal last
+        for node, x, y in zip(b.column(0).to_pylist(), b.column(4), b.column(5), strict=True):
+            if node != last[0]:
+                last = node, full(x.as_py())
+            yield last[1], full(y.as_py())
+
+    for b in batches:
+        yield b, sets(b)
 
-    def full(text: str) -> set[tuple[bytes, ...]]:
-        words = words_of(text)
-        return set(zip(words, words[1:], words[2:])) if len(words) >= WORDS else {tuple(words)}
+
+def verified(pairs: DataFrame, texts: DataFrame, similar: int) -> DataFrame:
+    """The pairs (a, b, la, lb) whose full sets are similar in so many percent, as (la, lb)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, mine = None, set()
-        for b in batches:
-            linked = []
-            for node, x, y in zip(b.column(0).to_pylist(), b.column(3), b.column(4), strict=True):
-                if node != last:
-                    last, mine = node, full(x.as_py())
-                yours = full(y.as_py())
-                common = len(mine & yours)
-                linked.append(100 * common >= similar * (len(mine) + len(yours) - common))
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2)], ["la", "lb"]).filter(pa.array(linked, pa.bool_()))
+        for b, sets in sets_of(batches):
+            linked = [100 * (common := len(x & y)) >= similar * (len(x) + len(y) - common) for x, y in sets]
+            yield pa.RecordBatch.from_arrays([b.column(2), b.column(3)], ["la", "lb"]).filter(pa.array(linked, pa.bool_()))
+
+    return side_by_side(pairs, texts).mapInArrow(run, "la bigint, lb bigint")
+
 
-    return both.mapInArrow(run, "la bigint, lb bigint")
+def finer(pairs: DataFrame, texts: DataFrame, similar: int) -> DataFrame:
+    """(cell, node): the finer cells of the nodes b by their hubs a, where lb is the size of the smallest set with this hub.
+
+    Of a set's n shingles, c are the hub's. A set that links with it has at least so many of them as makes the two similar when it is as small as may be (common). If that is more than
+    c, they share shingles that the hub lacks; so two such sets meet in a cell of one of these, and of its n - c the first n - common + 1 are enough. Sets with c of at least
+    common have all that the hub lacks in such cells, and meet each other in cells of a second kind: of their first n - common + 1 shingles, what the hub lacks before what it has.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, sets in sets_of(batches):
+            found = []
+            for hub, least, (x, y) in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), sets, strict=True):
+                n, lacking = len(y), y - x
+                smallest = max(least, -(-similar * n // 100))
+                common = -(-similar * (n + smallest) // (100 + similar))
+                first, key = n - common + 1, hub.to_bytes(8, "little")
+                number = lambda some, key=key: sorted(xxhash.xxh64_intdigest(b" ".join(z) + key, SEED) for z in some)
+                order = number(lacking)
+                if n - len(lacking) < common:
+                    found.append(order[:first])
+                else:
+                    second = (order if len(order) >= first else order + number(y & x))[:first]
+                    found.append(order + [z ^ 1 << 63 for z in second])
+            cells = pa.array([np.array(f, np.uint64).view(np.int64) for f in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(1), cells], ["node", "cells"])
+
+    dealt = side_by_side(pairs, texts).mapInArrow(run, "node bigint, cells array<bigint>")
+    return dealt.select(F.explode("cells").alias("cell"), "node")
+
+
+def mixed(members: DataFrame) -> DataFrame:
+    """The members (cell, node, label, ...) of cells with several labels."""
+    some = members.groupBy("cell").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("cell")
+    return members.join(some, "cell")
 
 
 def link(nodes: DataFrame, texts: DataFrame, similar: int = SIMILAR) -> DataFrame:
@@ -158,35 +212,37 @@ def link(nodes: DataFrame, texts: DataFrame, similar: int = SIMILAR) -> DataFram
     every = nodes.select("node", "n", F.explode("cells").alias("cell"))
     shared = every.groupBy("cell").agg(F.count("*").alias("size")).filter("size > 1")
     grid = saved(every.join(shared, "cell"), "grid")
-    met = saved(grid.groupBy("node").agg(F.sum("size").alias("met")), "met")
-    live = grid.join(met, "node").select("cell", "node", "n", "met", F.col("node").alias("label"))
-    labels = met.select("node", F.col("node").alias("label"))
-    wanted = nodes.join(met.select("node"), "node").select("key", "node")
+    known = saved(grid.groupBy("node").agg(F.max("n").alias("n"), F.sum("size").alias("met")).withColumn("label", F.col("node")), "known")
+    wanted = nodes.join(known.select("node"), "node").select("key", "node")
     wanted = saved(in_filter(texts, "key", bit_filter(wanted, "key", TEXT_BITS), TEXT_BITS).join(wanted, "key").dropDuplicates(["node"]).select("node", "text"), "texts")
-    compared, hubs_of_cell = None, 1
+    members, compared, hubs_of_cell = grid.select("cell", "node"), None, 1
     while True:
-        mixed = live.groupBy("cell").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("cell")
-        live = saved(live.join(mixed, "cell"), "live")
+        live = saved(mixed(members.join(known, "node")), "live")
         if live.isEmpty():
-            return labels
+            break
         hubs = live.groupBy("cell", F.pmod("node", F.lit(hubs_of_cell)).alias("k")).agg(F.max(F.struct("met", "node", "n", "label")).alias("hub"))
         hubs = saved(hubs.select("cell", "hub"), "hubs")
         possible = F.expr(f"label <> hub.label and 100 * least(n, hub.n) >= {similar} * greatest(n, hub.n)")
-        met_by = live.join(hubs, "cell").filter(possible)
         ends = [F.struct("met", "node", "label"), F.struct("hub.met", "hub.node", "hub.label")]
-        pairs = met_by.select(F.greatest(*ends).alias("x"), F.least(*ends).alias("y")).select(
-            F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb")
-        ).distinct()
+        pairs = live.join(hubs, "cell").filter(possible).select(F.greatest(*ends).alias("x"), F.least(*ends).alias("y"))
+        pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb")).distinct()
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
         pairs = saved(pairs, "pairs")
         now = pairs.select("a", "b")
-        compared = now if compared is None else saved(compared.unionByName(now), "compared")
+        compared = now if compared is None else compared.unionByName(now)
         merged = components(verified(pairs, wanted, similar), "la", "lb").select(F.col("node").alias("label"), "component")
-        live = live.join(hubs.select("cell", F.col("hub.node").alias("node")), ["cell", "node"], "left_anti").join(merged, "label", "left")
-        live = live.select("cell", "node", "n", "met", F.coalesce("component", "label").alias("label"))
-        labels = saved(labels.join(merged, "label", "left").select("node", F.coalesce("component", "label").alias("label")), "labels")
-        hubs_of_cell *= 2
+        known = saved(known.join(merged, "label", "left").select("node", "n", "met", F.coalesce("component", "label").alias("label")), "known")
+        left = live.select("cell", "node").join(hubs.select("cell", F.col("hub.node").alias("node")), ["cell", "node"], "left_anti")
+        first = hubs.groupBy("cell").agg(F.max("hub").alias("hub"))
+        several = mixed(left.join(known.select("node", "n", "label"), "node")).join(first, "cell")
+        by_hub = saved(several.select(F.col("hub.node").alias("a"), F.col("node").alias("b"), "n").distinct(), "by_hub")
+        if by_hub.isEmpty():
+            break
+        least = by_hub.groupBy("a").agg(F.min("n").alias("lb"))
+        members = saved(finer(by_hub.join(least, "a").select("a", "b", F.col("n").alias("la"), "lb"), wanted, similar), "members")
+        hubs_of_cell *= MORE_HUBS
+    return known.select("node", "label")
 
 
 def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: int = SIMILAR) -> DataFrame:
