@@ -354,6 +354,13 @@ def shorten_home(path: str, d: Dialect) -> str:
     return f"case when {d.matches(path, '^/Users/[^/]+(/.*)?$')} then concat('~', {d.extract(path, '^/Users/[^/]+(/.*)?$', 1)}) else {path} end"
 
 
+def display_phrase(width: str, height: str, scale: str, d: Dialect) -> str:
+    """A display's size and scale as a person reads them; empty where the size is unknown (null or 0)."""
+    t = lambda x: f"cast({x} as {d.text})"
+    times = f"case when {scale} >= 2 then {t(f'cast(floor({scale} + 0.5) as {d.long})')} else '1' end"
+    return f"case when coalesce({width}, 0) = 0 or coalesce({height}, 0) = 0 then '' else concat({t(width)}, ' × ', {t(height)}, ' at ', {times}, '×') end"
+
+
 def initials(name: str, d: Dialect) -> str:
     words = d.filter(d.words(name), "w", "w <> ''")
     one = f"upper(substring({d.at('p', '1')}, 1, 2))"

@@ -405,6 +405,12 @@ def settings_lookup(spark, sf_dir):
     return events.looked_up(_stored(spark, sf_dir), wanted)
 
 
+@query("schema_version", "select coalesce(max(o_orderkey % 97), 0)::bigint as version from orders")
+def schema_version(spark, sf_dir):
+    """The latest of the versions that the orders' keys stand for."""
+    return events.latest_version(spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_orderkey") % 97).alias("version")))
+
+
 @query(
     "sampling_schedule",
     "select o_orderkey, i, round(i * 0.5, 6) as at_s from (select o_orderkey, unnest(generate_series(0, greatest(1, floor((o_orderkey % 60) / 0.5))::bigint - 1)) as i from orders)",

@@ -123,4 +123,5 @@ _over_table(
     lambda d: {"folder": f.save_location("case p_partkey % 5 when 0 then '' when 1 then '~/Movies/' when 2 then '/Volumes/x//' when 3 then ' /tmp ' end", "'/Users/erin'", d)},
 )
 _over_table("shorten_home", "part", ("p_partkey",), lambda d: {"shown": f.shorten_home(f"concat(case p_partkey % 3 when 0 then '/Users/u' when 1 then '/Users/' else '/Volumes/' end, p_partkey, case p_partkey % 2 when 0 then '/Desktop' else '' end)", d)})
+_over_table("display_phrase", "part", ("p_partkey",), lambda d: {"shown": f.display_phrase("case when p_partkey % 7 = 0 then null else p_size * 64 end", "(p_size * 36 * (p_partkey % 5))", "(p_size / 10.0)", d)})
 _over_table("initials_from_name", "supplier", ("s_suppkey",), lambda d: {"initials": f.initials("translate(s_name, '#', ' ')", d)})

@@ -78,6 +78,11 @@ def looked_up(settings: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.select("key").join(settings.groupBy("key").agg(F.max("value").alias("value")), "key", "left")
 
 
+def latest_version(migrations: DataFrame) -> DataFrame:
+    """(version): the latest version of the migrations, 0 where there is none."""
+    return migrations.agg(F.coalesce(F.max("version"), F.lit(0)).cast("long").alias("version"))
+
+
 def write_tsv(findings: DataFrame, path: str) -> None:
     """Findings as lines of label, severity, confidence and preview, separated by tabs; the confidence with two digits."""
     findings.select("label", "severity", F.format_number("confidence", 2).alias("confidence"), "preview").write.option("sep", "\t").option("quote", "").csv(path)
