@@ -6,7 +6,7 @@ is two permutations, four values. Two sets meet in a cell when a whole band agre
 pair in 20 million.
 
 A cell is never joined with itself. Its hub, the member that shares the most cells with others, is paired with the members of other
-components; pairs that can't link by their sizes are left out, the rest are verified on the full sets of words, and components are merged. Where the members left are still of
+components; pairs that can't link by their sizes, or by what they share with an earlier hub, are left out, the rest are verified on the full sets of words, and components are merged. Where the members left are still of
 several components, they are dealt into finer cells, by shingles that two of them must share to link: such that the hub lacks, where a set has too few in common with it (finer).
 Finer cells take more hubs, many times more at each level, until all members are of one component or have been hubs: every pair of members has then been compared, or is of one component, or can't link.
 """
@@ -172,7 +172,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similar: int) -> DataFrame:
 
 
 def finer(pairs: DataFrame, texts: DataFrame, similar: int) -> DataFrame:
-    """(cell, node): the finer cells of the nodes b by their hubs a, where lb is the size of the smallest set with this hub.
+    """(cell, node, c): the finer cells of the nodes b by their hubs a, where lb is the size of the smallest set with this hub.
 
     Of a set's n shingles, c are the hub's. A set that links with it has at least so many of them as makes the two similar when it is as small as may be (common). If that is more than
     c, they share shingles that the hub lacks; so two such sets meet in a cell of one of these, and of its n - c the first n - common + 1 are enough. Sets with c of at least
@@ -181,7 +181,7 @@ def finer(pairs: DataFrame, texts: DataFrame, similar: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, sets in sets_of(batches):
-            found = []
+            found, shared = [], []
             for hub, least, (x, y) in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), sets, strict=True):
                 n, lacking = len(y), y - x
                 smallest = max(least, -(-similar * n // 100))
@@ -189,16 +189,17 @@ def finer(pairs: DataFrame, texts: DataFrame, similar: int) -> DataFrame:
                 first, key = n - common + 1, hub.to_bytes(8, "little")
                 number = lambda some, key=key: sorted(xxhash.xxh64_intdigest(b" ".join(z) + key, SEED) for z in some)
                 order = number(lacking)
-                if n - len(lacking) < common:
+                shared.append(n - len(lacking))
+                if shared[-1] < common:
                     found.append(order[:first])
                 else:
                     second = (order if len(order) >= first else order + number(y & x))[:first]
                     found.append(order + [z ^ 1 << 63 for z in second])
             cells = pa.array([np.array(f, np.uint64).view(np.int64) for f in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(1), cells], ["node", "cells"])
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(shared, pa.int64()), cells], ["node", "c", "cells"])
 
-    dealt = side_by_side(pairs, texts).mapInArrow(run, "node bigint, cells array<bigint>")
-    return dealt.select(F.explode("cells").alias("cell"), "node")
+    dealt = side_by_side(pairs, texts).mapInArrow(run, "node bigint, c bigint, cells array<bigint>")
+    return dealt.select(F.explode("cells").alias("cell"), "node", "c")
 
 
 def mixed(members: DataFrame) -> DataFrame:
@@ -215,14 +216,15 @@ def link(nodes: DataFrame, texts: DataFrame, similar: int = SIMILAR) -> DataFram
     known = saved(grid.groupBy("node").agg(F.max("n").alias("n"), F.sum("size").alias("met")).withColumn("label", F.col("node")), "known")
     wanted = nodes.join(known.select("node"), "node").select("key", "node")
     wanted = saved(in_filter(texts, "key", bit_filter(wanted, "key", TEXT_BITS), TEXT_BITS).join(wanted, "key").dropDuplicates(["node"]).select("node", "text"), "texts")
-    members, compared, hubs_of_cell = grid.select("cell", "node"), None, 1
+    members, compared, hubs_of_cell = grid.select("cell", "node", F.col("n").alias("c")), None, 1
     while True:
         live = saved(mixed(members.join(known, "node")), "live")
         if live.isEmpty():
             break
-        hubs = live.groupBy("cell", F.pmod("node", F.lit(hubs_of_cell)).alias("k")).agg(F.max(F.struct("met", "node", "n", "label")).alias("hub"))
+        hubs = live.groupBy("cell", F.pmod("node", F.lit(hubs_of_cell)).alias("k")).agg(F.max(F.struct("met", "node", "n", "label", "c")).alias("hub"))
         hubs = saved(hubs.select("cell", "hub"), "hubs")
-        possible = F.expr(f"label <> hub.label and 100 * least(n, hub.n) >= {similar} * greatest(n, hub.n)")
+        # Two sets share at most the lesser of what they have of the hub that made their cell, and the lesser of the rest.
+        possible = F.expr(f"label <> hub.label and {100 + similar} * (least(c, hub.c) + least(n - c, hub.n - hub.c)) >= {similar} * (n + hub.n)")
         ends = [F.struct("met", "node", "label"), F.struct("hub.met", "hub.node", "hub.label")]
         pairs = live.join(hubs, "cell").filter(possible).select(F.greatest(*ends).alias("x"), F.least(*ends).alias("y"))
         pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb")).distinct()
