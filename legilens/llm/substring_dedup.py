@@ -6,8 +6,9 @@ hash values; only those at least T tokens wide matter, about 2 n / T for n token
 same least value share that part of their signatures.
 
 Similar passages share RUN tokens in a row somewhere, and with them an anchor, the least token of those. Anchors are counted over all texts; only
-around repeated ones (a bit filter of fixed size) windows are made. Windows with one value form a group; each is first paired with the group's first and last window, then, in groups where windows are left without a link, with
-one of those, another at each turn (remaining).
+around repeated ones (a bit filter of fixed size) windows are made. Windows with one value form a group; each is first paired with the group's first and last window. Where the partners of a first window
+are not all of one class then, they meet again in finer groups: of tokens that they have and that window lacks (finer). Finer groups take more hubs, many times more at each level, until the members of each are of one class
+or each member has been a hub (linked).
 The pairs of two texts are joined by interval: windows on nearby diagonals that overlap make one candidate passage, if ENOUGH hash functions take
 part. Candidates are verified on the tokens: the best matching stretch must have T tokens on both sides and a Jaccard
 similarity of SIMILAR or more. Each stretch of a text is cut out once, however many partners it has.
@@ -44,8 +45,10 @@ BITS = 1 << 26
 TEXT_BITS = 1 << 24
 #: How far apart the diagonals of one passage's windows may be, in tokens: insertions and deletions shift them.
 DRIFT = 12
-#: Turns with further hubs for the windows that the first and last of their group leave without a link.
-TURNS = 2
+#: Tokens on either side of a shared one, the nearest that a hub lacks, that make finer groups.
+NEAR = 16
+#: Hubs of a finer group, and how many times more at each further level.
+MORE_HUBS = 8
 
 # One odd multiplier for each hash function.
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
@@ -269,19 +272,37 @@ def repeated_windows(texts: DataFrame, counts: DataFrame, least: int) -> DataFra
 
 
 def hub_pairs(windows: DataFrame) -> DataFrame:
-    """Each window with its group's first, and in groups of three or more with its last one as well: k and both places."""
+    """Each window with its group's first, and in groups of three or more with its last one as well: k, both places, and main: whether the hub is the first of a
+    group in which not all windows are compared so."""
     place = F.struct("row", "c", "l", "r")
     ends = windows.groupBy("value").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count("*").alias("n")).filter("n > 1")
     # Every member with the first window, and in groups of three or more the others with the last one as well.
     hubs = F.when((F.col("n") > 2) & (place != F.col("low")), F.array("low", "high")).otherwise(F.array("low"))
-    each = windows.join(ends, "value").select("k", F.explode(hubs).alias("hub"), "row", "l", "c", "r")
+    each = windows.join(ends, "value").select("k", F.posexplode(hubs).alias("at", "hub"), F.expr("n > 3 and at = 0").alias("main"), "row", "l", "c", "r")
+    return placed(each)
+
+
+def placed(each: DataFrame) -> DataFrame:
+    """Pairs (k, first, l1, c1, r1, second, l, c, r, main) of rows with k, hub, main and the place of a window, but for a window with itself."""
     pairs = each.select(
         "k", F.col("hub.row").alias("first"), F.col("hub.l").alias("l1"), F.col("hub.c").alias("c1"), F.col("hub.r").alias("r1"),
-        F.col("row").alias("second"), "l", "c", "r",
+        F.col("row").alias("second"), "l", "c", "r", "main",
     )
     return pairs.filter("first <> second or c1 <> c")
 
 
+def more_pairs(members: DataFrame, hubs: int) -> DataFrame:
+    """The pairs of finer groups (value, n, row, l, c, r): every member with each of so many hubs, all members with each other in groups of no more than that."""
+    place = F.struct("row", "c", "l", "r")
+    told = members.select("value", "n", "row", "l", "c", "r", place.alias("place"), F.lit(0).alias("k"))
+    slot = F.when(F.col("n") <= hubs, F.xxhash64("place")).otherwise(F.pmod(F.xxhash64("row"), F.lit(hubs)))
+    chosen = told.groupBy("value", slot.alias("slot")).agg(F.min("place").alias("hub"))
+    least = chosen.groupBy("value").agg(F.min("hub").alias("least"))
+    each = told.join(chosen.select("value", "hub").join(least, "value"), "value")
+    each = each.filter(F.expr(f"if(n <= {hubs}, place > hub, place <> hub and place <> least)"))
+    return placed(each.select("k", "hub", F.expr(f"n > {hubs} and hub = least").alias("main"), "row", "l", "c", "r"))
+
+
 def spans_of(links: DataFrame) -> DataFrame:
     """(key, n_links, spans): the verified stretches of each text, sorted."""
     both = links.select(F.col("first").alias("row"), F.col("a").alias("low"), F.col("b").alias("high")).unionByName(
@@ -290,41 +311,77 @@ def spans_of(links: DataFrame) -> DataFrame:
     return both.groupBy(F.col("row").alias("key")).agg(F.count("*").alias("n_links"), F.array_sort(F.collect_set(F.struct("low", "high"))).alias("spans"))
 
 
-def told_apart(windows: DataFrame, links: DataFrame) -> DataFrame:
-    """The windows of groups in which some window is in no verified stretch yet, with label and bare: the class of the text where a verified stretch
-    covers the least token, else the window's own."""
-    classes = components(links.select("first", "second"), "first", "second").withColumnRenamed("node", "row")
-    spans = spans_of(links).select(F.col("key").alias("row"), "spans").join(classes, "row", "left")
-    told = windows.join(spans, "row", "left").withColumn("bare", ~F.coalesce(F.expr("exists(spans, s -> c between s.low and s.high)"), F.lit(False)))
-    label = F.when(F.col("bare"), F.xxhash64("row", "k", "c")).otherwise(F.xxhash64("component"))
-    told = saved(told.select("value", "k", "row", "l", "c", "r", label.alias("label"), "bare"), "labels")
-    mixed = told.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.bool_or("bare").alias("some")).filter("some and low <> high").select("value")
-    return told.join(mixed, "value")
+def several(rows: DataFrame, by: str) -> DataFrame:
+    """The rows, with the size n of their group, of groups with several rows that are not all of one label; a row without label is of none."""
+    groups = rows.groupBy(by).agg(F.count("*").alias("n"), F.count("label").alias("named"), F.min("label").alias("least"), F.max("label").alias("most"))
+    return rows.join(groups.filter("n > 1 and (named < n or least <> most)").select(by, "n"), by)
+
 
+def unsettled(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """The pairs of main hubs whose partners are not all of one class, with label: the class of the second text where a verified stretch covers the shared token, else null."""
+    classes = components(links.select("first", "second"), "first", "second").select(F.col("node").alias("second"), "component")
+    spans = spans_of(links).select(F.col("key").alias("second"), "spans").join(classes, "second", "left")
+    told = pairs.filter("main and first <> second").join(spans, "second", "left")
+    label = F.when(F.expr("exists(spans, s -> pivot between s.low and s.high)"), F.col("component"))
+    told = saved(told.select("first", "a", "b", "second", "c", "d", "pivot", label.alias("label")), "told")
+    return several(told, "first").drop("n")
 
-def further_pairs(told: DataFrame, turn: int) -> DataFrame:
-    """Each window with one bare window of its group, another at each turn, unless they have one label already. The order depends on the text only, so that
-    groups of one passage under several hash functions choose alike."""
-    me = F.struct(F.xxhash64(F.lit(turn), "row").alias("order"), "row", "c", "l", "r", "label")
-    hubs = told.filter("bare").groupBy("value").agg(F.min(me).alias("hub"))
-    each = told.join(hubs, "value").filter("label <> hub.label and (row <> hub.row or c <> hub.c)")
-    names = {"k": "k", "first": "hub.row", "l1": "hub.l", "c1": "hub.c", "r1": "hub.r", "second": "row", "l": "l", "c": "c", "r": "r"}
-    return each.select(*[F.col(source).alias(name) for name, source in names.items()])
 
+def finer(cuts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(value, row, l, c, r, label): the second texts of the pairs in finer groups by their hub, one for each of the NEAR tokens on either side of the pivot that
+    the hub's stretch lacks. Two passages that are similar, one of which has too little in common with the hub, share such tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            keys, places, of = [], [], []
+            for i, (x, y) in enumerate(stretch_pairs(batch)):
+                lacking = np.flatnonzero(~np.isin(y, x))
+                middle = int(np.searchsorted(lacking, batch.column(6)[i].as_py() - batch.column(4)[i].as_py()))
+                near = lacking[max(0, middle - NEAR) : middle + NEAR]
+                hub = np.uint64(int.from_bytes(batch.column(0)[i].as_py()[:8], "little"))
+                key = (y[near].view(np.uint32).astype(np.uint64) * ODD[0] ^ hub) * ODD[1]
+                keys.append(key ^ (key >> np.uint64(31)))
+                places.append(near + batch.column(4)[i].as_py())
+                of.append(np.full(len(near), i))
+            if keys:
+                rows = pa.array(np.concatenate(of))
+                second, low, high, label = (batch.column(k).take(rows) for k in (3, 4, 8, 7))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(keys).view(np.int64)), second, low, pa.array(np.concatenate(places).astype(np.int32)), high, label], ["value", "row", "l", "c", "r", "label"]
+                )
+
+    both = side_by_side(cuts, pairs).select("first", "a", "x", "second", "c", "y", "pivot", "label", "d")
+    return both.mapInArrow(run, "value bigint, row binary, l int, c int, r int, label binary")
 
-def remaining(texts: DataFrame, windows: DataFrame, links: DataFrame, least: int) -> DataFrame:
-    """All links: those given, and those that further hubs of groups find in which windows are left without any."""
-    for turn in range(TURNS):
-        pairs = saved(candidates(further_pairs(told_apart(windows, links), turn)), "pairs")
-        links = saved(links.unionByName(verified(texts, pairs, least)).distinct(), "links")
-    return links
 
+def linked(texts: DataFrame, windows: DataFrame, least: int) -> DataFrame:
+    """All links (first, a, b, second, c, d), ends in tokens and inclusive: those with the hubs of groups, then those of finer groups, level by level.
 
-def candidates(pairs: DataFrame) -> DataFrame:
-    """(first, a, b, second, c, d): tokens a..b of one text and c..d of another (or the same) that may be near-duplicates."""
+    A group ends when its members are of one class or have all been compared, so there are about as many levels as the logarithm of the largest group's size to the base MORE_HUBS.
+    """
+    pairs, links, hubs = candidates(hub_pairs(windows), ENOUGH), None, MORE_HUBS
+    while True:
+        pairs = saved(pairs, "pairs")
+        cuts = saved(stretches(texts, pairs), "stretches")
+        found = verified(cuts, pairs, least)
+        links = saved(found if links is None else links.unionByName(found).distinct(), "links")
+        apart = saved(unsettled(pairs, links), "apart")
+        if apart.isEmpty():
+            return links
+        members = saved(several(saved(finer(cuts, apart), "finer"), "value"), "members")
+        if members.isEmpty():
+            return links
+        # Members of a finer group have agreed with its hub under ENOUGH hash functions.
+        pairs = candidates(more_pairs(members, hubs), 1)
+        hubs *= MORE_HUBS
+
+
+def candidates(pairs: DataFrame, enough: int) -> DataFrame:
+    """(first, a, b, second, c, d, pivot, main): tokens a..b of one text and c..d of another (or the same) that may be near-duplicates, with a place in c..d of a
+    token that both share. So many hash functions take part."""
     pair = ("first", "second")
     diagonal = Window.partitionBy(*pair).orderBy("diagonal", "c1", "k")
-    told = pairs.withColumn("diagonal", F.col("c1") - F.col("c"))
+    told = pairs.withColumns({"diagonal": F.col("c1") - F.col("c"), "pivot": F.col("c")})
     told = told.withColumn("new", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(diagonal) > DRIFT).cast("int"), F.lit(1)))
     told = told.withColumn("band", F.sum("new").over(diagonal.rowsBetween(Window.unboundedPreceding, 0)))
     along = Window.partitionBy(*pair, "band").orderBy("l1", "r1", "c1", "k")
@@ -332,9 +389,10 @@ def candidates(pairs: DataFrame) -> DataFrame:
     told = told.withColumn("apart", F.coalesce((F.col("l1") > reach).cast("int"), F.lit(1)))
     told = told.withColumn("part", F.sum("apart").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     joined = told.groupBy(*pair, "band", "part").agg(
-        F.min("l1").alias("a"), F.max("r1").alias("b"), F.min("l").alias("c"), F.max("r").alias("d"), F.size(F.collect_set("k")).alias("agree")
-    )
-    return joined.filter(F.col("agree") >= ENOUGH).select("first", "a", "b", "second", "c", "d")
+        F.min("l1").alias("a"), F.max("r1").alias("b"), F.min("l").alias("c"), F.max("r").alias("d"), F.size(F.collect_set("k")).alias("agree"),
+        F.min("pivot").alias("pivot"), F.bool_or("main").alias("main"),
+    )
+    return joined.filter(F.col("agree") >= enough).select("first", "a", "b", "second", "c", "d", "pivot", "main")
 
 
 def similar_stretches(x: np.ndarray, y: np.ndarray, least: int) -> list[tuple[int, int, int, int]]:
@@ -452,28 +510,38 @@ def stretches(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return some.join(wanted, "key").select("key", "text", "wanted").mapInArrow(cut, "row binary, low int, high int, x array<int>")
 
 
-def verified(texts: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
-    """(first, a, b, second, c, d) of the candidates that hold, ends in tokens and inclusive."""
-    cuts = saved(stretches(texts, pairs), "stretches")
+def side_by_side(cuts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs with the tokens of both stretches, as x and y."""
     second = cuts.select(F.col("row").alias("second"), F.col("low").alias("c"), F.col("high").alias("d"), F.col("x").alias("y"))
     first = cuts.select(F.col("row").alias("first"), F.col("low").alias("a"), F.col("high").alias("b"), "x")
     # A hub is the first of many pairs, so the rows are dealt out by the second in the end.
-    both = pairs.join(first, ["first", "a", "b"]).join(second, ["second", "c", "d"]).select("first", "a", "x", "second", "c", "y")
+    return pairs.join(first, ["first", "a", "b"]).join(second, ["second", "c", "d"])
+
+
+def stretch_pairs(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The tokens of both stretches of each pair: columns 2 and 5."""
+    lists = [batch.column(i) for i in (2, 5)]
+    flat = [v.flatten().to_numpy(zero_copy_only=False) for v in lists]
+    ends = [np.cumsum([0, *v.value_lengths().to_pylist()]) for v in lists]
+    for i in range(batch.num_rows):
+        yield tuple(f[e[i] : e[i + 1]] for f, e in zip(flat, ends, strict=True))
+
+
+def verified(cuts: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
+    """(first, a, b, second, c, d) of the candidates that hold, ends in tokens and inclusive."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             out = []
-            lists = [batch.column(i) for i in (2, 5)]
-            flat = [v.flatten().to_numpy(zero_copy_only=False) for v in lists]
-            ends = [np.cumsum([0, *v.value_lengths().to_pylist()]) for v in lists]
-            for i, (one, low1, other, low2) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 4)), strict=True)):
-                x, y = (f[e[i] : e[i + 1]] for f, e in zip(flat, ends, strict=True))
+            ids = zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 4)), strict=True)
+            for (one, low1, other, low2), (x, y) in zip(ids, stretch_pairs(batch), strict=True):
                 for got in similar_stretches(x, y, least):
                     out.append((one, low1 + got[0], low1 + got[1], other, low2 + got[2], low2 + got[3]))
             columns = list(zip(*out, strict=True)) or [()] * 6
             kinds = (pa.binary(), pa.int32(), pa.int32()) * 2
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds, strict=True)], ["first", "a", "b", "second", "c", "d"])
 
+    both = side_by_side(cuts, pairs).select("first", "a", "x", "second", "c", "y")
     return both.mapInArrow(verify, "first binary, a int, b int, second binary, c int, d int")
 
 
@@ -500,8 +568,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     windows = saved(repeated_windows(texts, counts, least), "windows")
     several = windows.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1")
     windows = saved(in_filter(windows, "value", bit_filter(several, "value", BITS), BITS), "windows")
-    links = saved(verified(texts, saved(candidates(hub_pairs(windows)), "pairs"), least), "links")
-    links = remaining(texts, windows, links, least)
+    links = linked(texts, windows, least)
 
     by_row = spans_of(links)
     # Overlapping stretches become one; their ends are then in words instead of shingles.
