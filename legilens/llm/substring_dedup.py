@@ -303,12 +303,30 @@ def more_pairs(members: DataFrame, hubs: int) -> DataFrame:
     return placed(each.select("k", "hub", F.expr(f"n > {hubs} and hub = least").alias("main"), "row", "l", "c", "r"))
 
 
-def spans_of(links: DataFrame) -> DataFrame:
-    """(key, n_links, spans): the verified stretches of each text, sorted."""
-    both = links.select(F.col("first").alias("row"), F.col("a").alias("low"), F.col("b").alias("high")).unionByName(
+def sides(links: DataFrame) -> DataFrame:
+    """(row, low, high): both stretches of each link."""
+    return links.select(F.col("first").alias("row"), F.col("a").alias("low"), F.col("b").alias("high")).unionByName(
         links.select(F.col("second").alias("row"), F.col("c").alias("low"), F.col("d").alias("high"))
     )
-    return both.groupBy(F.col("row").alias("key")).agg(F.count("*").alias("n_links"), F.array_sort(F.collect_set(F.struct("low", "high"))).alias("spans"))
+
+
+def spans_of(stretches: DataFrame) -> DataFrame:
+    """(key, n_links, spans): the verified stretches (row, low, high) of each text, sorted, and how many links they are of."""
+    return stretches.groupBy(F.col("row").alias("key")).agg(F.count("*").alias("n_links"), F.array_sort(F.collect_set(F.struct("low", "high"))).alias("spans"))
+
+
+def classed(classes: DataFrame | None, found: DataFrame) -> DataFrame:
+    """(node, component): the classes with the links found since; only the few classes that those join are worked on."""
+    ends = found.select("first", "second").distinct()
+    if classes is None:
+        return components(ends, "first", "second")
+    named = ends.join(classes.toDF("first", "one"), "first", "left").join(classes.toDF("second", "other"), "second", "left")
+    named = saved(named.select("first", "second", F.coalesce("one", "first").alias("la"), F.coalesce("other", "second").alias("lb")), "named")
+    nodes = classes.unionByName(named.select(F.col("first").alias("node"), F.col("la").alias("component"))).unionByName(
+        named.select(F.col("second").alias("node"), F.col("lb").alias("component"))
+    )
+    joined = components(named, "la", "lb").toDF("component", "now")
+    return saved(nodes.distinct().join(joined, "component", "left").select("node", F.coalesce("now", "component").alias("component")), "classes")
 
 
 def several(rows: DataFrame, by: str) -> DataFrame:
@@ -317,12 +335,13 @@ def several(rows: DataFrame, by: str) -> DataFrame:
     return rows.join(groups.filter("n > 1 and (named < n or least <> most)").select(by, "n"), by)
 
 
-def unsettled(pairs: DataFrame, links: DataFrame) -> DataFrame:
+def unsettled(pairs: DataFrame, links: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs of main hubs whose partners are not all of one class, with label: the class of the second text where a verified stretch covers the shared token, else null."""
-    classes = components(links.select("first", "second"), "first", "second").select(F.col("node").alias("second"), "component")
-    spans = spans_of(links).select(F.col("key").alias("second"), "spans").join(classes, "second", "left")
-    told = pairs.filter("main and first <> second").join(spans, "second", "left")
-    label = F.when(F.expr("exists(spans, s -> pivot between s.low and s.high)"), F.col("component"))
+    open_ = pairs.filter("main and first <> second")
+    looked_at = bit_filter(open_, "second", TEXT_BITS)
+    spans = spans_of(in_filter(sides(links), "row", looked_at, TEXT_BITS)).select(F.col("key").alias("second"), "spans")
+    told = open_.join(spans, "second", "left").join(classes.toDF("second", "component"), "second", "left")
+    label = F.when(F.expr("exists(spans, s -> pivot between s.low and s.high)"), F.coalesce("component", "second"))
     told = saved(told.select("first", "a", "b", "second", "c", "d", "pivot", label.alias("label")), "told")
     return several(told, "first").drop("n")
 
@@ -354,23 +373,25 @@ def finer(cuts: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "value bigint, row binary, l int, c int, r int, label binary")
 
 
-def linked(texts: DataFrame, windows: DataFrame, least: int) -> DataFrame:
-    """All links (first, a, b, second, c, d), ends in tokens and inclusive: those with the hubs of groups, then those of finer groups, level by level.
+def linked(texts: DataFrame, windows: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """All links (first, a, b, second, c, d), ends in tokens and inclusive: those with the hubs of groups, then those of finer groups, level by level. And the
+    classes (node, component) of the texts with links.
 
     A group ends when its members are of one class or have all been compared, so there are about as many levels as the logarithm of the largest group's size to the base MORE_HUBS.
     """
-    pairs, links, hubs = candidates(hub_pairs(windows), ENOUGH), None, MORE_HUBS
+    pairs, links, classes, hubs = candidates(hub_pairs(windows), ENOUGH), None, None, MORE_HUBS
     while True:
         pairs = saved(pairs, "pairs")
         cuts = saved(stretches(texts, pairs), "stretches")
-        found = verified(cuts, pairs, least)
-        links = saved(found if links is None else links.unionByName(found).distinct(), "links")
-        apart = saved(unsettled(pairs, links), "apart")
+        found = saved(verified(cuts, pairs, least), "links")
+        links = found if links is None else links.unionByName(found)
+        classes = classed(classes, found)
+        apart = saved(unsettled(pairs, links, classes), "apart")
         if apart.isEmpty():
-            return links
+            return links.distinct(), classes
         members = saved(several(saved(finer(cuts, apart), "finer"), "value"), "members")
         if members.isEmpty():
-            return links
+            return links.distinct(), classes
         # Members of a finer group have agreed with its hub under ENOUGH hash functions.
         pairs = candidates(more_pairs(members, hubs), 1)
         hubs *= MORE_HUBS
@@ -480,10 +501,7 @@ def weakest(shared: np.ndarray, diagonal: np.ndarray) -> int:
 
 def stretches(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """(row, low, high, x): the tokens low..high of each text, as 32 bits each, for every stretch that pairs name, once."""
-    sides = pairs.select(F.col("first").alias("row"), F.col("a").alias("low"), F.col("b").alias("high")).unionByName(
-        pairs.select(F.col("second").alias("row"), F.col("c").alias("low"), F.col("d").alias("high"))
-    )
-    wanted = sides.distinct().groupBy(F.col("row").alias("key")).agg(F.collect_list(F.struct("low", "high")).alias("wanted"))
+    wanted = sides(pairs).distinct().groupBy(F.col("row").alias("key")).agg(F.collect_list(F.struct("low", "high")).alias("wanted"))
     wanted = saved(wanted, "wanted")
     some = in_filter(texts, "key", bit_filter(wanted, "key", TEXT_BITS), TEXT_BITS)
 
@@ -568,9 +586,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     windows = saved(repeated_windows(texts, counts, least), "windows")
     several = windows.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1")
     windows = saved(in_filter(windows, "value", bit_filter(several, "value", BITS), BITS), "windows")
-    links = linked(texts, windows, least)
+    links, classes = linked(texts, windows, least)
 
-    by_row = spans_of(links)
+    by_row = spans_of(sides(links))
     # Overlapping stretches become one; their ends are then in words instead of shingles.
     step = (
         "aggregate(spans, cast(array() as array<struct<low:int,high:int>>), (k, s) -> if(size(k) > 0 and s.low <= element_at(k, -1).high + 1, "
@@ -578,7 +596,6 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         f"concat(k, array(s))), k -> transform(k, s -> named_struct('low', s.low, 'high', s.high + {WORDS - 1})))"
     )
     found = groups.join(by_row.select("key", "n_links", F.expr(step).alias("spans")), "key", "left").join(counted, "key", "left")
-    classes = components(links.select("first", "second"), "first", "second")
     found = found.join(classes.withColumnRenamed("node", "key"), "key", "left").withColumn("class", F.coalesce("component", "key"))
     smallest = found.groupBy("class").agg(F.min("least_id").alias("class_id"))
     whole = F.array(F.struct(F.lit(0).alias("low"), (F.col("words") - 1).alias("high")))
