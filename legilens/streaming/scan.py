@@ -39,29 +39,30 @@ def configured(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
-def started(stream: DataFrame, each: Callable[[DataFrame, int], None], progress: str, name: str | None = None, **trigger) -> StreamingQuery:
-    """A stream that gives its micro-batches to each. State and what was read are kept under progress for the next call."""
+def started(stream: DataFrame, each: Callable[[DataFrame, int], None], progress: str, name: str | None = None, closing_batch: bool = False, **trigger) -> StreamingQuery:
+    """A stream that gives its micro-batches to each. State and what was read are kept under progress for the next call. With closing_batch a run to
+    the end has a last micro-batch without data, which gives what the watermark has passed."""
     writer = stream.writeStream.foreachBatch(each).outputMode("append").option("checkpointLocation", progress).trigger(**trigger)
     # A run to the end of what is there ends then; its timers are looked at in the next run. A stream that goes on looks at them without data too.
-    settings = ordered.PROVIDER | {"spark.sql.streaming.noDataMicroBatches.enabled": str(not trigger.get("availableNow")).lower()}
+    settings = ordered.PROVIDER | {"spark.sql.streaming.noDataMicroBatches.enabled": str(closing_batch or not trigger.get("availableNow")).lower()}
     with configured(stream.sparkSession, settings):
         return (writer.queryName(name) if name else writer).start()
 
 
-def run_to_end(stream: DataFrame, each: Callable[[DataFrame, int], None], progress: str, name: str | None = None) -> StreamingQuery:
+def run_to_end(stream: DataFrame, each: Callable[[DataFrame, int], None], progress: str, name: str | None = None, closing_batch: bool = False) -> StreamingQuery:
     """Process all that is there, and wait for its end."""
-    query = started(stream, each, progress, name, availableNow=True)
+    query = started(stream, each, progress, name, closing_batch, availableNow=True)
     query.awaitTermination()
     return query
 
 
-def appended(stream: DataFrame, name: str, arrivals: Iterable = NOW, made: Callable[[DataFrame], DataFrame] = lambda batch: batch) -> DataFrame:
+def appended(stream: DataFrame, name: str, arrivals: Iterable = NOW, made: Callable[[DataFrame], DataFrame] = lambda batch: batch, closing_batch: bool = False) -> DataFrame:
     """All rows that made gives for the micro-batches of a stream, a run after each arrival. A batch that is repeated after a failure overwrites what it had written."""
     spark, path, progress = stream.sparkSession, scratch(stream.sparkSession, name), scratch(stream.sparkSession, "progress")
     schema = made(spark.createDataFrame([], stream.schema)).schema
     spark.createDataFrame([], schema).write.parquet(f"{path}/batch=-1")  # so that a stream without rows has a result
     for _ in arrivals:
-        run_to_end(stream, lambda batch, n: made(batch).write.mode("overwrite").parquet(f"{path}/batch={n}"), progress)
+        run_to_end(stream, lambda batch, n: made(batch).write.mode("overwrite").parquet(f"{path}/batch={n}"), progress, closing_batch=closing_batch)
     return spark.read.schema(schema).parquet(path).select(*schema.names)
 
 
@@ -197,13 +198,15 @@ def progress(spark: SparkSession, path: str, arrivals: Iterable = NOW, every: in
     return chained(frames, counted, lambda rows: ordered.progress(rows, every, gap), "progress", arrivals)
 
 
-def sessions(spark: SparkSession, path: str, schema, keys: tuple[str, ...], at: str, gap: int, delay: str = "0 seconds", arrivals: Iterable = NOW) -> DataFrame:
+def sessions(spark: SparkSession, path: str, schema, keys: tuple[str, ...], at: str, gap: int, delay: str = "0 seconds", arrivals: Iterable = NOW, clock: str | None = None) -> DataFrame:
     """(keys, first_ms, last_ms, n) of the rows that arrive under path as Parquet: a gap of more than gap milliseconds starts a new session.
 
-    A session is given when the watermark, the latest time seen less delay, has passed its end. Rows later than the watermark are dropped. A row
-    without keys belongs to no session, but moves the watermark: such a row at a later time ends a stream.
+    A session is given when the watermark, the latest time seen less delay, has passed its end. Rows later than the watermark are dropped. Rows with null
+    keys have sessions of their own. A row where the boolean column clock is true belongs to no session, but moves the watermark: such a row at a later time ends a stream.
     """
-    rows = spark.readStream.schema(schema).parquet(path).select(*keys, F.col(at).cast("timestamp").alias("at")).withWatermark("at", delay)
+    ticks = F.coalesce(F.col(clock), F.lit(False)) if clock else F.lit(False)
+    rows = spark.readStream.schema(schema).parquet(path).select(*keys, F.col(at).cast("timestamp").alias("at"), ticks.alias("ticks")).withWatermark("at", delay)
     ms = F.expr("unix_micros(at) div 1000")
-    windows = rows.groupBy(F.session_window("at", f"{gap + 1} milliseconds"), *keys).agg(F.min(ms).alias("first_ms"), F.max(ms).alias("last_ms"), F.count("*").alias("n"))
-    return appended(windows.drop("session_window"), "sessions", arrivals).filter(" and ".join(f"{k} is not null" for k in keys))
+    windows = rows.groupBy(F.session_window("at", f"{gap + 1} milliseconds"), *keys, "ticks").agg(F.min(ms).alias("first_ms"), F.max(ms).alias("last_ms"), F.count("*").alias("n"))
+    # Sessions that the last arrival has passed come in a micro-batch after it.
+    return appended(windows.drop("session_window"), "sessions", arrivals, closing_batch=True).filter("not ticks").drop("ticks")

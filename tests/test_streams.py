@@ -146,3 +146,20 @@ def test_sampled_frames(spark):
     rows = spark.createDataFrame(at, "recording_id string, timestamp_ms bigint, frame int")
     got = sorted((r.recording_id, r.i, r.timestamp_ms, r.frame) for r in frames.sampled_frames(of, rows).collect())
     assert got == [("a", 0, 100, 1), ("a", 1, 900, 2), ("a", 3, 2501, 5), ("b", 0, 400, 7), ("c", 0, 500, 8), ("c", 1, 500, 8), ("c", 2, 2500, 9)]
+
+
+def test_last_sessions_close(spark, tmp_path):
+    """The sessions that are open when the last rows come are given too, those of null keys among them; one that ends later than the clock is not."""
+    gap, path = 1000, str(tmp_path / "in")
+    schema = "k string, at timestamp, clock boolean"
+    told = [("a", 10.0), ("a", 10.5), ("a", 12.0), (None, 12.0), ("b", 12.5)]
+
+    def arrivals():
+        for part in (told[:2], told[2:], [("", 13.2)]):
+            rows = spark.createDataFrame([(k or None, at, k == "") for k, at in part], "k string, at double, clock boolean")
+            rows.withColumn("at", F.timestamp_millis((F.col("at") * 1000).cast("long"))).coalesce(1).write.mode("append").parquet(path)
+            yield
+
+    spark.createDataFrame([], schema).write.parquet(path)
+    got = streams.sessions(spark, path, spark.createDataFrame([], schema).schema, ("k",), "at", gap, arrivals=arrivals(), clock="clock")
+    assert sorted(map(tuple, got.collect()), key=str) == [("a", 10000, 10500, 2), ("a", 12000, 12000, 1), (None, 12000, 12000, 1)]
