@@ -12,6 +12,7 @@ the forward scores of the common prefix stay, so each node of the trie is scored
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Words whose pieces a worker remembers between batches, and the longest of them.
-REMEMBERED, SHORT = 400_000, 40
+#: Words whose pieces a worker remembers between slices of a batch, the longest of them, and the rows of a slice.
+REMEMBERED, SHORT, SLICE = 200_000, 40, 500
 #: What an unknown character scores below the worst piece.
 UNKNOWN = 10.0
 
@@ -49,7 +50,10 @@ class Vocabulary:
         # Every end of a piece, with the piece that it is: going back from a place, the search stops where no piece ends like that.
         self.ends: dict[str, tuple[float, int] | None] = {p[k:]: None for p in self.pieces for k in range(1, len(p))}
         self.ends |= self.pieces
-        self.known: dict[str, list[int]] = {}
+        # What a piece gives when it is decoded; bytes that stand for themselves are no marks.
+        self.shown = [raw.replace(MARK.encode(), b" ") if len(raw) > 2 else raw for raw in self.text]
+        # Pieces of words as 32-bit numbers. The empty word stands for a mark that a text itself holds.
+        self.known: dict[str, bytes] = {"": array("i", [self.bytes[b] for b in MARK.encode()]).tobytes()}
 
     @staticmethod
     def byte_of(model, i: int) -> int | None:
@@ -101,42 +105,29 @@ class Vocabulary:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Pieces of each text."""
-        known, split, new = self.known, [], set()
+        known, split = self.known, []
         for text in texts:
-            parts = text.split(MARK)
-            lists = [self.marked(parts[0])] if text else [[]]
-            for p in parts[1:]:
-                lists.append([MARK, *(self.words.findall(p.replace(" ", MARK)))])
-            split.append(lists)
-            for k, words in enumerate(lists):
-                new.update(words if not k else words[1:])
-        new.difference_update(known)
-        fresh = sorted(new)
-        table = dict(zip(fresh, self.encode_sorted(fresh), strict=True))
-        if len(known) + len(table) > REMEMBERED:
-            lookup = known | table
-            known.clear()
-        else:
-            lookup = None
-            known.update((w, ids) for w, ids in table.items() if len(w) <= SHORT)
-        literal = [self.bytes[b] for b in MARK.encode()]
-        out = []
-        for lists in split:
-            ids: list[int] = []
-            for k, words in enumerate(lists):
-                if k:
-                    ids.extend(literal)
-                for w in words[1:] if k else words:
-                    ids.extend((lookup or known).get(w) or table[w])
-            out.append(np.array(ids, np.int32))
+            first, *others = text.split(MARK)
+            words = self.marked(first) if text else []
+            for p in others:
+                words.append("")
+                words += self.words.findall(p.replace(" ", MARK))
+            split.append(words)
+        used = set().union(*split)
+        fresh = sorted(used.difference(known))
+        known.update((w, array("i", ids).tobytes()) for w, ids in zip(fresh, self.encode_sorted(fresh), strict=True))
+        out = [np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32) for words in split]
+        for w in fresh:
+            if len(w) > SHORT:
+                del known[w]
+        if len(known) > REMEMBERED:  # the words of these texts are left
+            used.add("")
+            self.known = {w: known[w] for w in used if w in known}
         return out
 
     def decode(self, ids: np.ndarray) -> str:
         """The text that the pieces were made from."""
-        mark, out = MARK.encode(), []
-        for raw in map(self.text.__getitem__, ids.tolist()):
-            out.append(raw.replace(mark, b" ") if len(raw) > 2 else raw)
-        return b"".join(out).decode("utf-8", "replace")[1:]
+        return b"".join(map(self.shown.__getitem__, ids.tolist())).decode("utf-8", "replace")[1:]
 
 
 @lru_cache(maxsize=2)
@@ -145,6 +136,18 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, some at once."""
+    for low in range(0, batch.num_rows, SLICE):
+        yield batch.slice(low, SLICE)
+
+
+def listed(ids: list[np.ndarray]) -> pa.ListArray:
+    """Arrays as one column of lists."""
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
+
+
 def encode(docs: DataFrame, model: str = MODEL, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """docs with the piece ids of each text in place of the text. A null text counts as empty; the empty text has no pieces. A column of the
     name ids_col is replaced."""
@@ -155,11 +158,8 @@ def encode(docs: DataFrame, model: str = MODEL, text_col: str = "text", ids_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(model)
         for b in batches:
-            for low in range(0, b.num_rows, 500):
-                part = b.slice(low, 500)
-                ids = words.encode([x or "" for x in part.column(at).to_pylist()])
-                offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.array([], np.int32)))
+            for part in slices(b):
+                lists = listed(words.encode([x or "" for x in part.column(at).to_pylist()]))
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in rest), lists], [*(cols[i] for i in rest), ids_col])
 
     schema = ", ".join([*(f"`{cols[i]}` {docs.schema[i].dataType.simpleString()}" for i in rest), f"`{ids_col}` array<int>"])
@@ -187,9 +187,19 @@ def decode(encoded: DataFrame, model: str = MODEL, ids_col: str = "ids", text_co
 
 def tokenised(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, ids, round_trip (whether the ids decode to the very text)."""
-    encoded = encode(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("was")), model)
-    both = decode(encoded.withColumn("pieces", F.col("ids")), model)
-    return both.select("doc_id", F.size("pieces").cast("long").alias("n_tokens"), F.col("pieces").alias("ids"), (F.xxhash64("text") == F.col("was")).alias("round_trip"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = vocabulary(model)
+        for b in batches:
+            for part in slices(b):
+                texts = [x or "" for x in part.column(1).to_pylist()]
+                ids = words.encode(texts)
+                same = [words.decode(x) == text for x, text in zip(ids, texts, strict=True)]
+                columns = [part.column(0), pa.array([len(x) for x in ids], pa.int64()), listed(ids), pa.array(same, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "round_trip"])
+
+    # Both ways in one pass, so that one worker a core does it and the ids are not handed over twice.
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids array<int>, round_trip boolean")
 
 
 def op4_sentencepiece(spark, sf_dir: str) -> DataFrame:

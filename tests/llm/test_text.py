@@ -53,6 +53,19 @@ def test_sentencepiece_round_trip(spark):
     assert sentencepiece.tokenised(cases.empty(spark)).count() == 0
 
 
+def test_sentencepiece_in_one_pass(spark, monkeypatch):
+    """One Python worker a core holds a vocabulary, and what it remembers stays small and changes no result."""
+    made = sentencepiece.tokenised(cases.table(spark))
+    assert made._jdf.queryExecution().toString().split("== Physical Plan ==")[1].count("MapInArrow") == 1
+    texts = [cases.words(60, k, 10**6) + " ▁ " + "long" * 20 for k in range(8)]
+    v = sentencepiece.Vocabulary(sentencepiece.MODEL)
+    want = [x.tolist() for x in v.encode(texts)]
+    monkeypatch.setattr(sentencepiece, "REMEMBERED", 50)
+    small = sentencepiece.Vocabulary(sentencepiece.MODEL)
+    assert [small.encode([t])[0].tolist() for t in texts] == want and len(small.known) < 80
+    assert not any(len(w) > sentencepiece.SHORT for w in small.known)
+
+
 PATTERNS = (
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
     ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
