@@ -6,8 +6,11 @@ is two permutations, four values. Two sets meet in a cell when a whole band agre
 pair in 20 million.
 
 A cell is never joined with itself. Its hub, the member that shares the most cells with others, is paired with the members of other
-components; pairs that can't link by their sizes, or by what they share with an earlier hub, are left out, the rest are verified on the full sets of words, and components are merged. Where the members left are still of
+components; pairs that can't link by their sizes, by what they share with an earlier hub, or by their sketches, are left out, the rest are verified on the full sets of words, and components are merged. A sketch
+has a bit for each of SKETCH values of a shingle's hash: whether an odd number of shingles have it. Two sketches differ in no more bits than the sets have shingles that are not common, so no link is lost, and
+most pairs just under the threshold end there. Where the members left are still of
 several components, they are dealt into finer cells, by shingles that two of them must share to link: such that the hub lacks, where a set has too few in common with it (finer).
+Before that, each cell has HUBS hubs in place of one, which is all of most cells' members.
 Finer cells take more hubs, many times more at each level, until all members are of one component or have been hubs: every pair of members has then been compared, or is of one component, or can't link.
 """
 
@@ -34,8 +37,10 @@ CHUNK = 1024
 NUMBERED, FITS = 1 << 20, 1 << 21
 #: Bits of the filter of the texts that are verified: 2 MB.
 TEXT_BITS = 1 << 24
-#: How many times more hubs a cell has at each level.
-MORE_HUBS = 16
+#: Hubs of a cell when its first hub's component is known, and how many times more at each level of finer cells. Most of them cost no more than a look at sketches.
+HUBS, MORE_HUBS = 128, 16
+#: Bits of a sketch, as a power of two.
+SKETCH = 10
 
 _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, (2, PERMUTATIONS + 8), np.uint64) * np.uint64(2) + np.uint64(1)
 FIRST, SECOND = _ODD[0, :PERMUTATIONS, None], _ODD[1, :PERMUTATIONS, None]
@@ -108,22 +113,31 @@ def cells(of: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def sketch(x: np.ndarray) -> np.ndarray:
+    """For each value of the upper SKETCH bits whether an odd number of the hashes x have it, as bits of 64-bit numbers."""
+    odd = np.bincount((x >> np.uint64(64 - SKETCH)).astype(np.int64), minlength=1 << SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def prints(keyed: DataFrame) -> DataFrame:
-    """(doc_id, key, n, cells) of rows (doc_id, key, text): the number of distinct shingles, and the cells of the set (none of an empty one)."""
+    """(doc_id, key, n, cells, sketch) of rows (doc_id, key, text): the number of distinct shingles, and the cells and the sketch of the set (no cells of an empty one)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = Numbers()
         for b in batches:
-            sizes, found = [], []
+            sizes, found, sketches = [], [], []
             for text in b.column(2).to_pylist():
                 if len(numbers) > NUMBERED:
                     numbers = Numbers()
                 some = shingles(words_of(text), numbers)
                 sizes.append(len(some))
-                found.append(cells(signature(hashed(some, numbers.hashes))) if len(some) else [])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "key", "n", "cells"])
+                x = hashed(some, numbers.hashes)
+                found.append(cells(signature(x)) if len(x) else [])
+                sketches.append(sketch(x))
+            lists = [pa.array(v, pa.list_(pa.int64())) for v in (found, sketches)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), *lists], ["doc_id", "key", "n", "cells", "sketch"])
 
-    return keyed.select("doc_id", "key", "text").mapInArrow(run, f"doc_id {keyed.schema['doc_id'].dataType.simpleString()}, key binary, n bigint, cells array<bigint>")
+    return keyed.select("doc_id", "key", "text").mapInArrow(run, f"doc_id {keyed.schema['doc_id'].dataType.simpleString()}, key binary, n bigint, cells array<bigint>, sketch array<bigint>")
 
 
 Shingles = set[tuple[bytes, ...]]
@@ -203,28 +217,31 @@ def finer(pairs: DataFrame, texts: DataFrame, similar: int) -> DataFrame:
 
 
 def mixed(members: DataFrame) -> DataFrame:
-    """The members (cell, node, label, ...) of cells with several labels."""
-    some = members.groupBy("cell").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("cell")
+    """The members (cell, node, label, ...) of cells with several labels, with the size of their cell."""
+    some = members.groupBy("cell").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).filter("low < high").select("cell", "size")
     return members.join(some, "cell")
 
 
 def link(nodes: DataFrame, texts: DataFrame, similar: int = SIMILAR) -> DataFrame:
-    """(node, label) of the nodes (node, key, n, cells) that share a cell with another; nodes of one component have one label. texts has key, text."""
+    """(node, label) of the nodes (node, key, n, cells, sketch) that share a cell with another; nodes of one component have one label. texts has key, text."""
     every = nodes.select("node", "n", F.explode("cells").alias("cell"))
     shared = every.groupBy("cell").agg(F.count("*").alias("size")).filter("size > 1")
     grid = saved(every.join(shared, "cell"), "grid")
-    known = saved(grid.groupBy("node").agg(F.max("n").alias("n"), F.sum("size").alias("met")).withColumn("label", F.col("node")), "known")
+    known = saved(grid.groupBy("node").agg(F.max("n").alias("n"), F.sum("size").alias("met")).join(nodes.select("node", "sketch"), "node").withColumn("label", F.col("node")), "known")
     wanted = nodes.join(known.select("node"), "node").select("key", "node")
     wanted = saved(in_filter(texts, "key", bit_filter(wanted, "key", TEXT_BITS), TEXT_BITS).join(wanted, "key").dropDuplicates(["node"]).select("node", "text"), "texts")
+    differ = " + ".join(f"bit_count(sketch[{k}] ^ hub.sketch[{k}])" for k in range((1 << SKETCH) // 64))
     members, compared, hubs_of_cell = grid.select("cell", "node", F.col("n").alias("c")), None, 1
     while True:
         live = saved(mixed(members.join(known, "node")), "live")
         if live.isEmpty():
             break
-        hubs = live.groupBy("cell", F.pmod("node", F.lit(hubs_of_cell)).alias("k")).agg(F.max(F.struct("met", "node", "n", "label", "c")).alias("hub"))
+        slot = F.when(F.col("size") <= hubs_of_cell, F.col("node")).otherwise(F.pmod("node", F.lit(hubs_of_cell)))
+        hubs = live.groupBy("cell", slot.alias("k")).agg(F.max(F.struct("met", "node", "n", "label", "c", "sketch")).alias("hub"))
         hubs = saved(hubs.select("cell", "hub"), "hubs")
         # Two sets share at most the lesser of what they have of the hub that made their cell, and the lesser of the rest.
-        possible = F.expr(f"label <> hub.label and {100 + similar} * (least(c, hub.c) + least(n - c, hub.n - hub.c)) >= {similar} * (n + hub.n)")
+        possible = f"label <> hub.label and {100 + similar} * (least(c, hub.c) + least(n - c, hub.n - hub.c)) >= {similar} * (n + hub.n)"
+        possible = F.expr(f"{possible} and {100 + similar} * ({differ}) <= {100 - similar} * (n + hub.n)")
         ends = [F.struct("met", "node", "label"), F.struct("hub.met", "hub.node", "hub.label")]
         pairs = live.join(hubs, "cell").filter(possible).select(F.greatest(*ends).alias("x"), F.least(*ends).alias("y"))
         pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb")).distinct()
@@ -234,16 +251,17 @@ def link(nodes: DataFrame, texts: DataFrame, similar: int = SIMILAR) -> DataFram
         now = pairs.select("a", "b")
         compared = now if compared is None else compared.unionByName(now)
         merged = components(verified(pairs, wanted, similar), "la", "lb").select(F.col("node").alias("label"), "component")
-        known = saved(known.join(merged, "label", "left").select("node", "n", "met", F.coalesce("component", "label").alias("label")), "known")
+        known = saved(known.join(merged, "label", "left").select("node", "n", "met", "sketch", F.coalesce("component", "label").alias("label")), "known")
         left = live.select("cell", "node").join(hubs.select("cell", F.col("hub.node").alias("node")), ["cell", "node"], "left_anti")
         first = hubs.groupBy("cell").agg(F.max("hub").alias("hub"))
         several = mixed(left.join(known.select("node", "n", "label"), "node")).join(first, "cell")
-        by_hub = saved(several.select(F.col("hub.node").alias("a"), F.col("node").alias("b"), "n").distinct(), "by_hub")
-        if by_hub.isEmpty():
-            break
-        least = by_hub.groupBy("a").agg(F.min("n").alias("lb"))
-        members = saved(finer(by_hub.join(least, "a").select("a", "b", F.col("n").alias("la"), "lb"), wanted, similar), "members")
-        hubs_of_cell *= MORE_HUBS
+        if hubs_of_cell > 1:  # few cells are left when the first hubs' components are known, so these have further hubs before finer ones are made
+            by_hub = saved(several.select(F.col("hub.node").alias("a"), F.col("node").alias("b"), "n").distinct(), "by_hub")
+            if by_hub.isEmpty():
+                break
+            least = by_hub.groupBy("a").agg(F.min("n").alias("lb"))
+            members = saved(finer(by_hub.join(least, "a").select("a", "b", F.col("n").alias("la"), "lb"), wanted, similar), "members")
+        hubs_of_cell = hubs_of_cell * MORE_HUBS if hubs_of_cell > 1 else HUBS
     return known.select("node", "label")
 
 
@@ -256,9 +274,9 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     keyed = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("key", text_key(F.col("text")))
     told = saved(prints(keyed), "prints")
-    once = told.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("cells").alias("cells"))
+    once = told.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("cells").alias("cells"), F.first("sketch").alias("sketch"))
     nodes = saved(once.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    labels = link(nodes.select("node", "key", "n", "cells"), keyed.select("key", "text"), similar)
+    labels = link(nodes.select("node", "key", "n", "cells", "sketch"), keyed.select("key", "text"), similar)
     named = nodes.select("node", "key", "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = saved(named, "named")
     smallest = named.groupBy("label").agg(F.min("least").alias("component_id"))

@@ -109,3 +109,27 @@ def test_many_different_words(monkeypatch):
     monkeypatch.setattr(minhash, "FITS", 4)
     text = cases.words(300, 4)
     assert len(minhash.shingles(minhash.words_of(text), minhash.Numbers())) == len(plain_set(text))
+
+
+def test_sketches_lose_no_link():
+    """Two sketches differ in no more bits than the sets in shingles, also of long texts."""
+    numbers = minhash.Numbers()
+    for s, length in enumerate((3, 80, 400, 3000)):
+        texts = variants(s, 6, 1 + length // 40, length)
+        found = [minhash.sketch(minhash.hashed(minhash.shingles(minhash.words_of(t), numbers), numbers.hashes)) for t in texts]
+        for x, t in zip(found, texts, strict=True):
+            for y, u in zip(found, texts, strict=True):
+                differ = sum(int(v).bit_count() for v in (x ^ y).view(np.uint64))
+                assert differ <= len(plain_set(t) ^ plain_set(u))
+                assert length > 400 or differ >= 0.7 * len(plain_set(t) ^ plain_set(u))
+
+
+def test_variants_just_under_the_threshold_are_not_verified_pair_by_pair(spark, monkeypatch):
+    """Variants of a text that is not there itself: nearly all of their pairs are similar in 79 percent. The sets of few are compared."""
+    seen = []
+    real = minhash.verified
+    monkeypatch.setattr(minhash, "verified", lambda pairs, *a: seen.append(pairs.count()) or real(pairs, *a))
+    rows = list(enumerate(variants(5, 160, 4, 200)[1:]))
+    assert sorted(map(tuple, minhash.minhash_dedup(table(spark, rows)).collect()), key=str) == plain(rows)
+    print("verified", seen)
+    assert sum(seen) < len(rows) / 2
