@@ -292,14 +292,23 @@ def placed(each: DataFrame) -> DataFrame:
 
 
 def more_pairs(members: DataFrame, hubs: int) -> DataFrame:
-    """The pairs of finer groups (value, n, row, l, c, r): every member with each of so many hubs, all members with each other in groups of no more than that."""
+    """The pairs of finer groups (value, n, row, l, c, r): every member with each of so many hubs, all members with each other in groups of no more than that.
+
+    Two members of several such small groups mostly share tokens one after the other: a pair is left out where the token before, as far off in both, is shared in a small group too. That pair
+    has the same ends and diagonal and an earlier place, so candidates() makes the same of what is left.
+    """
     place = F.struct("row", "c", "l", "r")
-    told = members.select("value", "n", "row", "l", "c", "r", place.alias("place"), F.lit(0).alias("k"))
+    small = F.col("n") <= hubs
+    along = Window.partitionBy("row", "l", "r", small).orderBy("c", "value")
+    before = F.when(small, F.struct(F.lag("value").over(along).alias("value"), (F.col("c") - F.lag("c").over(along)).alias("gap")))
+    told = members.select("value", "n", "row", "l", "c", "r", place.alias("place"), F.lit(0).alias("k"), before.alias("before"))
     slot = F.when(F.col("n") <= hubs, F.xxhash64("place")).otherwise(F.pmod(F.xxhash64("row"), F.lit(hubs)))
-    chosen = told.groupBy("value", slot.alias("slot")).agg(F.min("place").alias("hub"))
+    chosen = told.groupBy("value", slot.alias("slot")).agg(F.min(F.struct("place", "before")).alias("first"))
+    chosen = chosen.select("value", F.col("first.place").alias("hub"), F.col("first.before").alias("hub_before"))
     least = chosen.groupBy("value").agg(F.min("hub").alias("least"))
-    each = told.join(chosen.select("value", "hub").join(least, "value"), "value")
-    each = each.filter(F.expr(f"if(n <= {hubs}, place > hub, place <> hub and place <> least)"))
+    each = told.join(chosen.join(least, "value"), "value")
+    new = "before.value is null or hub_before.value is null or before <> hub_before"
+    each = each.filter(F.expr(f"if(n <= {hubs}, place > hub and ({new}), place <> hub and place <> least)"))
     return placed(each.select("k", "hub", F.expr(f"n > {hubs} and hub = least").alias("main"), "row", "l", "c", "r"))
 
 

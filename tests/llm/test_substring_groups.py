@@ -1,6 +1,8 @@
 """Large groups: many families of variants that have a common line, against all pairs with a verification of its own."""
 
 import pytest
+from pyspark.sql import functions as F
+
 from legilens.llm import substring_dedup
 from tests.llm import cases
 
@@ -45,3 +47,28 @@ def test_families_with_a_common_line(spark, families, each, line, passage, chang
     print("recall", len(met), len(wanted))
     assert len(met) >= 0.95 * len(wanted)
     assert all(made[k][0] == made[got[k].class_id][0] for k in got)  # no family is linked with another
+
+
+@pytest.mark.parametrize("hubs", [8, 64])
+def test_pairs_of_finer_groups_are_made_once_for_tokens_in_a_row(spark, hubs):
+    """Members that share many tokens one after the other, some moved, some apart: a few pairs for each two, and the candidates of all pairs."""
+    members = []
+    for i in range(24):
+        row, shift = i.to_bytes(2, "big"), 3 * (i % 4)
+        for t in range(32):
+            at = 40 + shift + t + (50 if t >= 20 and i % 3 == 0 else 0)
+            if t != i % 7 or i % 2:
+                members.append((t if t % 11 else 1000 + 100 * t + i % 5, bytearray(row), 10 + shift, at, 200 + shift))
+    of = {}
+    for m in members:
+        of.setdefault(m[0], []).append(m)
+    table = spark.createDataFrame([(v, len(x), *m[1:]) for v, x in of.items() for m in x if len(x) > 1], "value bigint, n bigint, row binary, l int, c int, r int")
+    got = substring_dedup.more_pairs(table, hubs)
+    ends = ("first", "a", "b", "second", "c", "d", "pivot", "main")
+    every = [(0, bytes(x[1]), *x[2:5], bytes(y[1]), *y[2:5], False) for v in of.values() if len(v) <= hubs for x in v for y in v if (bytes(x[1]), x[3], x[2], x[4]) < (bytes(y[1]), y[3], y[2], y[4])]
+    plain = spark.createDataFrame(every, "k int, first binary, l1 int, c1 int, r1 int, second binary, l int, c int, r int, main boolean")
+    shown = lambda df: sorted(tuple(map(str, r)) for r in df.select(*ends).collect())
+    if hubs < 24:
+        plain = plain.unionByName(got)
+    assert shown(substring_dedup.candidates(got, 1)) == shown(substring_dedup.candidates(plain.distinct(), 1))
+    assert hubs < 24 or got.count() < len(every) / 4
