@@ -43,12 +43,14 @@ PLACE = np.uint64((1 << 24) - 1)
 BITS = 1 << 26
 #: Bits of the filter of texts that have candidates: 2 MB.
 TEXT_BITS = 1 << 24
+#: Tokens on either side of a shared one that members of a group are told apart by.
+AROUND = 45
 #: How far apart the diagonals of one passage's windows may be, in tokens: insertions and deletions shift them.
 DRIFT = 12
 #: Tokens on either side of a shared one, the nearest that a hub lacks, that make finer groups.
 NEAR = 16
 #: Hubs of a finer group, and how many times more at each further level.
-MORE_HUBS = 8
+MORE_HUBS = 32
 
 # One odd multiplier for each hash function.
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
@@ -229,6 +231,15 @@ def anchor_counts(texts: DataFrame, least: int) -> DataFrame:
     return texts.select("text").mapInArrow(run, "value bigint, n bigint").groupBy("value").agg(F.sum("n").alias("n"))
 
 
+def contexts(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """A hash of the tokens around each place, AROUND on either side or as many as there are: passages that agree there have the same one."""
+    base = int(ODD[3])
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((x ^ (x >> np.uint64(31))) * ODD[5] * powers(len(x), base)[: len(x)])))
+    low, high = np.maximum(c - AROUND, 0), np.minimum(c + AROUND + 1, len(x))
+    h = (sums[high] - sums[low]) * powers(len(x), pow(base, -1, 1 << 64))[low]
+    return (h ^ (h >> np.uint64(32))).view(np.int64)
+
+
 def regions(low: np.ndarray, high: np.ndarray, n: int, least: int) -> list[tuple[int, int]]:
     """Half-open stretches of a text of n tokens where a passage may lie: what repeated anchors stand for (inclusive ends, sorted), widened by least
     on both sides. Beyond that there are only common stretches of under RUN tokens, whose similarity is 0.7 at most: a passage may lose such an end."""
@@ -243,13 +254,13 @@ def regions(low: np.ndarray, high: np.ndarray, n: int, least: int) -> list[tuple
 
 
 def repeated_windows(texts: DataFrame, counts: DataFrame, least: int) -> DataFrame:
-    """(value, k, row, l, c, r) of the compact windows of all regions around repeated anchors."""
+    """(value, k, row, l, c, r, around) of the compact windows of all regions around repeated anchors."""
     sent = texts.sparkSession.sparkContext.broadcast(filter_bytes(bit_filter(counts, "value", BITS, hashed=True), BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(sent.value, np.uint8)
         for b in sliced(batches):
-            keys, places, rows = [], [], []
+            keys, places, rows, around = [], [], [], []
             for row, x in zip(b.column(0).to_pylist(), tokens_of(b.column(1)), strict=True):
                 if len(x) >= least:
                     value, low, high = anchors(x)
@@ -258,28 +269,35 @@ def repeated_windows(texts: DataFrame, counts: DataFrame, least: int) -> DataFra
                     for start, end in regions(low[hit], high[hit], len(x), least):
                         key, place = all_windows(x[start:end], least)
                         place[:, 1:] += start
+                        around.append(contexts(x[start:end], place[:, 2] - start))
                         keys.append(key)
                         places.append(place)
                         rows += [row] * len(key)
             if keys:
                 place = np.concatenate(places)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(place[:, 0]), pa.array(rows, pa.binary()), *(pa.array(place[:, i]) for i in (1, 2, 3))],
-                    ["value", "k", "row", "l", "c", "r"],
+                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(place[:, 0]), pa.array(rows, pa.binary()), *(pa.array(place[:, i]) for i in (1, 2, 3)), pa.array(np.concatenate(around))],
+                    ["value", "k", "row", "l", "c", "r", "around"],
                 )
 
-    return texts.select("key", "text").mapInArrow(run, "value bigint, k int, row binary, l int, c int, r int")
+    return texts.select("key", "text").mapInArrow(run, "value bigint, k int, row binary, l int, c int, r int, around bigint")
 
 
-def hub_pairs(windows: DataFrame) -> DataFrame:
-    """Each window with its group's first, and in groups of three or more with its last one as well: k, both places, and main: whether the hub is the first of a
-    group in which not all windows are compared so."""
+def main_hubs(members: DataFrame) -> DataFrame:
+    """(value, hub, low, high, size): of each group its first and last member, and as hub the first of those members whose surroundings most members have. A text with a change of its own there would
+    lack what the others share, and leave all of them to finer groups."""
     place = F.struct("row", "c", "l", "r")
-    ends = windows.groupBy("value").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count("*").alias("n")).filter("n > 1")
-    # Every member with the first window, and in groups of three or more the others with the last one as well.
-    hubs = F.when((F.col("n") > 2) & (place != F.col("low")), F.array("low", "high")).otherwise(F.array("low"))
-    each = windows.join(ends, "value").select("k", F.posexplode(hubs).alias("at", "hub"), F.expr("n > 3 and at = 0").alias("main"), "row", "l", "c", "r")
-    return placed(each)
+    kinds = members.groupBy("value", "around").agg(F.count("*").alias("n"), F.min(place).alias("hub"), F.max(place).alias("last"))
+    best = kinds.groupBy("value").agg(F.min(F.struct((-F.col("n")).alias("less"), "hub")).alias("best"), F.min("hub").alias("low"), F.max("last").alias("high"), F.sum("n").alias("size"))
+    return best.select("value", "best.hub", "low", "high", "size")
+
+
+def hub_pairs(windows: DataFrame) -> DataFrame:
+    """Each window with its group's main hub, and with the first and the last one, which are more often the same for all windows of two texts: k, both places, and
+    main: whether the hub is the main one of a group in which not all windows are compared so."""
+    hubs = F.array_except(F.array_distinct(F.array("hub", "low", "high")), F.array(F.struct("row", "c", "l", "r")))
+    each = windows.join(main_hubs(windows).filter("size > 1"), "value").select("k", F.explode(hubs).alias("at"), "hub", "size", "row", "l", "c", "r")
+    return placed(each.select("k", F.col("at").alias("hub"), F.expr("size > 3 and at = hub").alias("main"), "row", "l", "c", "r"))
 
 
 def placed(each: DataFrame) -> DataFrame:
@@ -291,24 +309,31 @@ def placed(each: DataFrame) -> DataFrame:
     return pairs.filter("first <> second or c1 <> c")
 
 
-def more_pairs(members: DataFrame, hubs: int) -> DataFrame:
+def more_pairs(members: DataFrame, hubs: int, most: DataFrame | None = None) -> DataFrame:
     """The pairs of finer groups (value, n, row, l, c, r): every member with each of so many hubs, all members with each other in groups of no more than that.
 
+    With most (value, hub), members have open too: whether they are to be compared with all others, n is the number of those, and larger groups have that hub only. The rest
+    of a group is of one class already, and is compared with those that are open.
+
     Two members of several such small groups mostly share tokens one after the other: a pair is left out where the token before, as far off in both, is shared in a small group too. That pair
     has the same ends and diagonal and an earlier place, so candidates() makes the same of what is left.
     """
-    place = F.struct("row", "c", "l", "r")
-    small = F.col("n") <= hubs
-    along = Window.partitionBy("row", "l", "r", small).orderBy("c", "value")
+    place, small = F.struct("row", "c", "l", "r"), F.col("n") <= hubs
+    if most is None:
+        members = members.withColumn("open", F.lit(True))
+    along = Window.partitionBy("row", "l", "r", "open", small).orderBy("c", "value")
     before = F.when(small, F.struct(F.lag("value").over(along).alias("value"), (F.col("c") - F.lag("c").over(along)).alias("gap")))
-    told = members.select("value", "n", "row", "l", "c", "r", place.alias("place"), F.lit(0).alias("k"), before.alias("before"))
-    slot = F.when(F.col("n") <= hubs, F.xxhash64("place")).otherwise(F.pmod(F.xxhash64("row"), F.lit(hubs)))
-    chosen = told.groupBy("value", slot.alias("slot")).agg(F.min(F.struct("place", "before")).alias("first"))
+    told = members.select("value", "n", "open", "row", "l", "c", "r", place.alias("place"), F.lit(0).alias("k"), before.alias("before"))
+    slot = F.when(small, F.xxhash64("place")).otherwise(F.pmod(F.xxhash64("row"), F.lit(hubs)))
+    chosen = (told if most is None else told.filter(small & F.col("open"))).groupBy("value", slot.alias("slot")).agg(F.min(F.struct("place", "before")).alias("first"))
     chosen = chosen.select("value", F.col("first.place").alias("hub"), F.col("first.before").alias("hub_before"))
+    if most is not None:
+        large = members.filter(~small).select("value").distinct()
+        chosen = chosen.unionByName(most.join(large, "value", "left_semi").withColumn("hub_before", F.lit(None)).select("value", "hub", "hub_before"))
     least = chosen.groupBy("value").agg(F.min("hub").alias("least"))
     each = told.join(chosen.join(least, "value"), "value")
     new = "before.value is null or hub_before.value is null or before <> hub_before"
-    each = each.filter(F.expr(f"if(n <= {hubs}, place > hub and ({new}), place <> hub and place <> least)"))
+    each = each.filter(F.expr(f"if(n <= {hubs}, (place > hub or not open) and ({new}), place <> hub and place <> least)"))
     return placed(each.select("k", "hub", F.expr(f"n > {hubs} and hub = least").alias("main"), "row", "l", "c", "r"))
 
 
@@ -339,9 +364,12 @@ def classed(classes: DataFrame | None, found: DataFrame) -> DataFrame:
 
 
 def several(rows: DataFrame, by: str) -> DataFrame:
-    """The rows, with the size n of their group, of groups with several rows that are not all of one label; a row without label is of none."""
+    """The rows of groups with several rows that are not all of one label; a row without label is of none. With open: whether a row has to be compared with all others, as it
+    has no label or there are several; and their number n in the group."""
     groups = rows.groupBy(by).agg(F.count("*").alias("n"), F.count("label").alias("named"), F.min("label").alias("least"), F.max("label").alias("most"))
-    return rows.join(groups.filter("n > 1 and (named < n or least <> most)").select(by, "n"), by)
+    groups = groups.filter("n > 1 and (named < n or least <> most)").select(by, F.expr("coalesce(least <> most, false)").alias("mixed"), "n", "named")
+    told = rows.join(groups, by).withColumn("open", F.expr("mixed or label is null")).withColumn("n", F.expr("if(mixed, n, n - named)"))
+    return told.drop("mixed", "named")
 
 
 def unsettled(pairs: DataFrame, links: DataFrame, classes: DataFrame) -> DataFrame:
@@ -352,7 +380,7 @@ def unsettled(pairs: DataFrame, links: DataFrame, classes: DataFrame) -> DataFra
     told = open_.join(spans, "second", "left").join(classes.toDF("second", "component"), "second", "left")
     label = F.when(F.expr("exists(spans, s -> pivot between s.low and s.high)"), F.coalesce("component", "second"))
     told = saved(told.select("first", "a", "b", "second", "c", "d", "pivot", label.alias("label")), "told")
-    return several(told, "first").drop("n")
+    return several(told, "first").drop("n", "open")
 
 
 def finer(cuts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -361,7 +389,7 @@ def finer(cuts: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            keys, places, of = [], [], []
+            keys, places, of, around = [], [], [], []
             for i, (x, y) in enumerate(stretch_pairs(batch)):
                 lacking = np.flatnonzero(~np.isin(y, x))
                 middle = int(np.searchsorted(lacking, batch.column(6)[i].as_py() - batch.column(4)[i].as_py()))
@@ -369,17 +397,19 @@ def finer(cuts: DataFrame, pairs: DataFrame) -> DataFrame:
                 hub = np.uint64(int.from_bytes(batch.column(0)[i].as_py()[:8], "little"))
                 key = (y[near].view(np.uint32).astype(np.uint64) * ODD[0] ^ hub) * ODD[1]
                 keys.append(key ^ (key >> np.uint64(31)))
+                around.append(contexts(y.view(np.uint32).astype(np.uint64), near))
                 places.append(near + batch.column(4)[i].as_py())
                 of.append(np.full(len(near), i))
             if keys:
                 rows = pa.array(np.concatenate(of))
                 second, low, high, label = (batch.column(k).take(rows) for k in (3, 4, 8, 7))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).view(np.int64)), second, low, pa.array(np.concatenate(places).astype(np.int32)), high, label], ["value", "row", "l", "c", "r", "label"]
+                    [pa.array(np.concatenate(keys).view(np.int64)), second, low, pa.array(np.concatenate(places).astype(np.int32)), high, label, pa.array(np.concatenate(around))],
+                    ["value", "row", "l", "c", "r", "label", "around"],
                 )
 
     both = side_by_side(cuts, pairs).select("first", "a", "x", "second", "c", "y", "pivot", "label", "d")
-    return both.mapInArrow(run, "value bigint, row binary, l int, c int, r int, label binary")
+    return both.mapInArrow(run, "value bigint, row binary, l int, c int, r int, label binary, around bigint")
 
 
 def linked(texts: DataFrame, windows: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
@@ -402,7 +432,7 @@ def linked(texts: DataFrame, windows: DataFrame, least: int) -> tuple[DataFrame,
         if members.isEmpty():
             return links.distinct(), classes
         # Members of a finer group have agreed with its hub under ENOUGH hash functions.
-        pairs = candidates(more_pairs(members, hubs), 1)
+        pairs = candidates(more_pairs(members, hubs, main_hubs(members)), 1)
         hubs *= MORE_HUBS
 
 
@@ -466,6 +496,8 @@ def similar_stretches(x: np.ndarray, y: np.ndarray, least: int) -> list[tuple[in
         # For each end the first start from which the sum is not negative: lowest falls, so it is found by bisection.
         begin = np.searchsorted(-lowest, -total - 1e-9)
         stop = int(np.argmax(np.arange(len(total)) - begin))
+        if stop - int(begin[stop]) < least:  # nor has any part a longer one
+            continue
         first = low + int(begin[stop])
         inside = np.flatnonzero(shared[first : low + stop])
         if not len(inside):

@@ -1,5 +1,7 @@
 """Large groups: many families of variants that have a common line, against all pairs with a verification of its own."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,3 +74,36 @@ def test_pairs_of_finer_groups_are_made_once_for_tokens_in_a_row(spark, hubs):
         plain = plain.unionByName(got)
     assert shown(substring_dedup.candidates(got, 1)) == shown(substring_dedup.candidates(plain.distinct(), 1))
     assert hubs < 24 or got.count() < len(every) / 4
+
+
+def test_many_variants_of_one_passage_take_few_pairs(spark, monkeypatch):
+    """Members that each have changes of their own: the hub of a group is one without a change there, so that few are left to finer groups."""
+    base, r, n, rows = cases.words(150, 7, 10**6).split(), random.Random(3), 240, []
+    for k in range(n):
+        words = base[:]
+        for at in r.sample(range(150), 3):
+            words[at] = f"v{k}x{at}"
+        rows.append((k, " ".join(words)))
+    made, real = [], substring_dedup.more_pairs
+
+    def counted(*args):
+        made.append(real(*args).count())
+        return real(*args)
+
+    monkeypatch.setattr(substring_dedup, "more_pairs", counted)
+    got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    print("pairs of finer groups", made)
+    assert all(x.class_id == 0 and x.passages for x in got) and len(got) == n
+    assert sum(made) <= 20 * n
+
+
+def test_open_members_meet_all_others(spark):
+    """In a group of one class but for some, those are compared with each other and with the rest; the rest is not compared again."""
+    rows = [(1, bytes([k]), 0, 50, 100, b"x" if k > 2 else None, k % 2) for k in range(40)]
+    members = substring_dedup.several(spark.createDataFrame(rows, "value bigint, row binary, l int, c int, r int, label binary, around int"), "value")
+    got = substring_dedup.more_pairs(members, 4, substring_dedup.main_hubs(members)).select("first", "second", "main").collect()
+    met = {frozenset((bytes(x.first)[0], bytes(x.second)[0])) for x in got}
+    assert met == {frozenset((a, b)) for a in range(3) for b in range(40) if a != b} and len(got) == len(met) and not any(x.main for x in got)
+    # More open ones than hubs: all with the main hub, the first of those whose surroundings most have.
+    got = substring_dedup.more_pairs(members, 2, substring_dedup.main_hubs(members)).select("first", "second", "main").collect()
+    assert len(got) == 39 and {bytes(x.first) for x in got} == {b"\0"} and all(x.main for x in got)
