@@ -6,9 +6,10 @@ hash values; only those at least T tokens wide matter, about 2 n / T for n token
 same least value share that part of their signatures.
 
 Similar passages share RUN tokens in a row somewhere, and with them an anchor, the least token of those. Anchors are counted over all texts; only
-around repeated ones (a bit filter of fixed size) windows are made. Windows with one value form a group; each is first paired with the group's first and last window. Where the partners of a first window
-are not all of one class then, they meet again in finer groups: of tokens that they have and that window lacks (finer). Finer groups take more hubs, many times more at each level, until the members of each are of one class
-or each member has been a hub (linked).
+around repeated ones (a bit filter of fixed size) windows are made. Windows with one value form a group; each is first paired with a main hub, whose surroundings most
+have, and with the group's first and last window. Where the partners of a main hub are not all of one class then, they meet again in finer groups: of tokens that they have and that
+hub lacks (finer). There those that are of no class yet are compared with all, if they are few, else all with a main hub; many times more are few at each level, until the members of
+each group are of one class or compared (linked).
 The pairs of two texts are joined by interval: windows on nearby diagonals that overlap make one candidate passage, if ENOUGH hash functions take
 part. Candidates are verified on the tokens: the best matching stretch must have T tokens on both sides and a Jaccard
 similarity of SIMILAR or more. Each stretch of a text is cut out once, however many partners it has.
@@ -49,7 +50,7 @@ AROUND = 45
 DRIFT = 12
 #: Tokens on either side of a shared one, the nearest that a hub lacks, that make finer groups.
 NEAR = 16
-#: Hubs of a finer group, and how many times more at each further level.
+#: Open members of a finer group that are compared with all others, and how many times more at each further level.
 MORE_HUBS = 32
 
 # One odd multiplier for each hash function.
