@@ -297,8 +297,8 @@ def hub_pairs(windows: DataFrame) -> DataFrame:
     """Each window with its group's main hub, and with the first and the last one, which are more often the same for all windows of two texts: k, both places, and
     main: whether the hub is the main one of a group in which not all windows are compared so."""
     hubs = F.array_except(F.array_distinct(F.array("hub", "low", "high")), F.array(F.struct("row", "c", "l", "r")))
-    each = windows.join(main_hubs(windows).filter("size > 1"), "value").select("k", F.explode(hubs).alias("at"), "hub", "size", "row", "l", "c", "r")
-    return placed(each.select("k", F.col("at").alias("hub"), F.expr("size > 3 and at = hub").alias("main"), "row", "l", "c", "r"))
+    each = windows.join(main_hubs(windows).filter("size > 1"), "value").select("k", F.explode(hubs).alias("at"), "hub", "low", "size", "row", "l", "c", "r")
+    return placed(each.select("k", F.col("at").alias("hub"), F.expr("size > 3 and (at = hub or at = low)").alias("main"), "row", "l", "c", "r"))
 
 
 def placed(each: DataFrame) -> DataFrame:
