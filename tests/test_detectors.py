@@ -162,6 +162,29 @@ def test_no_accepted_candidate_of_own_patterns_is_left_out():
         assert with_prefix <= {c[1:] for c in candidates.likely(text, search)}, text
 
 
+def test_prefixes_are_tried_where_they_may_begin(spark):
+    """Each candidate goes with every prefix that accepts it, and with few of many that begin alike; the values of a prefix are worked out once."""
+    r = random.Random(3)
+    table = tuple(known.Pattern(f"p{k}", "P", "P", (f"zq{k}x{r.randrange(10, 99)}_", f"acme{k}-"), 20, 64, "base62", "high", k % 2, 0.42) for k in range(60))
+    search, singles = search_for(table), [p._replace(prefixes=(prefix,)) for p in table for prefix in p.prefixes]
+    met = most = 0
+    for _ in range(150):
+        number = r.randrange(len(singles))
+        key = list(singles[number].prefixes[0] + "".join(r.choice("ABCDEFGHjkmnpqrstuvwxy23456789") for _ in range(24)))
+        for _ in range(r.randint(0, 2)):
+            key.insert(r.randrange(1, len(key)), r.choice([" ", "o", "1"]))
+        text = r.choice(["", "a ", "k=", "(", "see: "]) + "".join(key) + r.choice(["", " b c", ")"])
+        for numbers, c in candidates.likely_at(text, search, search.places(text)[0]):
+            near = [n for n, p in enumerate(singles) if n in numbers or abs(n - number) < 4 or n % 13 == number % 13]
+            taken = {n for n in near if plain.reject(c[3]) is None and accepts((singles[n],), c[3])}
+            assert taken <= set(numbers), (text, c)
+            met, most = met + len(taken), max(most, len(numbers))
+    assert met > 100 and most < len(table) * 2 / 3  # table: as many begin alike
+    rows = spark.createDataFrame([(1, "x zq0x10_" + B24)], "id int, text string")
+    plan = detectors.tried(candidates.explode(rows, "detectable", table), None, table)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("levenshtein(") == 1
+
+
 def accepts(table, token):
     """Whether some prefix of the table takes the token, by the plain rules."""
     for p in table:
