@@ -235,6 +235,24 @@ def test_find_candidates_in_sql(spark):
     assert spark.sql("select t.id from some_texts t left join lateral find_candidates(t.text) c on true where c.token is null").count() == sum(not t for t in texts)
 
 
+def test_sizes_of_candidates(spark):
+    """As those of the candidates one by one: torn and long runs, signs everywhere, gaps of all kinds, empty texts, and texts that are cut at line ends."""
+    r = random.Random(11)
+    made = ["".join(r.choice("ab=:.-, \n é\u3000(/😀" if k % 2 else "abcdefg  =x") for _ in range(r.randint(0, 120))) for k in range(300)]
+    texts = [t for t, _ in CASES] + ["", None, "=", " ", "\n", "a b", "k=============", "a= b= ============ c", "a: b: c: d: e: f: ghijklmnopqrst"] + made
+
+    def one_by_one(text):
+        every = list(candidates.every(text or ""))
+        return len(every), sum(len(c[3]) for c in every), sum(c[1] for c in every), sum(c[2] for c in every)
+
+    want = [one_by_one(t) for t in texts]
+    assert sum(w[0] for w in want) > 10_000
+    for together in (1, 50, candidates.TOGETHER):
+        assert list(map(tuple, candidates.counted(texts, together).T.tolist())) == want
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    assert {r.id: tuple(r)[1:] for r in candidates.sizes(rows).collect()} == {i: w for i, w in enumerate(want) if w[0]}
+
+
 def test_report_in_one_pass(spark):
     rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(CASES)], "id int, text string")
     found, rejected = detectors.detect_with_report(rows)
